@@ -1 +1,4 @@
+"""Registered queries: one per inventory entry, with the SQL each must agree with."""
 
+from panelforge.catalog import feature_queries, xsec_queries  # noqa: F401
+from panelforge.catalog.base import ORACLES, QUERIES  # noqa: F401

@@ -102,11 +102,10 @@ def build_book(scores: DataFrame, config: BookConfig, sectors: DataFrame | None
 
     The same ranking and sizing as the panel book.  Rows: as_of, symbol, weight, beta, price.
     """
-    df = scores.withColumn("score", finite("score")).where("score is not null").withColumnsRenamed(
-        {"as_of": "ts", "score": "pred"})
-    for c in ("beta", "price"):
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("double"))
+    null = F.lit(None).cast("double")
+    df = scores.select(
+        F.col("as_of").alias("ts"), "symbol", finite("score").alias("pred"),
+        *[F.col(c) if c in scores.columns else null.alias(c) for c in ("beta", "price")]).where("pred is not null")
     if sectors is not None:
         df = sector_neutralize(df, sectors)
     w = target_weights(rank_panel(df), [config])
