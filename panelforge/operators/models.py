@@ -87,16 +87,18 @@ def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="_x").transform(df)
 
 
-def fit_ridge(train: DataFrame, cols: Sequence[str], y: str, alpha: float = 10.0) -> LinearModel:
+def fit_ridge(train: DataFrame, cols: Sequence[str], y: str, alpha: float = 10.0,
+              params: dict[str, tuple[float, float]] | None = None) -> LinearModel:
     """Penalised least squares |y - Xb|^2 + alpha |b|^2 on robust-scaled, clipped features.
 
     The normal equations are accumulated by the executors.  The estimator scales
-    the label by its deviation and the loss by n, hence the penalty below.
+    the label by its population deviation and the loss by n, hence the penalty
+    below.  `params` is a frozen scaler; by default it is fitted here.
     """
     cols = list(cols)
-    params = scale_params(robust_fit(train, cols))
+    params = params or scale_params(robust_fit(train, cols))
     scaled = apply_scaler(train.where(F.col(y).isNotNull()), params)
-    n, sd = scaled.agg(F.count(F.lit(1)), F.stddev_samp(y)).first()
+    n, sd = scaled.agg(F.count(F.lit(1)), F.stddev_pop(y)).first()
     if not sd:
         mean = scaled.agg(F.avg(y)).first()[0]
         return LinearModel(cols, [0.0] * len(cols), mean, params)
