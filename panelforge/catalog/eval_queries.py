@@ -123,8 +123,8 @@ def deflated(spark, sf):
     return out(b, ["config"], ["sr", "sr0", "trial_var", "z"], 5)
 
 
-SQL_PBO = """pb0 AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY i) - 1 AS at, count(*) OVER (PARTITION BY config) AS tt FROM daily),
-  pb1 AS (SELECT config_no, book_ret, CASE WHEN at < (tt % 16) * (tt // 16 + 1) THEN at // (tt // 16 + 1) ELSE (tt % 16) + (at - (tt % 16) * (tt // 16 + 1)) // (tt // 16) END AS blk FROM pb0),
+SQL_PBO = """pb0 AS (SELECT *, row_number() OVER (PARTITION BY config ORDER BY i) - 1 AS pa, count(*) OVER (PARTITION BY config) AS tt FROM daily),
+  pb1 AS (SELECT config_no, book_ret, CASE WHEN pa < (tt % 16) * (tt // 16 + 1) THEN pa // (tt // 16 + 1) ELSE (tt % 16) + (pa - (tt % 16) * (tt // 16 + 1)) // (tt // 16) END AS blk FROM pb0),
   pb2 AS (SELECT config_no, blk, sum(book_ret) AS s, count(*) AS c FROM pb1 GROUP BY 1, 2), mk AS (SELECT m AS mask FROM range(0, 65536) t(m) WHERE bit_count(m) = 8),
   pb3 AS (SELECT mask, config_no, sum(s) FILTER ((mask >> blk) & 1 = 1) / sum(c) FILTER ((mask >> blk) & 1 = 1) AS ins, sum(s) FILTER ((mask >> blk) & 1 = 0) / sum(c) FILTER ((mask >> blk) & 1 = 0) AS oos
     FROM mk, pb2 GROUP BY 1, 2), pb4 AS (SELECT *, row_number() OVER (PARTITION BY mask ORDER BY oos, config_no) AS rk, row_number() OVER (PARTITION BY mask ORDER BY ins DESC, config_no) AS best, count(*) OVER (PARTITION BY mask) AS n FROM pb3),
@@ -309,8 +309,9 @@ def stream_book(spark, sf):
 @query("z04_stream_gap_alarms", f"""WITH e AS (SELECT event_type AS symbol, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events)
   SELECT symbol, CAST(p AS VARCHAR) AS from_ts, CAST(ts AS VARCHAR) AS to_ts FROM e WHERE ts - p > INTERVAL 7200 SECOND""")
 def stream_gaps(spark, sf):
-    a = jobs.run_to_table(jobs.gap_alarms(event_ticks(spark, sf), 7200, "1 hour"), spark, "stream_gaps")
-    return a.select("symbol", F.col("from_ts").cast("string").alias("from_ts"), F.col("to_ts").cast("string").alias("to_ts"))
+    state = jobs.GapState(spark, 7200)
+    jobs.run_batches(event_ticks(spark, sf), spark, "stream_gaps", state.apply)
+    return state.alarms().select("symbol", F.col("from_ts").cast("string").alias("from_ts"), F.col("to_ts").cast("string").alias("to_ts"))
 
 
 @query("z05_stream_restatement", f"""SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS ts, {r_sql('arg_max(value, ts)', 'close')} FROM events GROUP BY 1, 2""")

@@ -251,9 +251,9 @@ def sector_dimension(spark, sf):
 
 # ---- quality gates ------------------------------------------------------------------------
 
-SQL_DIRTY = SQL_BARS0 + """, dirty AS (SELECT symbol, ts, CASE WHEN volume < 5 THEN NULL ELSE open END AS open, CASE WHEN volume < 5 THEN NULL ELSE high END AS high,
-  CASE WHEN volume < 5 THEN NULL ELSE low END AS low, CASE WHEN volume < 5 THEN NULL ELSE close END AS close,
-  CASE WHEN high > 5000 THEN NULL ELSE volume END AS volume FROM bars0),
+SQL_DIRTY = SQL_BARS0 + """, dirty AS (SELECT symbol, ts, CASE WHEN volume < 6 THEN NULL ELSE open END AS open, CASE WHEN volume < 6 THEN NULL ELSE high END AS high,
+  CASE WHEN volume < 6 THEN NULL ELSE low END AS low, CASE WHEN volume < 6 THEN NULL ELSE close END AS close,
+  CASE WHEN high > 50000 THEN NULL ELSE volume END AS volume FROM bars0),
   trimmed AS (SELECT * FROM (SELECT *, min(CASE WHEN coalesce(open, high, low, close) IS NOT NULL THEN ts END) OVER (PARTITION BY symbol) AS f FROM dirty) WHERE ts >= f),
   report AS (SELECT symbol, count(*) AS n_rows, count(*) FILTER (open IS NULL OR volume IS NULL) AS n_missing FROM trimmed GROUP BY 1),
   filled AS (SELECT symbol, ts, last_value(open IGNORE NULLS) OVER w AS open, last_value(high IGNORE NULLS) OVER w AS high, last_value(low IGNORE NULLS) OVER w AS low,
@@ -262,9 +262,9 @@ SQL_DIRTY = SQL_BARS0 + """, dirty AS (SELECT symbol, ts, CASE WHEN volume < 5 T
 
 def dirty_bars(spark, sf):
     b = raw_bars(spark, sf)
-    thin = F.col("volume") < 5
+    thin = F.col("volume") < 6
     cols = {c: F.when(~thin, F.col(c)) for c in schema.PRICE_COLS}
-    cols["volume"] = F.when(F.col("high") <= 5000, F.col("volume"))
+    cols["volume"] = F.when(F.col("high") <= 50000, F.col("volume"))
     return b.withColumns(cols)
 
 

@@ -330,7 +330,7 @@ SQL_TRADES = """trades AS (SELECT symbol, row_number() OVER (PARTITION BY symbol
 
 def ledger(spark, sf):
     t = ticks(spark, sf).withColumn("side", F.when((F.col("l_returnflag") == "R") | (F.col("l_discount") > 0.05), "SELL").otherwise("BUY"))
-    t = number_rows(t, order=("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"), bucket="year(l_shipdate)")
+    t = number_rows(t, order=("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"), bucket="struct(l_shipdate, floor(l_orderkey / 100000))")
     return t.selectExpr("symbol", "bar_no", "ts", "side", "volume AS shares", "price AS fill_price", "volume * 0.01D AS commission")
 
 

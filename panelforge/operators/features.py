@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,8 +190,12 @@ def redundant_pairs(features: DataFrame, cols: list[str] = FEATURE_COLS, limit:
 
 
 def feature_correlations(features: DataFrame, cols: list[str] = FEATURE_COLS) -> DataFrame:
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = features.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    entries = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr"))
-                        for a, b in pairs])
-    return row.select(F.inline(entries))
+    """(a, b, corr) for every pair of columns.
+
+    The moments are summed by the executors; what returns is one small matrix of
+    fixed size.
+    """
+    vectors = VectorAssembler(inputCols=cols, outputCol="_v").transform(features.na.drop(subset=cols)).select("_v")
+    m = Correlation.corr(vectors, "_v").head()[0].toArray()
+    rows = [(a, b, float(m[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
+    return features.sparkSession.createDataFrame(rows, "a string, b string, corr double")

@@ -57,15 +57,21 @@ def benchmark_comparison(returns: DataFrame, bench: DataFrame, keys: Sequence[st
 
     bench: date, bench_close, bench_ret (NULL on the first day).
     """
-    names = returns.select(*keys).distinct()
-    days = bench.select(date, "bench_close", "bench_ret")
-    frame = days.withColumn("_names", F.lit(0)).join(
-        F.broadcast(names.withColumn("_names", F.lit(0))), "_names") if keys else days
-    on = [*keys, date]
-    j = frame.join(returns.select(*on, F.col(ret).alias("_r")), on, "left")
-    excess = F.when(F.col("bench_ret").isNotNull(), F.coalesce("_r", F.lit(0.0)) - F.col("bench_ret"))
     total = (F.max_by("bench_close", date) / F.min_by("bench_close", date) - 1) * 100
-    return j.groupBy(*keys).agg(total.alias("benchmark_return_pct"), annual_sharpe(excess).alias("information_ratio"))
+    b, r = F.col("bench_ret"), F.coalesce(F.col(ret), F.lit(0.0))
+    whole = bench.agg(total.alias("benchmark_return_pct"), F.count(b).alias("_n"), F.sum(b).alias("_b"),
+                      F.sum(b * b).alias("_bb"))
+    # Days without a strategy return enter through the benchmark's own sums, so
+    # no grid of names and dates is built.
+    j = returns.select(*keys, date, ret).join(bench.select(date, "bench_ret"), date, "left")
+    own = j.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(b.isNotNull(), r)), F.lit(0.0)).alias("_r"),
+        F.coalesce(F.sum(F.when(b.isNotNull(), r * r - 2 * r * b)), F.lit(0.0)).alias("_rr"))
+    s = own.join(F.broadcast(whole))  # one row
+    mean = (F.col("_r") - F.col("_b")) / F.col("_n")
+    sd = F.sqrt((F.col("_bb") + F.col("_rr") - F.col("_n") * mean * mean) / (F.col("_n") - 1))
+    ratio = F.when(sd > 0, mean / sd * math.sqrt(TRADING_DAYS)).otherwise(F.lit(0.0))
+    return s.select(*keys, "benchmark_return_pct", ratio.alias("information_ratio"))
 
 
 def book_beta(daily: DataFrame, bench: DataFrame, keys: Sequence[str] = ("config",), date: str = "ts") -> DataFrame:

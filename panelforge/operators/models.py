@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -202,7 +202,7 @@ def fold_predictions(df: DataFrame, cols: Sequence[str], y: str, cfg: FoldConfig
     data = df.select("symbol", "bar_no", F.col(y).alias("y"), *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in cols])
     tasks = data.withColumn("_task", F.explode(F.sequence(first, F.floor(b / stride))))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         symbol, task = key
         pdf = pdf.sort_values("bar_no")
         start = int(task) * stride
@@ -301,7 +301,7 @@ def in_session_fit(df: DataFrame, cols: Sequence[str], y: str, alpha: float = 10
         F.count(F.lit(1)).alias("n"), F.array(*[F.avg(a) for a in names]).alias("means"),
         F.array(*[F.covar_pop(a, b) for a, b in cross]).alias("cov"))
 
-    def solve(frames):
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             coef = []
             for count, means, cov in zip(pdf["n"], pdf["means"], pdf["cov"]):

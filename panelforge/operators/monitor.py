@@ -27,17 +27,16 @@ def fetch_plan(log: DataFrame, horizon: int = HORIZON) -> DataFrame:
 def resolve_sessions(log: DataFrame, sessions: DataFrame, bucket: str = "trunc(date, 'month')") -> DataFrame:
     """Add `session`: the latest trading session at or before each record's date.
 
-    A backward as-of join by union and forward fill: sessions and records share one
-    time axis, and the last session seen is carried along it, across buckets.
+    A backward as-of join by union and forward fill: sessions and the distinct
+    record dates share one time axis, and the last session seen is carried along it.
     log: symbol, date, ...; sessions: symbol, ts.
     """
-    cols = log.columns
     marks = sessions.select("symbol", F.to_date("ts").alias("date"), F.to_date("ts").alias("session"),
                             F.lit(0).alias("_side"))
-    rows = log.withColumn("session", F.lit(None).cast("date")).withColumn("_side", F.lit(1))
-    both = rows.unionByName(marks, allowMissingColumns=True)
+    days = log.select("symbol", "date").distinct()
+    both = days.withColumns({"session": F.lit(None).cast("date"), "_side": F.lit(1)}).unionByName(marks)
     filled = forward_fill(both, ["session"], order=("date", "_side"), bucket=bucket)
-    return filled.where("_side = 1").select(*cols, "session")
+    return log.join(filled.where("_side = 1").select("symbol", "date", "session"), ["symbol", "date"], "left")
 
 
 def dedupe_sessions(resolved: DataFrame, order: Sequence[str] = ()) -> DataFrame:
@@ -97,7 +96,7 @@ def realized_ic(log: DataFrame, bars: DataFrame, today: str, min_lookback: int =
     return stats.join(ic, "model", "left").select("model", *[F.when(valid, F.col(c)).alias(c) for c in out])
 
 
-def collapse_restatements(log: DataFrame, order: Sequence[str] = ("date",), bucket: str = "trunc(date, 'month')",
+def collapse_restatements(log: DataFrame, order: Sequence[str] = ("date",), bucket: str = "date",
                           size: int = CHUNK_ROWS) -> DataFrame:
     """Drop a record whose bar_date (price where absent) repeats the previous record of its model and symbol."""
     keys = ["model", "symbol"]

@@ -1,17 +1,15 @@
 """Structured Streaming jobs over ticks, prediction records and prices.
 
-The reference batch operators do the work; streams add watermarks, keyed state
+The batch operators do the work; streams add watermarks, keyed state
 and idempotent sinks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from panelforge.operators.book import drift_book
 from panelforge.session import materialize, new_path
@@ -53,26 +51,36 @@ def first_records(log: DataFrame, keys: Sequence[str], ts: str, delay: str) -> D
     return log.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def gap_alarms(ticks: DataFrame, max_gap_seconds: int, delay: str) -> DataFrame:
-    """A row per silence longer than the limit: symbol, from_ts, to_ts, gap_seconds.
+class GapState:
+    """Silences longer than a limit, symbol by symbol, across batches.
 
-    State per symbol is its latest time; rows behind it are late and raise nothing.
+    A batch is first reduced to the first and last tick per symbol and slot of the
+    limit's length: a longer silence always lies between two slots.  The state is
+    each symbol's last tick; rows at or before it are late and raise nothing.
+    Alarms are written per batch, so a replayed batch replaces its own output.
     """
-    limit = pd.Timedelta(seconds=max_gap_seconds)
-
-    def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        times = pd.concat([f["ts"] for f in frames]).sort_values()
-        seen = times if last is None else pd.concat([pd.Series([last]), times[times > last]])
-        steps = seen.diff()
-        late = steps > limit
-        state.update((int(seen.iloc[-1].value // 1000),))
-        yield pd.DataFrame({"symbol": key[0], "from_ts": seen.shift(1)[late], "to_ts": seen[late],
-                            "gap_seconds": steps[late].dt.total_seconds()})
-
-    return ticks.withWatermark("ts", delay).groupBy("symbol").applyInPandasWithState(
-        walk, "symbol string, from_ts timestamp, to_ts timestamp, gap_seconds double", "last_us bigint", "append",
-        GroupStateTimeout.NoTimeout)
+
+    def __init__(self, spark: SparkSession, limit_seconds: int):
+        self.spark, self.limit = spark, limit_seconds
+        self.path = new_path(spark, "gap_alarms")
+        self.last = spark.createDataFrame([], "symbol string, hi timestamp")
+
+    def apply(self, ticks: DataFrame, batch: int) -> None:
+        known = self.last.withColumnRenamed("hi", "_seen")
+        fresh = ticks.join(known, "symbol", "left").where("_seen is null or ts > _seen")
+        spans = fresh.groupBy("symbol", F.window("ts", f"{self.limit} seconds").alias("w")).agg(
+            F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+        spans = materialize(spans.select("symbol", "lo", "hi"), "gap_spans")
+        both = spans.unionByName(self.last.select("symbol", F.col("hi").alias("lo"), "hi"))
+        previous = F.lag("hi").over(Window.partitionBy("symbol").orderBy("lo"))  # one row per slot
+        gap = F.col("to_ts").cast("double") - F.col("from_ts").cast("double")
+        alarms = both.select("symbol", previous.alias("from_ts"), F.col("lo").alias("to_ts")).withColumn(
+            "gap_seconds", gap).where(F.col("gap_seconds") > self.limit)
+        alarms.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        self.last = materialize(both.groupBy("symbol").agg(F.max("hi").alias("hi")), "gap_state")
+
+    def alarms(self) -> DataFrame:
+        return self.spark.read.schema("symbol string, from_ts timestamp, to_ts timestamp, gap_seconds double, batch int").parquet(self.path)
 
 
 def restate_bars(spark: SparkSession, path: str) -> Callable[[DataFrame, int], None]:
