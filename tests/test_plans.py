@@ -12,6 +12,8 @@ SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "1000")
     return df._jdf.queryExecution().executedPlan().toString()
 
 
