@@ -18,7 +18,12 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            session.apply_runtime_conf(spark)
+            return fn(spark, sf)
+
+        run.__name__, run.__doc__ = name, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -34,7 +39,6 @@ def staged(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFram
     """Build an input once per application and read it back from the shared folder."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STAGED:
-        session.apply_runtime_conf(spark)
         path = session.new_path(spark, name)
         build().write.mode("overwrite").parquet(path)
         _STAGED[key] = path

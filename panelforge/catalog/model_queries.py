@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np  # noqa: F401
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from panelforge.catalog.base import (
@@ -10,9 +12,11 @@ from panelforge.catalog.base import (
 )
 from panelforge.catalog.feature_queries import SQL_FEATURES
 from panelforge.functions import scalars as sc
+from panelforge.functions.stats import EULER_GAMMA
 from panelforge.operators import features as feats
 from panelforge.operators import metrics, models, signals, splits, xsec
 from panelforge.operators.timeaxis import number_rows
+from panelforge.plans import eval_report
 from panelforge.schema import FEATURE_COLS, LABEL
 
 _X = ["rsi_14", "adx_14"]
@@ -340,3 +344,29 @@ def panel_assembly(spark, sf):
     model = models.LinearModel(["ret_5d", "macd"], [0.01, 0.02], 0.0, {"ret_5d": (0.0, 1.0), "macd": (0.0, 1.0)})
     p = model.score(feats.panel_returns(f))
     return p.selectExpr("symbol", "ts", "IF(round(pred, 5) = 0, 0D, round(pred, 5)) AS pred", "IF(round(ret, 5) = 0, 0D, round(ret, 5)) AS ret", "round(close, 9) AS close")
+
+
+_NT = len(_Q) * len(_W)
+_Z17 = (1 - EULER_GAMMA) * NormalDist().inv_cdf(1 - 1 / _NT) + EULER_GAMMA * NormalDist().inv_cdf(1 - 1 / (_NT * math.e))
+
+
+def _trials_sql() -> str:
+    ts = ", ".join(f"CASE WHEN count(pred) OVER f{w} >= 20 THEN quantile_cont(abs(pred), {q}) OVER f{w} END AS t_{int(q * 100)}_{w}" for w in _W for q in _Q)
+    wins = ", ".join(f"f{w} AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)" for w in _W)
+    opts = ", ".join("{'config_no': %d, 'config': 'q%g_w%d', 't': t_%d_%d}" % (i * len(_W) + j, q, w, int(q * 100), w)
+                     for i, q in enumerate(_Q) for j, w in enumerate(_W))
+    return f"""th AS (SELECT *, {ts} FROM panel1 WINDOW {wins}), op AS (SELECT symbol, pred, ret, UNNEST([{opts}], recursive := true) FROM th WHERE ret IS NOT NULL),
+  rr AS (SELECT symbol, config, config_no, CASE WHEN abs(pred) > t THEN sign(pred) * ret ELSE 0 END AS r FROM op),
+  r1 AS (SELECT *, avg(r) OVER g AS m, stddev_pop(r) OVER g AS s FROM rr WINDOW g AS (PARTITION BY symbol, config_no)),
+  mo AS (SELECT symbol, config, config_no, count(*) AS t, max(s) AS sd0, CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) ELSE 0 END AS sr,
+    avg(power((r - m) / nullif(s, 0), 3)) AS skew, avg(power((r - m) / nullif(s, 0), 4)) AS kurt FROM r1 GROUP BY 1, 2, 3),
+  be AS (SELECT *, var_samp(sr) OVER (PARTITION BY symbol) AS tv, row_number() OVER (PARTITION BY symbol ORDER BY sr DESC, config_no) AS rk FROM mo),
+  ds AS (SELECT symbol, config, t, sr, sqrt(tv) * {_Z17!r}::DOUBLE AS sr0, 1 - skew * sr + (kurt - 1) / 4 * sr * sr AS den, sd0 FROM be WHERE rk = 1)"""
+
+
+@query("l17_deflated_by_symbol", f"""WITH {SQL_PANEL}, {_trials_sql()} SELECT symbol, config, t, {r_sql('sr', digits=5)}, {r_sql('sr0', digits=5)},
+  {r_sql('CASE WHEN den > 0 AND sd0 > 0 THEN (sr - sr0) * sqrt(t - 1) / sqrt(den) END', 'z', 5)} FROM ds""")
+def deflated_by_symbol(spark, sf):
+    """Every (quantile, window) setting per symbol, the best one deflated."""
+    d = eval_report.deflated_by_symbol(numbered_panel(spark, sf), min_rows=1, quantiles=_Q, windows=_W)
+    return out(d, ["symbol", "config", "t"], ["sr", "sr0", "z"], 5)
