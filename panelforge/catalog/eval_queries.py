@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 
 from panelforge import session
 from panelforge.catalog.base import (
-    SQL_BARS, SQL_BENCH, SQL_LOG, SQL_PANEL, SQL_SCORE, bars, benchmark, cols_sql, out, panel, prediction_log, query, r_sql,
+    SQL_LOG, SQL_PANEL, SQL_SCORE, bars, benchmark, cols_sql, out, panel, prediction_log, query, r_sql,
     raw_bars, reversal_panel, table,
 )
 from panelforge.catalog.xsec_queries import (
-    GRID, SQL_DAILY, SQL_GRID, SQL_LEDGER, SQL_RANKIC, SQL_TRADES, book_sql, grid_daily, ledger, rankic_sql,
+    GRID, SQL_DAILY, SQL_GRID, SQL_LEDGER, SQL_TRADES, grid_daily, ledger, rankic_sql,
 )
 from panelforge.catalog.base import SQL_TICKS
 from panelforge.functions import stats
 from panelforge.operators import book as bk
-from panelforge.operators import features as feats
 from panelforge.operators import metrics, monitor, overfit, xsec
 from panelforge.operators.scans import realized_pnl
 from panelforge.operators.timeaxis import number_rows

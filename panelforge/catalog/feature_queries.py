@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from panelforge.catalog.base import (
     SQL_BARS, SQL_BENCH, SQL_PANEL, bars, benchmark, cols_sql, features, out, panel, query, r_sql, table,
 )
-from panelforge.functions.scalars import discretize
 from panelforge.operators import features as feats
 from panelforge.operators.ewm import ewm_means, span_alpha, with_blocks
 from panelforge.operators.metrics import daily_last
 from panelforge.operators.rolling import block_roll
 from panelforge.operators.scans import holding_filter
-from panelforge.operators.signals import execution_lag, predictor_signal, regressor_confidence
+from panelforge.operators.signals import execution_lag, regressor_confidence
 from panelforge.operators.timeaxis import (
     chunk_window, chunked, number_rows, own_rows, roll_max, roll_mean, roll_min, roll_quantile, roll_std, running,
 )

@@ -11,7 +11,6 @@ from panelforge.catalog.base import (
 )
 from panelforge.functions import scalars as sc
 from panelforge.operators import monitor, quality
-from panelforge.operators.features import HALO  # noqa: F401
 from panelforge.operators.timeaxis import forward_fill, number_rows
 from panelforge.sources import bars as src
 from panelforge.sources import logs, tables

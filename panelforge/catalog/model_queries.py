@@ -8,7 +8,7 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from panelforge.catalog.base import (
-    SQL_BARS, SQL_PANEL, SQL_TICKS, bars, benchmark, cols_sql, features, out, panel, query, r_sql, staged, ticks,
+    SQL_BARS, SQL_PANEL, SQL_TICKS, bars, cols_sql, features, out, panel, query, r_sql, staged, ticks,
 )
 from panelforge.catalog.feature_queries import SQL_FEATURES
 from panelforge.functions import scalars as sc

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelforge.catalog.base import (
     SQL_BARS, SQL_BENCH, SQL_LOG, SQL_PANEL, bars, benchmark, cols_sql, features, out, panel, prediction_log, query,
-    r_sql, raw_bars, reversal_panel, sectors, staged, table, ticks,
+    r_sql, sectors, staged, table, ticks,
 )
 from panelforge.catalog.feature_queries import SQL_FEATURES
 from panelforge.operators import book as bk
@@ -14,7 +14,7 @@ from panelforge.operators import features as feats
 from panelforge.operators import metrics, monitor, xsec
 from panelforge.operators.scans import realized_pnl
 from panelforge.operators.timeaxis import number_rows
-from panelforge.schema import CONFIG_GRID, CS_SUFFIX, FEATURE_COLS
+from panelforge.schema import CONFIG_GRID, CS_SUFFIX
 
 _CS = ["ret_1d", "rsi_14", "macd"]
 

@@ -19,7 +19,7 @@ from panelforge.operators.ranks import exact_quantiles
 from panelforge.operators.signals import threshold_signal
 from panelforge.operators.splits import FoldConfig
 from panelforge.operators.timeaxis import number_rows
-from panelforge.schema import FALLBACK_QUANTILE, FALLBACK_WINDOW, FEATURE_COLS, SWEEP_QUANTILES, SWEEP_WINDOWS
+from panelforge.schema import FALLBACK_QUANTILE, FALLBACK_WINDOW, SWEEP_QUANTILES, SWEEP_WINDOWS
 
 CLIP = 5.0
 ENET_L1_RATIOS = [0.1, 0.5, 0.9]
