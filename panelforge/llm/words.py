@@ -37,10 +37,11 @@ class WordHasher:
     array operations; a segment ends at white space, so memory follows the longest word, not the longest text.
     """
 
-    def __init__(self) -> None:
-        self.size = 0
+    def __init__(self, gaps: bytes = SPACES) -> None:
+        """gaps: the ASCII characters that part words; white space must be among them."""
+        self.size, self.gaps = 0, gaps
         self.space = np.zeros(256, bool)
-        self.space[list(SPACES)] = True
+        self.space[list(gaps)] = True
 
     def _grow(self, n: int) -> None:
         if n > self.size:
@@ -66,7 +67,7 @@ class WordHasher:
         parts, at = [], 0
         while at < len(data):
             stop = min(len(data), at + _SEGMENT)
-            while stop < len(data) and data[stop] not in SPACES:
+            while stop < len(data) and data[stop] not in self.gaps:
                 stop += 1
             h, s, e = self._segment(data[at:stop])
             parts.append((h, s + at, e + at))
