@@ -15,62 +15,74 @@ from panelforge.llm.words import WordHasher, kept_in_worker
 
 #: White space and ASCII punctuation part words.
 GAPS = bytes(i for i in range(128) if not chr(i).isalnum())
-BUCKETS = 1 << 16
+#: A word's vector is the sum of those of the word, its beginnings and its ends (bytes).
+PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8, 10), (4, 6)
+BUCKETS = 1 << 17
 WIDTHS = (1, 2, 3)
 #: Labelled rows fetched to fit on, of either label; the documented bound of the sample.
-MAX_PER_LABEL = 4000
+MAX_PER_LABEL = 2000
 
 
 @dataclass
 class TextCnn:
     """Hashed word embeddings, convolutions of several widths, max pooling over the text, and a logistic output.
 
-    Bucket 0 is padding; it and buckets that few training texts hold keep a zero vector.
+    A word has a row of bucket ids: of itself and of its beginnings and ends; its vector is their sum.  Bucket 0 is padding; it and buckets that few training texts hold keep a zero vector.
     """
 
     dim: int = 12
     filters: int = 8
     seed: int = 7
+    noise: float = 0.05
     scale: tuple[float, float] = (1.0, 0.0)
     params: dict[str, np.ndarray] = field(default_factory=dict)
 
-    def start(self, known: np.ndarray) -> None:
+    def start(self, known: np.ndarray, odds: np.ndarray) -> None:
+        """Small random values; the first dimension begins as each bucket's log odds, shared by the width-1 filters."""
         rng = np.random.default_rng(self.seed)
-        e = rng.normal(0, 0.3, (BUCKETS, self.dim)).astype(np.float32)
+        e = rng.normal(0, self.noise, (BUCKETS, self.dim)).astype(np.float32)
+        e[:, 0] = odds
         e[~known] = 0
         self.params = {"e": e, "out": rng.normal(0, 0.3, len(WIDTHS) * self.filters).astype(np.float32),
                        "bias": np.zeros(1, np.float32)}
         for w in WIDTHS:
             self.params[f"w{w}"] = rng.normal(0, 0.5 / w, (w, self.dim, self.filters)).astype(np.float32)
             self.params[f"b{w}"] = np.zeros(self.filters, np.float32)
+        self.params["w1"][0, 0] = np.abs(self.params["w1"][0, 0])
+        self.params["out"][:self.filters] = np.abs(self.params["out"][:self.filters])
 
-    def tables(self) -> dict[int, list[np.ndarray]]:
-        """What each bucket adds to each filter from each place of its window."""
-        return {w: [self.params["e"] @ self.params[f"w{w}"][o] for o in range(w)] for w in WIDTHS}
+    def vectors(self, ids: np.ndarray) -> np.ndarray:
+        out = self.params["e"][ids[:, 0]]
+        for k in range(1, ids.shape[1]):
+            out += self.params["e"][ids[:, k]]
+        return out
 
-    def pooled(self, tables: dict[int, list[np.ndarray]], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def pooled(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Greatest value of every filter in each text; texts lie in ids one after another, each padded at its end."""
-        out = []
+        out, tokens = [], self.vectors(ids)
         for w in WIDTHS:
-            at = tables[w][0][ids]
+            at = tokens @ self.params[f"w{w}"][0]
             for o in range(1, w):
-                at[:-o] += tables[w][o][ids[o:]]
+                at[:-o] += tokens[o:] @ self.params[f"w{w}"][o]
             out.append(np.maximum.reduceat(at, starts, axis=0) + self.params[f"b{w}"])
         return np.maximum(np.concatenate(out, axis=1), 0)
 
-    def logits(self, tables: dict[int, list[np.ndarray]], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        z = self.pooled(tables, ids, starts) @ self.params["out"] + self.params["bias"]
+    def logits(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        z = self.pooled(ids, starts) @ self.params["out"] + self.params["bias"]
         return self.scale[0] * z.astype(np.float64) + self.scale[1]
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 0.01,
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01,
             keep: float = 0.9) -> None:
         """Adam over shuffled batches; both labels weigh the same; a share of the words is left out of each batch."""
-        seen = np.zeros(BUCKETS, np.int32)
-        for t in texts:
-            seen[np.unique(t)] += 1
-        known = seen >= 2
+        held = np.zeros((2, BUCKETS))
+        for t, y in zip(texts, labels, strict=True):
+            held[int(y), np.unique(t)] += 1
+        known = held.sum(axis=0) >= 2
         known[0] = False
-        self.start(known)
+        rows = np.array([[(labels == 0).sum()], [(labels == 1).sum()]])
+        logs = np.log((held + 0.5) / (rows + 1))
+        n = held.sum(axis=0)
+        self.start(known, (logs[1] - logs[0]) * n / (n + 3) / 3)
         rng = np.random.default_rng(self.seed + 1)
         share = labels.mean()
         weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
@@ -82,7 +94,7 @@ class TextCnn:
                 step += 1
                 chosen = order[lo:lo + batch]
                 ids, starts = join_texts([texts[i] for i in chosen])
-                ids = np.where(rng.random(len(ids)) < keep, ids, 0)
+                ids = np.where(rng.random(len(ids))[:, None] < keep, ids, 0)
                 for k, g in self._gradients(ids, starts, labels[chosen], weight[chosen]).items():
                     m, v = moments[k]
                     if k == "e":  # only the rows that the batch touched
@@ -97,7 +109,7 @@ class TextCnn:
                 self.params["e"][~known] = 0
 
     def _gradients(self, ids, starts, labels, weight) -> dict:
-        tokens, places = self.params["e"][ids], {}
+        tokens, places = self.vectors(ids), {}
         pooled, grads = [], {}
         for w in WIDTHS:
             at = tokens @ self.params[f"w{w}"][0]
@@ -127,8 +139,10 @@ class TextCnn:
                 at = np.minimum(places[w] + o, len(ids) - 1)
                 got = tokens[at]  # text, filter, dim
                 g[o] = np.einsum("tfd,tf->df", got, dw)
-                rows.append(ids[at].ravel())
-                parts.append((dw[:, :, None] * self.params[f"w{w}"][o].T[None]).reshape(-1, self.dim))
+                part = (dw[:, :, None] * self.params[f"w{w}"][o].T[None]).reshape(-1, self.dim)
+                for k in range(ids.shape[1]):
+                    rows.append(ids[at, k].ravel())
+                    parts.append(part)
             grads[f"w{w}"] = g
         rows, parts = np.concatenate(rows), np.concatenate(parts)
         unique, inverse = np.unique(rows, return_inverse=True)
@@ -140,13 +154,13 @@ class TextCnn:
 
 def join_texts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket ids of texts one after another, each followed by padding for the widest window."""
-    pad = np.zeros(max(WIDTHS) - 1, np.int32)
+    pad = np.zeros((max(WIDTHS) - 1, 1 + len(PREFIXES) + len(SUFFIXES)), np.int32)
     lengths = np.array([len(t) + len(pad) for t in texts])
     return np.concatenate([x for t in texts for x in (t, pad)]), np.cumsum(lengths) - lengths
 
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
+    return np.where(hashes == 0, 0, (hashes % np.uint64(BUCKETS - 1)).astype(np.int32) + 1).astype(np.int32)
 
 
 @dataclass
@@ -180,10 +194,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PE
         "id is not null and toxic in (0, 1) and crc32(cast(cast(id as string) as binary)) % 5 <> 0")
     drawn = [usable.where(F.col("toxic") == v).orderBy(F.xxhash64("id"), "id").limit(max_per_label) for v in (0, 1)]
     sample = F.broadcast(drawn[0].union(drawn[1]))  # two times max_per_label rows at most
-    hasher_gaps = GAPS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(hasher_gaps)
+        hasher = WordHasher(GAPS, PREFIXES, SUFFIXES)
         for b in batches:
             ids = []
             for _, h, bounds in hasher.batches(b.column("text").to_pylist()):
@@ -198,15 +211,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PE
     label = got["toxic"].to_numpy(np.int64)
     if len(set(label)) < 2:
         return ToxicityModel(None, {}, float(label.mean()) if len(label) else 0.0)
-    ids = [np.frombuffer(x, np.int32) for x in got["ids"]]
+    ids = [np.frombuffer(x, np.int32).reshape(-1, 1 + len(PREFIXES) + len(SUFFIXES)) for x in got["ids"]]
     aside = (got["place"].to_numpy() % 5 == 0) if len(got) >= 200 else np.zeros(len(got), bool)
     net = TextCnn()
     net.fit([t for t, a in zip(ids, aside, strict=True) if not a], label[~aside])
     if not aside.any() or len(set(label[aside])) < 2:
         return ToxicityModel(net, {})
     # Platt scaling: the classes weighed the same in the fit, so scores are brought back to the drawn rows' shares.
-    tables = net.tables()
-    z = net.logits(tables, *join_texts([t for t, a in zip(ids, aside, strict=True) if a]))
+    z = net.logits(*join_texts([t for t, a in zip(ids, aside, strict=True) if a]))
     y = label[aside]
     target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     a, c = 1.0, 0.0
@@ -230,13 +242,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     new = ["toxic_score", "toxic_threshold", "is_toxic"]
     df = docs.select(*[docs[c] for c in docs.columns if c not in new])
     sent = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by BUCKETS and the layer sizes
-    gaps = GAPS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value.net
         if net is not None:
-            tables = net.tables()
-            hasher = kept_in_worker(("hasher", gaps), lambda: WordHasher(gaps))
+            hasher = kept_in_worker("toxicity hasher", lambda: WordHasher(GAPS, PREFIXES, SUFFIXES))
         for b in batches:
             scores = []
             if net is None:
@@ -245,7 +255,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                 for _, h, bounds in hasher.batches(b.column(text).to_pylist()):
                     found = buckets(h)
                     ids, starts = join_texts([found[x:y] for x, y in zip(bounds, bounds[1:], strict=False)])
-                    scores += (1 / (1 + np.exp(-net.logits(tables, ids, starts)))).tolist()
+                    scores += (1 / (1 + np.exp(-net.logits(ids, starts)))).tolist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "toxic_score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -37,9 +37,13 @@ class WordHasher:
     array operations; a segment ends at white space, so memory follows the longest word, not the longest text.
     """
 
-    def __init__(self, gaps: bytes = SPACES) -> None:
-        """gaps: the ASCII characters that part words; white space must be among them."""
-        self.size, self.gaps = 0, gaps
+    def __init__(self, gaps: bytes = SPACES, prefixes: tuple[int, ...] = (), suffixes: tuple[int, ...] = ()) -> None:
+        """gaps: the ASCII characters that part words; white space must be among them.
+
+        With prefixes or suffixes (in bytes) a word has a row of hashes: its own, then those of its beginnings and
+        ends, 0 where it isn't longer.
+        """
+        self.size, self.gaps, self.prefixes, self.suffixes = 0, gaps, prefixes, suffixes
         self.space = np.zeros(256, bool)
         self.space[list(gaps)] = True
 
@@ -57,8 +61,19 @@ class WordHasher:
         start, end = edge[::2], edge[1::2]
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * self.up[: len(buf)], out=total[1:])
-        h = (total[end] - total[start]) * self.down[start]
-        return mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start, end
+
+        def of(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
+            h = (total[b] - total[a]) * self.down[a]
+            return mix64(h + ((b - a).astype(np.uint64) + np.uint64(kind << 40)) * np.uint64(0xD6E8FEB86659FD93))
+
+        whole = of(start, end, 0)
+        if not self.prefixes and not self.suffixes:
+            return whole, start, end
+        size, columns = end - start, [whole]
+        for kind, k in [*((1, k) for k in self.prefixes), *((2, k) for k in self.suffixes)]:
+            a, b = (start, np.minimum(start + k, end)) if kind == 1 else (np.maximum(end - k, start), end)
+            columns.append(np.where(size > k, of(a, b, kind), np.uint64(0)))
+        return np.stack(columns, axis=1), start, end
 
     def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, start and end byte of each word of one lower-cased text (or of texts joined by white space)."""
