@@ -89,10 +89,11 @@ class WordHasher:
             at = stop
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-    def batches(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def batches(self, texts: Iterable[str | None], spans: bool = False) -> Iterator[tuple]:
         """(index of the first text, word hashes, bounds) for runs of texts of about a megabyte.
 
-        Words of the i-th text of a run are hashes[bounds[i]:bounds[i + 1]].
+        Words of the i-th text of a run are hashes[bounds[i]:bounds[i + 1]].  With spans, also the first byte of each
+        word and the byte after it, counted from the start of its text.
         """
         run, size, first = [], 0, 0
         for i, t in enumerate(texts):
@@ -100,15 +101,19 @@ class WordHasher:
             run.append(raw)
             size += len(raw) + 1
             if size >= _SEGMENT:
-                yield first, *self._run(run)
+                yield first, *self._run(run, spans)
                 run, size, first = [], 0, i + 1
         if run:
-            yield first, *self._run(run)
+            yield first, *self._run(run, spans)
 
-    def _run(self, run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        h, start, _ = self.words(b"\n".join(run))
+    def _run(self, run: list[bytes], spans: bool) -> tuple:
+        h, start, end = self.words(b"\n".join(run))
         offsets = np.cumsum([0] + [len(r) + 1 for r in run])
-        return h, np.searchsorted(start, offsets)
+        bounds = np.searchsorted(start, offsets)
+        if not spans:
+            return h, bounds
+        base = np.repeat(offsets[:-1], np.diff(bounds))
+        return h, bounds, start - base, end - base
 
 
 def split_words(text: str | None) -> list[bytes]:
