@@ -1,7 +1,7 @@
 """A training-data pipeline over `documents`; each stage calls one operator of panelforge.llm.
 
 Every stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns the columns of documents, except
-the last, which returns the packed pieces.
+the last, which returns the packed pieces.  Null texts are empty ones.  Rows may repeat; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -9,21 +9,73 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelforge import session
+from panelforge.llm.decontamination import with_leaks
+from panelforge.llm.line_dedup import drop_repeated_lines
+from panelforge.llm.minhash_dedup import near_duplicates
+from panelforge.llm.packing import pack_documents
+from panelforge.llm.toxicity import fit_toxicity, score_toxicity
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
-#: No stage but the exact part of line dedup can be put in SQL; tests hold the stages against brute force.
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches their language's threshold go.  The fit reads the labels of sf_dir."""
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).where(~F.col("is_toxic")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier one, or are one word edit from it, go; n_chars follows.
+
+    Documents that had words and keep none go with their lines.
+    """
+    cleaned = drop_repeated_lines(docs.withColumn("_had", F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))))
+    return cleaned.where(~F.col("_had") | F.col("text").rlike("[^ \\t-\\r]")).withColumn(
+        "n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast("long")).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id; shingles of five words, similarity 0.8.
+
+    Of rows that share that id, the one with the least hash of its text stays; documents without words all stay.
+    """
+    docs = session.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80)
+    # Components are found on row numbers, so repeated and null ids need no rule there; the id decides who stays.
+    group = docs.select("_row", "doc_id", F.xxhash64("text").alias("_hash")).join(
+        found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    first = group.groupBy("component_id").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
+    return docs.join(first, "_row", "left_semi").select(*[c for c in docs.columns if c != "_row"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item with at most a fifth of its words edited go."""
+    return with_leaks(docs, _table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens with their sequences."""
+    return pack_documents(docs, capacity=1024)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination),
+    ("packing", packing)]
+
+#: A fitted model, hashing and packing can't be put in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to `documents`; every stage's result is written and read again before the next."""
     session.apply_runtime_conf(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = session.materialize(docs, f"pipeline_{name}")
-    return docs
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = session.materialize(stage(spark, docs, sf_dir), f"pipeline_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
