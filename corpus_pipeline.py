@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge import session
@@ -23,10 +23,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _carried(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns an operator needs, and the whole row beside them, so that no other column can clash with its own."""
+    return docs.select(*columns, F.struct(*docs.columns).alias("original"))
+
+
+def _has_words() -> Column:
+    return F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches their language's threshold go.  The fit reads the labels of sf_dir."""
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where(~F.col("is_toxic")).select(*docs.columns)
+    return score_toxicity(_carried(docs, "text", "lang"), model).where(~F.col("is_toxic")).select("original.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +43,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents that had words and keep none go with their lines.
     """
-    cleaned = drop_repeated_lines(docs.withColumn("_had", F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))))
-    return cleaned.where(~F.col("_had") | F.col("text").rlike("[^ \\t-\\r]")).withColumn(
-        "n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast("long")).select(*docs.columns)
+    cleaned = drop_repeated_lines(_carried(docs, "doc_id", "text").withColumn("had", _has_words())).where(~F.col("had") | _has_words())
+    length = F.when(F.col("text").isNull(), F.col("original.n_chars")).otherwise(F.char_length("text")).cast("long")
+    new = {"text": F.col("text"), "n_chars": length}
+    return cleaned.select(*[new.get(c, F.col(f"original.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,19 +54,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that share that id, the one with the least hash of its text stays; documents without words all stay.
     """
-    docs = session.materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = near_duplicates(docs.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80)
     # Components are found on row numbers, so repeated and null ids need no rule there; the id decides who stays.
-    group = docs.select("_row", "doc_id", F.xxhash64("text").alias("_hash")).join(
-        found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    rows = session.materialize(_carried(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), width=5, percent=80)
+    group = rows.select("row", "doc_id", F.xxhash64("text").alias("hash")).join(
+        found.select(F.col("doc_id").alias("row"), "component_id"), "row")
     first = group.groupBy("component_id").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
-    return docs.join(first, "_row", "left_semi").select(*[c for c in docs.columns if c != "_row"])
+        F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "row")).alias("m")).select(F.col("m.row").alias("row"))
+    return rows.join(first, "row", "left_semi").select("original.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item with at most a fifth of its words edited go."""
-    return with_leaks(docs, _table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*docs.columns)
+    found = with_leaks(_carried(docs, "text"), _table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") == 0).select("original.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,13 +141,13 @@ def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
     Columns and rows stay; a text all of whose lines go becomes empty, a null text stays null.
     """
     decided = line_decisions(docs, min_words, id_col, text).select(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n_lines", F.col("kept").alias("_kept")).withColumnRenamed("n_lines", "_n")
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(text).cast("string")))
-    joined = keyed.join(decided, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left")
-    whole = F.col("_kept").isNull() | (F.size("_kept") == F.col("_n"))
+        F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("n_lines").alias("__n"), F.col("kept").alias("__kept"))
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(text).cast("string")))
+    joined = keyed.join(decided, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")
+    whole = F.col("__kept").isNull() | (F.size("__kept") == F.col("__n"))
     parts = F.split(F.col(text).cast("string"), "\n")
     cleaned = F.when(F.col(text).isNull() | whole, F.col(text)).otherwise(
-        F.array_join(F.transform("_kept", lambda i: F.get(parts, i)), "\n"))
+        F.array_join(F.transform("__kept", lambda i: F.get(parts, i)), "\n"))
     return joined.withColumn(text, cleaned).select(*docs.columns)
 
 
