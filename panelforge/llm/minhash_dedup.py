@@ -20,6 +20,9 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Orders in which the centre of a band's bucket is chosen.
 ORDERS = 4
+#: Pairs of buckets of up to so many classes are listed; larger buckets are compared inside tasks, in blocks of classes.
+SMALL_BUCKET = 8
+BLOCK = 1024
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +171,86 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
 
 
+def links_between(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
+    """One link for each two components that have one between these (node, root, set) rows of one bucket.
+
+    Every pair of a left and a right row with different roots is compared on its full sets, but for pairs that an
+    earlier link has joined.  Rows of the most frequent root are not held against each other, so one side of a pair is
+    always outside it; that side's set is marked and counted in all sets of the other side at once.
+    """
+    roots = sorted({r for _, r, _ in left + right})
+    code = {r: i for i, r in enumerate(roots)}
+    where = list(range(len(roots)))
+
+    def find(i: int) -> int:
+        while where[i] != i:
+            where[i] = i = where[where[i]]
+        return i
+
+    found = []
+    size_of: dict[bytes, int] = {}
+    for _, r, _ in left + right:
+        size_of[r] = size_of.get(r, 0) + 1
+    main = max(roots, key=lambda r: (size_of[r], r))
+    for outer, inner in ((left, right), (right, left)):
+        outer = [x for x in outer if x[1] != main]
+        if not outer or not inner:
+            continue
+        sets = [np.frombuffer(x[2], np.uint64) for x in inner]
+        lengths = np.array([len(x) for x in sets])
+        starts = np.cumsum(lengths) - lengths
+        elements, at = np.unique(np.concatenate(sets), return_inverse=True)
+        inner_code = np.array([code[x[1]] for x in inner])
+        for node, root, data in outer:
+            own = np.frombuffer(data, np.uint64)
+            fits = (100 * np.minimum(lengths, len(own)) >= percent * np.maximum(lengths, len(own)))
+            fits &= inner_code != code[root]
+            if not fits.any():
+                continue
+            mark = np.zeros(len(elements), np.int32)
+            place = np.searchsorted(elements, own)
+            place[place == len(elements)] = 0
+            mark[place[elements[place] == own]] = 1
+            common = np.add.reduceat(mark[at], starts)
+            near = np.flatnonzero(fits & (100 * common >= percent * (lengths + len(own) - common)))
+            for j in near:
+                a, b = find(code[root]), find(int(inner_code[j]))
+                if a != b:
+                    where[max(a, b)] = min(a, b)
+                    found.append((node, inner[j][0]))
+        if left is right:
+            break
+    return found
+
+
+def _links_in_large_buckets(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components within buckets; rows: key, c (classes of the bucket), node, root.
+
+    A bucket is cut into blocks of about BLOCK classes, and every two blocks are a cell of their own.
+    """
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = rows.join(sets, "node").withColumn("blocks", blocks).withColumn("mine", mine).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "node", "root", "data")
+    cells = cells.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("mine", "node", "root", "data")).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in range(b.num_rows):
+                lo, hi = b.column("lo")[r].as_py(), b.column("hi")[r].as_py()
+                rows = sorted((x["node"], x["root"], x["data"], x["mine"]) for x in b.column("rows")[r].as_py())
+                left = [x[:3] for x in rows if x[3] == lo]
+                right = left if lo == hi else [x[:3] for x in rows if x[3] == hi]
+                if left and right:
+                    out += links_between(left, right, percent)
+            cols = [[*c] for c in zip(*out, strict=True)] or [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["a", "b"])
+
+    return cells.select("lo", "hi", "rows").mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; documents are linked if 100 |A n B| >= percent |A u B|.
 
@@ -178,8 +261,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     Documents with equal sets form a class.  Classes meet in buckets of bands of their registers.  In each bucket every
     class is held against a centre; a class's most similar centre is verified on full sets first, which settles most
-    components.  Then all pairs of a bucket that still lie in different components are estimated and verified, so no
-    pair that shares a bucket is left out, and pairs inside a component are never listed.
+    components.  Then all pairs of a bucket that still lie in different components are verified, those of large buckets
+    inside tasks and in blocks, so no pair that shares a bucket is left out, and pairs inside a component are never listed.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -209,12 +292,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     # What buckets still hold apart: (key, node, root) of buckets with several components.
     rooted = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     rooted = session.materialize(rooted, "rooted")
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = session.materialize(rooted.join(open_keys, "key", "left_semi"), "open_buckets")
-    other = left.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    apart = left.join(other, "key").where((F.col("root") != F.col("root_b")) & (F.col("node") < F.col("b"))).select(
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where(
+        "lo <> hi").select("key", "c")
+    left = session.materialize(rooted.join(open_keys, "key"), "open_buckets")
+    few = left.where(F.col("c") <= SMALL_BUCKET)
+    other = few.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    apart = few.join(other, "key").where((F.col("root") != F.col("root_b")) & (F.col("node") < F.col("b"))).select(
         F.col("node").alias("a"), "b").distinct()
-    more = session.materialize(_verified(_estimated(apart, classes, least), sets, percent), "more_links")
+    more = _verified(_estimated(apart, classes, least), sets, percent).union(
+        _links_in_large_buckets(left.where(F.col("c") > SMALL_BUCKET), sets, percent))
+    more = session.materialize(more, "more_links")
     roots = session.materialize(components(links.union(more)), "roots")
     by_root = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
     least_id = by_root.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -224,8 +311,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-OP5_SQL = None
-
 
 @query("op5_minhash_dedup")
 def op5(spark, sf):
