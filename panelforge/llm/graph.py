@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from panelforge import session
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one link to a smaller one at most, and none that has also ends a link."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1)))
+    per_node = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per_node.where((F.col("up") > 1) | ((F.col("up") == 1) & (F.col("down") == 1))).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,19 +25,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = session.materialize(links.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = _checksum(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = session.materialize(large.where("a <> b").distinct(), "large_star")
+        large = session.materialize(large.where("a <> b"), "large_star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
+        small = small.select("a", F.col("m").alias("b")).union(small.select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")))
         edges = session.materialize(small.where("a <> b").distinct(), "small_star")
-        now = _checksum(edges)
-        if now == seen:
-            break
-        seen = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     more = _verified(_estimated(apart, classes, least), sets, percent).union(
         _links_in_large_buckets(left.where(F.col("c") > SMALL_BUCKET), sets, percent))
     more = session.materialize(more, "more_links")
-    roots = session.materialize(components(links.union(more)), "roots")
+    roots = session.materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "roots")
     by_root = classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "rep")
     least_id = by_root.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_node = by_root.join(least_id, "root").select("node", "component_id")
