@@ -38,7 +38,7 @@ def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np
     sets, sizes = [], np.zeros(len(bounds), np.int64)
     n = len(hashes)
     rolled = np.zeros(n, np.uint64)
-    for k in range(width):
+    for k in range(min(width, n)):
         rolled[:n - k] = (rolled[:n - k] ^ hashes[k:]) * np.uint64(0x9FB21C651E98DF25)
         rolled[:n - k] ^= rolled[:n - k] >> np.uint64(29)
     for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
