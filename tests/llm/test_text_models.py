@@ -5,7 +5,6 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from panelforge.llm import decontamination as dc
 from panelforge.llm import lm_scoring as lm
 from panelforge.llm.decontamination import edit_match, with_leaks
 from panelforge.llm.html_extraction import extract, main_text
