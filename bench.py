@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -35,6 +36,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1m"})
     spark.sparkContext.setLogLevel("ERROR")

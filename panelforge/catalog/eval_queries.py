@@ -74,12 +74,20 @@ def next_benchmark(spark, sf):
     return b.join(nxt, "bar_no", "left").select("ts", F.col("close").alias("bench_close"), (F.col("_n") / F.col("close") - 1).alias("bench_ret"))
 
 
-@query("a05_benchmark_comparison", f"""WITH {SQL_BOOKS}, {SQL_BNEXT}, c AS (SELECT DISTINCT config FROM daily), j AS (SELECT c.config, bn.*, d.book_ret FROM bn CROSS JOIN c LEFT JOIN daily d ON d.ts = bn.ts AND d.config = c.config),
-  e AS (SELECT config, (arg_max(bc, ts) / arg_min(bc, ts) - 1) * 100 AS benchmark_return_pct, avg(coalesce(book_ret, 0) - br) / stddev_samp(coalesce(book_ret, 0) - br) * sqrt(252) AS information_ratio FROM j GROUP BY config)
-  SELECT config, {cols_sql(['benchmark_return_pct', 'information_ratio'], 5)} FROM e""")
+_CMP = ["benchmark_return_pct", "alpha_pct", "information_ratio"]
+
+
+@query("a05_benchmark_comparison", f"""WITH {SQL_BOOKS}, {SQL_BNEXT}, c AS (SELECT config, (arg_max(equity, ts) / arg_min(equity, ts) - 1) * 100 AS own FROM daily GROUP BY config),
+  j AS (SELECT c.config, c.own, bn.*, d.book_ret FROM bn CROSS JOIN c LEFT JOIN daily d ON d.config = c.config AND d.ts = bn.ts),
+  e AS (SELECT config, (arg_max(bc, ts) / arg_min(bc, ts) - 1) * 100 AS benchmark_return_pct, max(own) - (arg_max(bc, ts) / arg_min(bc, ts) - 1) * 100 AS alpha_pct,
+    avg(coalesce(book_ret, 0) - br) / stddev_samp(coalesce(book_ret, 0) - br) * sqrt(252) AS information_ratio FROM j GROUP BY config)
+  SELECT config, {cols_sql(_CMP[:1] + _CMP[2:], 4)}, {r_sql('sign(alpha_pct) * ln(1 + abs(alpha_pct))', 'log_alpha', 4)} FROM e""")
 def benchmark_comparison(spark, sf):
-    r = metrics.benchmark_comparison(grid_daily(spark, sf), next_benchmark(spark, sf), ["config"], "book_ret")
-    return out(r, ["config"], ["benchmark_return_pct", "information_ratio"], 5)
+    """Alpha and information ratio of every variant (A5)."""
+    r = metrics.benchmark_comparison(grid_daily(spark, sf), next_benchmark(spark, sf), ["config"], "book_ret", equity="equity")
+    # On the logarithm, as the synthetic books' equity spans hundreds of magnitudes.
+    r = r.withColumn("log_alpha", F.signum("alpha_pct") * F.log1p(F.abs("alpha_pct")))
+    return out(r, ["config"], ["benchmark_return_pct", "information_ratio", "log_alpha"], 4)
 
 
 SQL_BETA = """betas AS (SELECT config, CASE WHEN count(br) >= 30 AND var_samp(br) > 0 THEN covar_samp(br, book_ret) / var_samp(br) END AS beta
@@ -232,7 +240,8 @@ def log_bars(spark, sf):
   d AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY model, symbol, session ORDER BY date, event_id) = 1),
   k AS (SELECT *, dense_rank() OVER (PARTITION BY model ORDER BY session DESC) AS dr FROM d), nd AS (SELECT model, count(DISTINCT session) AS n_dates FROM d GROUP BY 1),
   s AS (SELECT k.model, k.symbol, k.session, {SQL_SCORE} AS score, b.close / k.price - 1 AS ret FROM k LEFT JOIN pxn a ON a.symbol = k.symbol AND a.ts = k.session
-    LEFT JOIN pxn b ON b.symbol = k.symbol AND b.bar_no = a.bar_no + 3 WHERE dr <= 15),
+    LEFT JOIN (SELECT symbol, min(bar_no) AS b0 FROM pxn GROUP BY symbol) f ON f.symbol = k.symbol
+    LEFT JOIN pxn b ON b.symbol = k.symbol AND b.bar_no = coalesce(a.bar_no, f.b0) + 3 WHERE dr <= 15),
   ok AS (SELECT * FROM s WHERE ret IS NOT NULL AND abs(ret) >= 1e-5), {rankic_sql('score', 'ret', 'model', 'ok', 2)},
   st AS (SELECT model, count(*) AS rows_, count(*) FILTER (ret IS NOT NULL AND abs(ret) >= 1e-5) AS lookback_n FROM s GROUP BY 1),
   ag AS (SELECT model, count(*) FILTER (score <> 0) AS n_directional, avg((sign(score) = sign(ret))::INT) FILTER (score <> 0) AS directional_accuracy, avg(score) AS mean_pred, stddev_pop(score) AS std_pred FROM ok GROUP BY 1),

@@ -193,7 +193,7 @@ def append_unrecorded(spark, sf):
     """Predictions whose bar has not advanced are not logged again."""
     log = prediction_log(spark, sf)
     half = table(spark, sf, "events").agg(F.max("event_id")).first()[0] // 2
-    new = logs.unrecorded(log.where(F.col("event_id") > half), log.where(F.col("event_id") <= half), "event_id")
+    new = logs.unrecorded(log.where(F.col("event_id") > half), log.where(F.col("event_id") <= half), ["event_id"])
     return new.select("event_id", "symbol", "model", "bar_date")
 
 
@@ -451,10 +451,10 @@ def last_record(spark, sf):
     return logs.latest_by_key(l, ["symbol", "model"], "event_id")
 
 
-@query("k06_by_confidence", f"WITH {SQL_LOG} SELECT event_id, model, {r_sql('confidence')} FROM log ORDER BY confidence DESC, event_id LIMIT 100")
+@query("k06_by_confidence", f"WITH {SQL_LOG} SELECT event_id, model, {r_sql('confidence')} FROM log ORDER BY confidence DESC, event_id")
 def by_confidence(spark, sf):
-    """Most confident records (a top-k report)."""
-    l = prediction_log(spark, sf).orderBy(F.col("confidence").desc(), "event_id").limit(100)
+    """Records from the most to the least confident."""
+    l = prediction_log(spark, sf).orderBy(F.col("confidence").desc(), "event_id")
     return out(l, ["event_id", "model"], ["confidence"])
 
 

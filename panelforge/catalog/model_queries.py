@@ -17,7 +17,7 @@ from panelforge.operators import features as feats
 from panelforge.operators import metrics, models, signals, splits, xsec
 from panelforge.operators.timeaxis import number_rows
 from panelforge.plans import eval_report
-from panelforge.schema import FEATURE_COLS, LABEL
+from panelforge.schema import FEATURE_COLS, LABEL, SWEEP_QUANTILES, SWEEP_WINDOWS
 
 _X = ["rsi_14", "adx_14"]
 FOLD = splits.FoldConfig(train=100, test=21, step=7)
@@ -201,16 +201,16 @@ def fold_scores(spark, sf):
     return out(models.fold_scores(fold_preds(spark, sf), FOLD), ["symbol", "fold", "n"], ["ic", "dir_acc"], 5)
 
 
-_Q, _W = [0.6, 0.7, 0.8], [40, 60]
+_Q, _W = SWEEP_QUANTILES, SWEEP_WINDOWS
 
 
 def _matrix_sql() -> str:
     ts = []
     for w in _W:
         for q in _Q:
-            ts.append(f"CASE WHEN count(p) OVER f{w} >= 20 THEN quantile_cont(abs(p), {q}) OVER f{w} END AS t_{int(q * 100)}_{w}")
+            ts.append(f"CASE WHEN count(p) OVER f{w} >= 20 THEN quantile_cont(abs(p), {q}) OVER f{w} END AS t_{round(q * 100)}_{w}")
     wins = ", ".join(f"f{w} AS (PARTITION BY symbol, fold ORDER BY off ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)" for w in _W)
-    opts = ", ".join("{'config_no': %d, 'quantile': %s::DOUBLE, 'win': %d, 't': t_%d_%d}" % (i * len(_W) + j, q, w, int(q * 100), w)
+    opts = ", ".join("{'config_no': %d, 'quantile': %s::DOUBLE, 'win': %d, 't': t_%d_%d}" % (i * len(_W) + j, q, w, round(q * 100), w)
                      for i, q in enumerate(_Q) for j, w in enumerate(_W))
     return f"""{SQL_FIT}, th AS (SELECT *, {', '.join(ts)} FROM fp WINDOW {wins}),
   op AS (SELECT symbol, fold, p, ret, UNNEST([{opts}], recursive := true) FROM th WHERE off >= {FOLD.train + 3}),
@@ -280,22 +280,22 @@ def ridge_full(spark, sf):
 @query("l09_elastic_net")
 def elastic_net(spark, sf):
     s = _split(spark, sf)
-    m, chosen = models.fit_elastic_net(s.where("role = 'train'"), FEATURE_COLS, LABEL, folds=2, n_alphas=2, l1_ratios=[0.1, 0.9])
+    m, chosen = models.fit_elastic_net(s.where("role = 'train'"), FEATURE_COLS, LABEL)
     return metrics.forecast_metrics(m.score(s.where("role = 'test'")), "pred", LABEL)
 
 
 @query("l10_boosted_trees")
 def boosted(spark, sf):
     s = _split(spark, sf)
-    m = models.fit_boosted(s.where("role = 'train'"), FEATURE_COLS, LABEL, max_iter=5)
-    return metrics.forecast_metrics(models.score_regressor(m, s.where("role = 'test'"), FEATURE_COLS), "pred", LABEL)
+    m = models.fit_boosted(s.where("role = 'train'"), FEATURE_COLS, LABEL, max_iter=60)
+    return metrics.forecast_metrics(models.score_regressor(m, s.where("role = 'test'")), "pred", LABEL)
 
 
 @query("l10_forest_classifier")
 def forest(spark, sf):
     s = _split(spark, sf)
     m = models.fit_forest(s.where("role = 'train'"), FEATURE_COLS, "label")
-    scored = models.score_classifier(m, s.where("role = 'test'"), FEATURE_COLS)
+    scored = models.score_classifier(m, s.where("role = 'test'"))
     return metrics.classifier_metrics(scored.withColumn("p", sc.argmax("proba")), "label", "p")
 
 
@@ -303,7 +303,7 @@ def forest(spark, sf):
 def logistic(spark, sf):
     s = _split(spark, sf)
     m = models.fit_logistic(s.where("role = 'train'"), FEATURE_COLS, "label", "sqrt")
-    scored = models.score_classifier(m, s.where("role = 'test'"), FEATURE_COLS)
+    scored = models.score_classifier(m, s.where("role = 'test'"))
     return metrics.classifier_metrics(scored.withColumn("p", sc.argmax("proba")), "label", "p")
 
 
@@ -351,20 +351,27 @@ _Z17 = (1 - EULER_GAMMA) * NormalDist().inv_cdf(1 - 1 / _NT) + EULER_GAMMA * Nor
 
 
 def _trials_sql() -> str:
-    ts = ", ".join(f"CASE WHEN count(pred) OVER f{w} >= 20 THEN quantile_cont(abs(pred), {q}) OVER f{w} END AS t_{int(q * 100)}_{w}" for w in _W for q in _Q)
+    ts = ", ".join(f"CASE WHEN count(pred) OVER f{w} >= 20 THEN quantile_cont(abs(pred), {q}) OVER f{w} END AS t_{round(q * 100)}_{w}" for w in _W for q in _Q)
     wins = ", ".join(f"f{w} AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)" for w in _W)
-    opts = ", ".join("{'config_no': %d, 'config': 'q%g_w%d', 't': t_%d_%d}" % (i * len(_W) + j, q, w, int(q * 100), w)
+    opts = ", ".join("{'config_no': %d, 'config': 'q%g_w%d', 't': t_%d_%d}" % (i * len(_W) + j, q, w, round(q * 100), w)
                      for i, q in enumerate(_Q) for j, w in enumerate(_W))
-    return f"""th AS (SELECT *, {ts} FROM panel1 WINDOW {wins}), op AS (SELECT symbol, pred, ret, UNNEST([{opts}], recursive := true) FROM th WHERE ret IS NOT NULL),
-  rr AS (SELECT symbol, config, config_no, CASE WHEN abs(pred) > t THEN sign(pred) * ret ELSE 0 END AS r FROM op),
+    return f"""th AS (SELECT *, {ts} FROM panel1 WINDOW {wins}), op AS (SELECT symbol, i, pred, ret, UNNEST([{opts}], recursive := true) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM th)),
+  sg AS (SELECT symbol, i, ret, config, config_no, CASE WHEN abs(pred) > t THEN sign(pred) ELSE 0 END::DOUBLE AS sig FROM op),
+  ho AS (SELECT symbol, config_no, i, sig AS position, CASE WHEN sig <> 0 THEN 0 ELSE 99 END AS age FROM sg WHERE i = 1
+    UNION ALL SELECT sg.symbol, sg.config_no, sg.i,
+      CASE WHEN sign(sg.sig) <> sign(ho.position) AND (ho.position = 0 OR ho.age + 1 >= 5) THEN sg.sig ELSE ho.position END,
+      CASE WHEN sign(sg.sig) <> sign(ho.position) AND (ho.position = 0 OR ho.age + 1 >= 5) AND sg.sig <> 0 THEN 0 ELSE ho.age + 1 END
+    FROM ho JOIN sg ON sg.symbol = ho.symbol AND sg.config_no = ho.config_no AND sg.i = ho.i + 1),
+  rr AS (SELECT sg.symbol, sg.config, sg.config_no, coalesce(ho.position, 0) * sg.ret AS r FROM sg LEFT JOIN ho
+    ON ho.symbol = sg.symbol AND ho.config_no = sg.config_no AND ho.i = sg.i - 1 WHERE sg.ret IS NOT NULL),
   r1 AS (SELECT *, avg(r) OVER g AS m, stddev_pop(r) OVER g AS s FROM rr WINDOW g AS (PARTITION BY symbol, config_no)),
   mo AS (SELECT symbol, config, config_no, count(*) AS t, max(s) AS sd0, CASE WHEN stddev_samp(r) > 0 THEN avg(r) / stddev_samp(r) ELSE 0 END AS sr,
     avg(power((r - m) / nullif(s, 0), 3)) AS skew, avg(power((r - m) / nullif(s, 0), 4)) AS kurt FROM r1 GROUP BY 1, 2, 3),
-  be AS (SELECT *, var_samp(sr) OVER (PARTITION BY symbol) AS tv, row_number() OVER (PARTITION BY symbol ORDER BY sr DESC, config_no) AS rk FROM mo),
+  be AS (SELECT *, var_samp(sr) OVER (PARTITION BY symbol) AS tv, row_number() OVER (PARTITION BY symbol ORDER BY round(sr, 12) DESC, config_no) AS rk FROM mo),
   ds AS (SELECT symbol, config, t, sr, sqrt(tv) * {_Z17!r}::DOUBLE AS sr0, 1 - skew * sr + (kurt - 1) / 4 * sr * sr AS den, sd0 FROM be WHERE rk = 1)"""
 
 
-@query("l17_deflated_by_symbol", f"""WITH {SQL_PANEL}, {_trials_sql()} SELECT symbol, config, t, {r_sql('sr', digits=5)}, {r_sql('sr0', digits=5)},
+@query("l17_deflated_by_symbol", f"""WITH RECURSIVE {SQL_PANEL}, {_trials_sql()} SELECT symbol, config, t, {r_sql('sr', digits=5)}, {r_sql('sr0', digits=5)},
   {r_sql('CASE WHEN den > 0 AND sd0 > 0 THEN (sr - sr0) * sqrt(t - 1) / sqrt(den) END', 'z', 5)} FROM ds""")
 def deflated_by_symbol(spark, sf):
     """Every (quantile, window) setting per symbol, the best one deflated."""

@@ -139,14 +139,14 @@ def ic_summary(spark, sf):
     return out(metrics.ic_summary(metrics.cross_sectional_ic(panel(spark, sf), "pred", "ret")), ["n_dates"], _IC_STATS)
 
 
-@query("x09_ic_decay", f"""WITH {SQL_PANEL}, f AS (SELECT *, UNNEST([
-    {', '.join("{'h': %d, 'fwd': lead(close, %d) OVER w / close - 1}" % (h, h) for h in (1, 2, 3, 5, 10))}], recursive := true)
-    FROM panel1 WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+@query("x09_ic_decay", f"""WITH {SQL_PANEL}, dx AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM (SELECT DISTINCT ts FROM panel1)),
+  px AS (SELECT p.*, dx.i FROM panel1 p JOIN dx USING (ts)),
+  f AS (SELECT a.ts, a.symbol, a.pred, h.h, b.close / a.close - 1 AS fwd FROM px a CROSS JOIN (SELECT UNNEST([1, 2, 3, 5, 10]) AS h) h
+    LEFT JOIN px b ON b.symbol = a.symbol AND b.i = a.i + h.h),
   {rankic_sql('pred', 'fwd', 'h, ts', 'f')}, s AS (SELECT h AS horizon, {SQL_IC_STATS} FROM ics GROUP BY h)
   SELECT horizon, n_dates, horizon > 1 AS overlapping, {cols_sql(_IC_STATS)} FROM s""")
 def ic_decay(spark, sf):
-    p = number_rows(panel(spark, sf).drop("bar_no"))
-    return out(metrics.ic_decay(p), ["horizon", "n_dates", "overlapping"], _IC_STATS)
+    return out(metrics.ic_decay(panel(spark, sf)), ["horizon", "n_dates", "overlapping"], _IC_STATS)
 
 
 @query("x10_train_ic", f"""WITH {SQL_PANEL}, {rankic_sql('pred', 'ret', min_names=5)}, s AS (SELECT {SQL_IC_STATS} FROM ics)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.stats import annual_sharpe, ols_beta, per_period_sharpe, sortino
 from panelforge.operators.ranks import average_rank, group_ranks
-from panelforge.operators.timeaxis import CHUNK_ROWS, chunk_window, chunked, own_rows, running
+from panelforge.operators.timeaxis import CHUNK_ROWS, chunk_window, chunked, number_rows, own_rows, running
 from panelforge.schema import EPS, IC_HORIZONS, TRADING_DAYS
 
 MIN_IC_NAMES = 20
@@ -51,27 +51,38 @@ def trade_summary(pnl: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.when(loss > 0, gain / loss).alias("profit_factor"), gain.alias("gross_profit"), loss.alias("gross_loss"))
 
 
-def benchmark_comparison(returns: DataFrame, bench: DataFrame, keys: Sequence[str], ret: str, date: str = "ts"
-                         ) -> DataFrame:
-    """Benchmark return and information ratio; benchmark days without a strategy return count as 0.
+def benchmark_comparison(returns: DataFrame, bench: DataFrame, keys: Sequence[str], ret: str, date: str = "ts",
+                         equity: str | None = None) -> DataFrame:
+    """Benchmark return, information ratio and, with `equity`, alpha: the strategy's total return less the benchmark's.
 
+    Benchmark days without a strategy return count as 0.  A constant excess return has the ratio 0.
     bench: date, bench_close, bench_ret (NULL on the first day).
     """
     total = (F.max_by("bench_close", date) / F.min_by("bench_close", date) - 1) * 100
-    b, r = F.col("bench_ret"), F.coalesce(F.col(ret), F.lit(0.0))
-    whole = bench.agg(total.alias("benchmark_return_pct"), F.count(b).alias("_n"), F.sum(b).alias("_b"),
-                      F.sum(b * b).alias("_bb"))
-    # Days without a strategy return enter through the benchmark's own sums, so
-    # no grid of names and dates is built.
-    j = returns.select(*keys, date, ret).join(bench.select(date, "bench_ret"), date, "left")
+    b = F.col("bench_ret")
+    whole = bench.agg(total.alias("benchmark_return_pct"), F.count(b).alias("_n"), F.sum(b).alias("_b"), F.sum(b * b).alias("_bb"))
+    # Days without a strategy return enter through the benchmark's moments on the other days, so no grid of names and
+    # dates is built; where there are none, the deviation is that of the joined days itself.
+    j = returns.join(bench.select(date, "bench_ret"), date, "left")
+    excess = F.when(b.isNotNull(), F.coalesce(F.col(ret), F.lit(0.0)) - b)
+    shared = F.when(excess.isNotNull(), b)
     own = j.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.when(b.isNotNull(), r)), F.lit(0.0)).alias("_r"),
-        F.coalesce(F.sum(F.when(b.isNotNull(), r * r - 2 * r * b)), F.lit(0.0)).alias("_rr"))
+        F.count(excess).alias("_n1"), F.coalesce(F.avg(excess), F.lit(0.0)).alias("_m1"),
+        F.coalesce(F.var_pop(excess), F.lit(0.0)).alias("_v1"), F.coalesce(F.sum(shared), F.lit(0.0)).alias("_b1"),
+        F.coalesce(F.sum(shared * shared), F.lit(0.0)).alias("_bb1"),
+        *([] if equity is None else [((F.max_by(equity, date) / F.min_by(equity, date) - 1) * 100).alias("_own")]))
     s = own.join(F.broadcast(whole))  # one row
-    mean = (F.col("_r") - F.col("_b")) / F.col("_n")
-    sd = F.sqrt((F.col("_bb") + F.col("_rr") - F.col("_n") * mean * mean) / (F.col("_n") - 1))
-    ratio = F.when(sd > 0, mean / sd * math.sqrt(TRADING_DAYS)).otherwise(F.lit(0.0))
-    return s.select(*keys, "benchmark_return_pct", ratio.alias("information_ratio"))
+    n1, m1, n = F.col("_n1"), F.col("_m1"), F.col("_n")
+    n2 = n - n1
+    m2 = F.when(n2 > 0, -(F.col("_b") - F.col("_b1")) / n2).otherwise(0.0)
+    squares2 = F.when(n2 > 0, F.greatest(F.col("_bb") - F.col("_bb1") - n2 * m2 * m2, F.lit(0.0))).otherwise(0.0)
+    mean = (n1 * m1 + n2 * m2) / n
+    squares = n1 * F.col("_v1") + squares2 + n1 * n2 / n * (m1 - m2) * (m1 - m2)
+    # Rounding alone may leave a deviation where there is none.
+    sd = F.sqrt(squares / (n - 1))
+    ratio = F.when((n > 1) & (sd > 1e-12 * F.greatest(F.abs(mean), F.lit(1e-12))), mean / sd * math.sqrt(TRADING_DAYS)).otherwise(F.lit(0.0))
+    alpha = [] if equity is None else [(F.col("_own") - F.col("benchmark_return_pct")).alias("alpha_pct")]
+    return s.select(*keys, "benchmark_return_pct", *alpha, ratio.alias("information_ratio"))
 
 
 def book_beta(daily: DataFrame, bench: DataFrame, keys: Sequence[str] = ("config",), date: str = "ts") -> DataFrame:
@@ -128,12 +139,19 @@ def ic_summary(ics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.when(n >= 2, F.avg(F.when(F.col("ic").isNotNull(), (F.col("ic") > 0).cast("double")))).alias("pct_positive"))
 
 
-def ic_decay(df: DataFrame, pred: str = "pred", horizons: Sequence[int] = IC_HORIZONS, min_names: int = MIN_IC_NAMES,
-             size: int = CHUNK_ROWS) -> DataFrame:
-    """IC summary per horizon; the horizons are ranked as separate groups of one job."""
-    f = forward_returns(df, horizons, size=size)
-    stacked = f.select("ts", "symbol", pred, F.inline(F.array(*[
-        F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("fwd")) for h in horizons])))
+def dated_forward_returns(df: DataFrame, horizons: Sequence[int] = IC_HORIZONS, keep: Sequence[str] = (), date: str = "ts") -> DataFrame:
+    """(date, symbol, keep, horizon, fwd): return to the h-th next date of the whole frame; NULL if the symbol has no row there."""
+    dates = number_rows(df.select(date).distinct(), keys=(), order=(date,), bucket=f"year({date})", out="_i")
+    placed = df.select(date, "symbol", "close", *keep).join(F.broadcast(dates), date)  # one row per calendar date
+    later = placed.select("symbol", F.col("_i").alias("_j"), F.col("close").alias("_later"))
+    asked = placed.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("_j", F.col("_i") + F.col("horizon"))
+    return asked.join(later, ["symbol", "_j"], "left").select(
+        date, "symbol", *keep, "horizon", (F.try_divide(F.col("_later"), F.col("close")) - 1).alias("fwd"))
+
+
+def ic_decay(df: DataFrame, pred: str = "pred", horizons: Sequence[int] = IC_HORIZONS, min_names: int = MIN_IC_NAMES) -> DataFrame:
+    """IC summary per horizon in dates; the horizons are ranked as separate groups of one job."""
+    stacked = dated_forward_returns(df, horizons, [pred])
     ics = cross_sectional_ic(stacked, pred, "fwd", min_names=min_names, extra=["horizon"])
     return ic_summary(ics, ["horizon"]).withColumn("overlapping", F.col("horizon") > 1)
 

@@ -71,12 +71,14 @@ def realized_ic(log: DataFrame, bars: DataFrame, today: str, min_lookback: int =
         & (F.col("date") <= cutoff))
     known = dedupe_sessions(resolve_sessions(usable, bars), tie)
     recent = latest_dates(known, min_lookback)
-    # The bar `horizon` places after the session; a date without a session looks
-    # forward from its next bar, which resolution has already ruled out unless the
-    # symbol has no earlier bar at all.
+    # The bar `horizon` places after the session.  A date without a session lies before
+    # its symbol's first bar, and looks forward from that.
     at = bars.select("symbol", F.to_date("ts").alias("session"), "bar_no")
     later = bars.select("symbol", (F.col("bar_no") - horizon).alias("bar_no"), F.col("close").alias("realized"))
-    scored = recent.join(at, ["symbol", "session"], "left").join(later, ["symbol", "bar_no"], "left")
+    first = bars.groupBy("symbol").agg(F.min("bar_no").alias("_first"))
+    placed = recent.join(at, ["symbol", "session"], "left").join(first, "symbol", "left")
+    placed = placed.withColumn("bar_no", F.coalesce("bar_no", "_first")).drop("_first")
+    scored = placed.join(later, ["symbol", "bar_no"], "left")
     ret = F.when(F.col("price") > 0, F.col("realized") / F.col("price") - 1.0)
     scored = scored.withColumns({"ret": ret, "score": signal_score("signal", "confidence")}).withColumn(
         "ok", F.col("ret").isNotNull() & (F.abs("ret") >= 1e-5))

@@ -36,7 +36,8 @@ def best_trial(perf: DataFrame, config: str, order: str, r: str, n_trials: int,
     perf: keys, config, order (the trial's place in its grid), r (per-period return).
     """
     trials = return_moments(perf, r, [*keys, config, order])
-    pick = F.max_by(F.struct(*trials.columns), F.struct("sr", -F.col(order)))
+    # Equal settings may differ in the last digits of their sums.
+    pick = F.max_by(F.struct(*trials.columns), F.struct(F.round("sr", 12), -F.col(order)))
     # One row per trial here.
     best = trials.groupBy(*keys).agg(
         pick.alias("_b"), F.coalesce(F.var_samp("sr"), F.lit(0.0)).alias("trial_var"), F.count(F.lit(1)).alias("n_trials"))

@@ -53,8 +53,6 @@ def evaluate(panel: DataFrame, benchmark_returns: DataFrame, dropped: DataFrame,
     n_obs = daily.agg(F.countDistinct("i")).first()[0]
     logits = overfit.overfit_logits(daily, "config", "config_no", "i", "book_ret", n_obs) if n_obs >= 8 else None
     verdict = overfit.evaluate_grid(daily, metrics.book_beta(daily, benchmark_returns), logits, len(grid))
-    from panelforge.operators.timeaxis import number_rows
-    numbered = number_rows(panel.select("symbol", "ts", "close", "pred"))
-    fwd = metrics.forward_returns(numbered, [HORIZON])
-    return PanelReport(daily, book.book_diagnostics(daily), metrics.ic_decay(numbered),
-                       metrics.pooled_ic(fwd, "pred", f"fwd_{HORIZON}"), metrics.names_coverage(panel), verdict, dropped)
+    fwd = metrics.dated_forward_returns(panel, [HORIZON], ["pred"])
+    return PanelReport(daily, book.book_diagnostics(daily), metrics.ic_decay(panel),
+                       metrics.pooled_ic(fwd, "pred", "fwd"), metrics.names_coverage(panel), verdict, dropped)

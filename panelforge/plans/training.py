@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelforge.operators import metrics, models, quality, splits, xsec
 from panelforge.operators.features import daily_features
 from panelforge.operators.timeaxis import number_rows
-from panelforge.schema import LABEL, cs_feature_cols
+from panelforge.schema import LABEL, model_inputs
 from panelforge.session import materialize
 from panelforge.sources import tables
 
@@ -30,7 +30,7 @@ def build_dataset(bars: DataFrame, benchmark: DataFrame | None, cs_mode: str = "
     feats = daily_features(bars, benchmark).where(F.col(LABEL).isNotNull())
     df = quality.min_history(materialize(feats, "train_features"), min_rows).withColumn("y", F.col(LABEL))
     if cs_mode != "off":
-        df = xsec.cross_sectional_normalize(df, mode=cs_mode).na.drop(subset=cs_feature_cols(cs_mode))
+        df = xsec.cross_sectional_normalize(df, mode=cs_mode).na.drop(subset=model_inputs(cs_mode))
     if demean:
         df = xsec.demean_target(df, "y")
     return materialize(splits.split_panel(materialize(df, "train_panel"), **split), "train_split")
@@ -39,7 +39,7 @@ def build_dataset(bars: DataFrame, benchmark: DataFrame | None, cs_mode: str = "
 def train(dataset: DataFrame, cs_mode: str = "off", kind: str = "ridge", alpha: float = 10.0) -> TrainingResult:
     bounds = splits.split_bounds(dataset.select("ts", "role").distinct())
     splits.check_split(bounds)
-    cols = cs_feature_cols(cs_mode)
+    cols = model_inputs(cs_mode)
     fit_rows, test = dataset.where("role = 'train'"), dataset.where("role = 'test'")
     model = models.fit_ridge(fit_rows, cols, "y", alpha) if kind == "ridge" else models.fit_elastic_net(fit_rows, cols, "y")[0]
     scored_train, scored_test = model.score(fit_rows), model.score(test)

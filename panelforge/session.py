@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +33,17 @@ def apply_runtime_conf(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
+def named_dir(spark: SparkSession) -> str | None:
+    """The folder in spark.checkpoint.dir, or else the one the context was given, if there is one."""
+    sc = spark.sparkContext
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a private one only where none is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
+    """The folder that driver and executors share; there is no default, since a local one loses data on a cluster."""
+    named = named_dir(spark)
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return named.rstrip("/")
 
 

@@ -31,9 +31,13 @@ def latest_by_key(log: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return keep_one(log, keys, seq)
 
 
-def unrecorded(predictions: DataFrame, log: DataFrame, seq: str = "date") -> DataFrame:
-    """Predictions whose bar is not the one last recorded for their symbol and model."""
-    last = log.groupBy("symbol", "model").agg(F.max_by("bar_date", seq).alias("bar_date"))
+def unrecorded(predictions: DataFrame, log: DataFrame, seq: Sequence[str] = ("date", "bar_date")) -> DataFrame:
+    """Predictions whose bar is not the one last recorded for their symbol and model.
+
+    seq: the order of the log; records of one day tie on the date alone.  Records without a bar_date don't count.
+    """
+    dated = log.where("bar_date is not null and symbol is not null and model is not null")
+    last = dated.groupBy("symbol", "model").agg(F.max_by("bar_date", F.struct(*seq)).alias("bar_date"))
     usable = predictions.where("signal is not null").withColumn("bar_date", F.coalesce("bar_date", "date"))
     return usable.join(last, ["symbol", "model", "bar_date"], "left_anti")
 

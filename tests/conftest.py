@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,7 +14,8 @@ from panelforge.session import get_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = get_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false"})
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-")})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

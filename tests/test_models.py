@@ -111,6 +111,6 @@ def test_retrain_trigger(spark):
 
 def test_feature_contract():
     schema.check_feature_contract(schema.FEATURE_COLS)
-    assert len(schema.FEATURE_COLS) == 30 and len(schema.cs_feature_cols("augment")) == 60
+    assert len(schema.FEATURE_COLS) == 30 and len(schema.model_inputs("augment")) == 60
     with pytest.raises(schema.ContractError):
         schema.check_feature_contract(schema.FEATURE_COLS[::-1])
