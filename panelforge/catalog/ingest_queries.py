@@ -9,6 +9,7 @@ from panelforge.catalog.base import (
     SQL_BARS, SQL_BARS0, SQL_LOG, SQL_PANEL, SQL_TICKS, bars, cols_sql, features, out, panel, prediction_log, query, r_sql,
     raw_bars, sectors, table, ticks,
 )
+from panelforge.catalog.feature_queries import SQL_FEATURES
 from panelforge.functions import scalars as sc
 from panelforge.operators import monitor, quality
 from panelforge.operators.timeaxis import forward_fill, number_rows
@@ -32,15 +33,18 @@ def csv_scan(spark, sf):
 
 @query("s02_payload_scan", f"WITH {SQL_BARS0} SELECT symbol, ts, {cols_sql(_OHLCV, 9)} FROM bars0 WHERE ts BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'")
 def payload_scan(spark, sf):
-    """Landed nested payloads ({series: {date: {field: text}}}), exploded, cast and range-filtered."""
+    """Landed payload files ({series: {date: {field: text}}}), a file per symbol and year, exploded, cast and range-filtered."""
     b = raw_bars(spark, sf)
     fields = F.map_from_arrays(F.array(*[F.lit(k) for k in src.PAYLOAD_FIELDS]),
                                F.array(*[F.col(c).cast("string") for c in src.PAYLOAD_FIELDS.values()]))
-    day = F.create_map(F.col("ts").cast("string"), fields)
-    docs = b.select("symbol", F.to_json(F.create_map(F.lit(src.PAYLOAD_SERIES), day)).alias("body"))
+    # A symbol's bars of one year: a bounded document.
+    days = b.groupBy("symbol", F.year("ts").alias("year")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("ts").cast("string"), fields))).alias("d"))
+    docs = days.select(F.to_json(F.create_map(F.lit(src.PAYLOAD_SERIES), "d")).alias("body"), "symbol", "year")
     path = session.new_path(spark, "payloads")
-    docs.write.parquet(path)
-    return out(src.parse_payload(spark.read.parquet(path), "body", "1996-01-01", "1999-12-31"), ["symbol", "ts"], _OHLCV, 9)
+    docs.repartition("symbol").write.partitionBy("symbol", "year").text(path)
+    got = src.read_payload_bars(spark, f"{path}/*/*/*.txt", "1996-01-01", "1999-12-31", symbol=F.regexp_extract(
+        F.input_file_name(), r"symbol=([^/]+)", 1))
+    return out(got, ["symbol", "ts"], _OHLCV, 9)
 
 
 @query("s03_rename_columns", f"WITH {SQL_BARS0} SELECT symbol, ts, {cols_sql(_OHLCV, 9)} FROM bars0")
@@ -76,11 +80,14 @@ def bar_upsert(spark, sf):
     return out(spark.read.parquet(path), ["symbol", "ts", "interval"], ["close"], 9)
 
 
-@query("s06_feature_store", f"WITH {SQL_PANEL} SELECT symbol, ts, {r_sql('pred')}, {r_sql('ret')} FROM panel1")
+@query("s06_feature_store", f"WITH {SQL_FEATURES} SELECT symbol, ts, {cols_sql(schema.FEATURE_COLS, 5)} FROM feats")
 def feature_store(spark, sf):
-    """Wide columns to JSON rows and back."""
-    packed = tables.pack_features(panel(spark, sf), ["pred", "ret"])
-    return out(tables.unpack_features(packed, ["pred", "ret"]), ["symbol", "ts"], ["pred", "ret"])
+    """All features to JSON rows of the store on disk, an upsert over half of them, and back."""
+    path = session.new_path(spark, "feature_store")
+    packed = tables.pack_features(features(spark, sf))
+    tables.upsert(spark, path, "features", packed)
+    tables.upsert(spark, path, "features", packed.where("month(ts) <= 6"))
+    return out(tables.unpack_features(spark.read.parquet(path)), ["symbol", "ts"], schema.FEATURE_COLS, 5)
 
 
 SQL_REG = """reg AS (SELECT p_brand AS model_key, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS version,
@@ -136,6 +143,34 @@ def backtest_runs(spark, sf):
     return tables.backtest_runs(runs(spark, sf), symbol="7", strategy="1-URGENT").select("run_id", "symbol", "strategy", "total")
 
 
+@query("s10_insert_runs", f"""WITH {SQL_RUNS} SELECT run_id, symbol, strategy, {r_sql("CASE WHEN strategy = '2-HIGH' THEN total * 2 ELSE total END", 'total')} FROM runs""")
+def insert_runs(spark, sf):
+    """Runs inserted, those of one strategy inserted again with other results."""
+    path = session.new_path(spark, "runs")
+    r = runs(spark, sf)
+    tables.insert_runs(spark, path, r)
+    tables.insert_runs(spark, path, r.where("strategy = '2-HIGH'").withColumn("total", F.col("total") * 2))
+    return out(spark.read.parquet(path), ["run_id", "symbol", "strategy"], ["total"])
+
+
+@query("u01_run_ids", f"WITH {SQL_RUNS} SELECT strategy, count(*) AS n, count(*) AS n_ids FROM runs GROUP BY strategy")
+def run_ids(spark, sf):
+    """Runs that come without an id each get one of their own."""
+    path = session.new_path(spark, "runs")
+    tables.insert_runs(spark, path, runs(spark, sf).drop("run_id"))
+    return spark.read.parquet(path).groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("run_id").alias("n_ids"))
+
+
+@query("j14_active_predictions", f"""WITH {SQL_REG}, a AS (SELECT model_key, max(version) AS model_version, arg_max(part, version) AS part FROM reg WHERE is_active GROUP BY 1),
+  p AS (SELECT l_orderkey, l_linenumber, p_brand AS model_key, l_quantity AS confidence FROM lineitem JOIN part ON p_partkey = l_partkey)
+  SELECT l_orderkey, l_linenumber, model_key, CAST(model_version AS INT) AS model_version, part, {r_sql('confidence')} FROM p JOIN a USING (model_key)""")
+def active_predictions(spark, sf):
+    """Predictions beside the active registry row of their model."""
+    p = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("l_partkey")).selectExpr(
+        "l_orderkey", "l_linenumber", "p_brand AS model_key", "l_quantity AS confidence")
+    return out(tables.active_predictions(p, registry(spark, sf)), ["l_orderkey", "l_linenumber", "model_key", "model_version", "part"], ["confidence"])
+
+
 @query("s11_append_trades", f"""WITH {SQL_TICKS} SELECT 'r1' AS run_id, symbol, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
   count(*) AS n, {r_sql('sum(volume)', 'shares')} FROM ticks GROUP BY ALL""")
 def append_trades(spark, sf):
@@ -161,29 +196,32 @@ def prediction_upsert(spark, sf):
     return out(tables.predictions_on(spark.read.parquet(path), "2024-01-10"), ["symbol", "model_key", "prediction_date", "signal"], ["confidence"])
 
 
-@query("s13_ic_history", f"""WITH {SQL_LOG} SELECT model, date AS computed_at, {r_sql('avg(price)', 'ic')} FROM log WHERE model = 'click'
-  GROUP BY ALL ORDER BY date DESC LIMIT 7""")
+@query("s13_ic_history", f"""WITH {SQL_LOG} SELECT model, date AS computed_at, {r_sql('m * CASE WHEN day(date) % 2 = 0 THEN 2 ELSE 1 END', 'ic')}
+  FROM (SELECT model, date, avg(price) AS m FROM log WHERE model = 'click' GROUP BY ALL) ORDER BY date DESC LIMIT 7""")
 def ic_history(spark, sf):
+    """Scorecards stored, half of them restated, the latest seven of a model read back."""
+    path = session.new_path(spark, "ic_history")
     h = prediction_log(spark, sf).groupBy("model", F.col("date").alias("computed_at")).agg(F.avg("price").alias("ic"))
-    return out(tables.latest_ic(h, "click", 7), ["model", "computed_at"], ["ic"])
+    tables.upsert(spark, path, "ic_history", h)
+    tables.upsert(spark, path, "ic_history", h.where("day(computed_at) % 2 = 0").withColumn("ic", F.col("ic") * 2))
+    return out(tables.latest_ic(spark.read.parquet(path), "click", 7), ["model", "computed_at"], ["ic"])
 
 
-@query("s14_tolerant_log", f"""WITH {SQL_LOG} SELECT model, count(*) FILTER (price <= 80) AS n_ok, count(*) FILTER (price > 80 AND price <= 120) AS n_malformed,
-  {r_sql('avg(confidence) FILTER (price <= 80)', 'mean_conf')} FROM log GROUP BY model""")
+@query("s14_tolerant_log", f"""WITH {SQL_LOG} SELECT symbol, count(*) FILTER (price <= 80) AS n_ok, count(*) FILTER (price > 80 AND price <= 120) AS n_malformed,
+  {r_sql('avg(confidence) FILTER (price <= 80)', 'mean_conf')} FROM log WHERE price <= 120 GROUP BY symbol""")
 def tolerant_log(spark, sf):
-    """Log lines with blanks and truncated JSON: counted, skipped, and the rest parsed."""
+    """Log lines with blanks and truncated JSON: counted by the parser, skipped, and the rest parsed."""
     log = prediction_log(spark, sf)
     text = F.to_json(F.struct(F.col("date").cast("string").alias("date"), F.col("bar_date").cast("string").alias("bar_date"), "symbol",
                               "model", "signal", "confidence", "price"))
-    broken = F.when(F.col("price") > 120, F.lit("  ")).when(F.col("price") > 80, F.substring(text, 1, 40)).otherwise(text)
-    rows = logs.parse_lines(log.select("model", broken.alias("value")).select("value", F.col("model").alias("m")).drop("m"),
-                            schema.PREDICTION_LOG)
-    # A truncated line still begins with its dates and symbol, but not its model.
-    lines = log.select("model", broken.alias("value"))
-    bad = lines.where("trim(value) <> ''").groupBy("model").agg(
-        F.count_if(~F.endswith("value", F.lit("}"))).alias("n_malformed"))
-    good = rows.where("not malformed").groupBy("model").agg(F.count(F.lit(1)).alias("n_ok"), F.avg("confidence").alias("mean_conf"))
-    return out(bad.join(good, "model"), ["model", "n_ok", "n_malformed"], ["mean_conf"])
+    # A truncated line still begins with its dates and symbol.
+    broken = F.when(F.col("price") > 120, F.lit("  ")).when(F.col("price") > 80, F.regexp_replace(text, '"model".*', "")).otherwise(text)
+    rows = logs.parse_lines(log.select(broken.alias("value")), schema.PREDICTION_LOG)
+    whose = F.regexp_extract("value", '"symbol":"([^"]*)"', 1)
+    counts = rows.groupBy(whose.alias("symbol")).agg(
+        F.count_if(~F.col("malformed")).alias("n_ok"), F.count_if("malformed").alias("n_malformed"),
+        F.avg(F.when(~F.col("malformed"), F.col("confidence"))).alias("mean_conf"))
+    return out(counts, ["symbol", "n_ok", "n_malformed"], ["mean_conf"])
 
 
 @query("s15_append_unrecorded", f"""WITH {SQL_LOG}, l AS (SELECT symbol, model, arg_max(bar_date, event_id) AS bar_date FROM log

@@ -53,10 +53,11 @@ def read_csv_bars(spark: SparkSession, path: str, symbol: str | Column | None =
     return df.where(us_session("ts")) if is_intraday(interval) else df
 
 
-def read_payload_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Landed daily payload files ({series: {date: {field: text}}}), one symbol per file."""
-    text = spark.read.text(path, wholetext=True).withColumn(
-        "symbol", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1))
+def read_payload_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
+                      symbol: Column | None = None) -> DataFrame:
+    """Landed daily payload files ({series: {date: {field: text}}}), one symbol per file, by default its name."""
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.json)?$", 1)
+    text = spark.read.text(path, wholetext=True).withColumn("symbol", stem if symbol is None else symbol)
     return parse_payload(text, "value", start, end)
 
 
