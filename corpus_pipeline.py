@@ -7,6 +7,7 @@ the last, which returns the packed pieces.  Null texts are empty ones.  Rows may
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LEFT: dict[str, list[str]] = {}
+
+
+def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first removes the intermediate tables of the one before it, whose result has been written by now."""
+    @wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        session.remove(spark, _LEFT.pop(app, []))
+        with session.scratch() as paths:
+            out = work(spark, docs, sf_dir)
+        _LEFT[app] = paths
+        return out
+
+    return stage
+
+
 def _carried(docs: DataFrame, *columns: str) -> DataFrame:
     """The columns an operator needs, and the whole row beside them, so that no other column can clash with its own."""
     return docs.select(*columns, F.struct(*docs.columns).alias("original"))
@@ -32,12 +50,14 @@ def _has_words() -> Column:
     return F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
 
 
+@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches their language's threshold go.  The fit reads the labels of sf_dir."""
     model = fit_toxicity(docs, _table(spark, sf_dir, "labels"))
     return score_toxicity(_carried(docs, "text", "lang"), model).where(~F.col("is_toxic")).select("original.*")
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one, or are one word edit from it, go; n_chars follows.
 
@@ -49,6 +69,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned.select(*[new.get(c, F.col(f"original.`{c}`")).alias(c) for c in docs.columns])
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, that of the smallest id; shingles of five words, similarity 0.8.
 
@@ -64,12 +85,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(first, "row", "left_semi").select("original.*")
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item with at most a fifth of its words edited go."""
     found = with_leaks(_carried(docs, "text"), _table(spark, sf_dir, "benchmark"))
     return found.where(F.size("leaks") == 0).select("original.*")
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their sequences."""
     return pack_documents(docs, capacity=1024)

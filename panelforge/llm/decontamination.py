@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,6 @@ REPEATS = 8
 #: Every second word of a document starts a window; items have one at every word.
 STRIDE = 2
 SAMPLES = 4
-FILTER = 1 << 22
 #: Items sent to the executors at once; more of them are searched in further passes over the documents.
 MAX_ITEMS = 20_000
 LEAK = "array<struct<item_id:bigint,start_word:int,end_word:int,start_byte:bigint,end_byte:bigint,edits:int>>"
@@ -63,7 +63,7 @@ def cgk_keys(symbols: np.ndarray, starts: np.ndarray, width: int, repeat: int, h
             if taken == SAMPLES // 2:
                 half = key
                 if halfway is not None:
-                    keep = np.flatnonzero(halfway[(key & np.uint64(FILTER - 1)).astype(np.int64)])
+                    keep = np.flatnonzero(halfway[(key & np.uint64(len(halfway) - 1)).astype(np.int64)])
                     here, at, end, key, half = here[keep], at[keep], end[keep], key[keep], half[keep]
         if t < steps[-1]:
             at = at + ((bits[at] >> np.uint64(t)) & np.uint64(1)).astype(np.int64)
@@ -97,8 +97,13 @@ class Items:
     words: list[np.ndarray]
     edit_share: float
 
-    def __post_init__(self) -> None:
-        self.tables = []
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}  # each worker makes its own
+
+    @cached_property
+    def tables(self) -> list[tuple]:
+        """(width, repeat, filters of half-way and full keys, keys, items, offsets) for every width and repetition."""
+        tables = []
         by_width: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, w in enumerate(self.words):
             width = max(x for x in WIDTHS if x <= len(w))
@@ -110,17 +115,19 @@ class Items:
             for r in range(REPEATS):
                 _, half, key = cgk_keys(padded, first[item] + offset, width, r)
                 order = np.argsort(key, kind="stable")
-                low, full = np.zeros(FILTER, bool), np.zeros(FILTER, bool)
-                low[(half & np.uint64(FILTER - 1)).astype(np.int64)] = True
-                full[(key & np.uint64(FILTER - 1)).astype(np.int64)] = True
-                self.tables.append((width, r, low, full, key[order], item[order], offset[order]))
+                size = 1 << int(np.clip(len(key) * 64, 1 << 16, 1 << 24)).bit_length()
+                low, full = np.zeros(size, bool), np.zeros(size, bool)
+                low[(half & np.uint64(size - 1)).astype(np.int64)] = True
+                full[(key & np.uint64(size - 1)).astype(np.int64)] = True
+                tables.append((width, r, low, full, key[order], item[order], offset[order]))
+        return tables
 
     def candidates(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(item, place where the item would start) of all windows that share a key with a window of an item."""
         found_item, found_at = [], []
         for width, r, low, full, keys, item, offset in self.tables:
             here, _, key = cgk_keys(symbols, starts, width, r, low)
-            keep = full[(key & np.uint64(FILTER - 1)).astype(np.int64)]
+            keep = full[(key & np.uint64(len(full) - 1)).astype(np.int64)]
             here, key = here[keep], key[keep]
             lo, hi = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
             n = hi - lo
