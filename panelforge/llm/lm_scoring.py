@@ -19,8 +19,8 @@ from panelforge.llm.words import WordHasher, kept_in_worker, mix64
 PART_ROWS = 3_000_000
 #: Rows a task holds before it sends them on.
 FLUSH_ROWS = 1_000_000
-#: Bounds of the number of grams that are so frequent that their counts are sent to all tasks.
-HOT_LEAST, HOT_MOST = 2_000, 200_000
+#: Grams that make up 1 / HOT of all are so frequent that their counts are sent to all tasks; there are HOT at most.
+HOT = 20_000
 SKETCH_BITS = 14
 _START = np.uint64(0x5851F42D4C957F2D)
 
@@ -99,11 +99,13 @@ def _runs(batches: Iterator[pa.RecordBatch]):
 
 
 def _survey(texts: DataFrame) -> tuple[int, int, float, DataFrame]:
-    """Tokens of the target and of the background, distinct words, and (gram, n) of grams that are frequent in a run.
+    """Tokens of the target and of the background, distinct words, and (gram, n) of grams that make up 1 / HOT of a run.
 
     Distinct words are counted by a sketch of 2^SKETCH_BITS registers over all words (error about 0.8 %).
     """
 
+    hot = HOT
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = np.zeros(1 << SKETCH_BITS, np.int64)
         tokens = np.zeros(2, np.int64)
@@ -115,16 +117,15 @@ def _survey(texts: DataFrame) -> tuple[int, int, float, DataFrame]:
             tokens += [sizes[row < 0].sum(), sizes[row >= 0].sum()]
             _, gram, count = grams_of(hashes, bounds)
             total = pd.Series(count).groupby(gram).sum()
-            total = total[total * HOT_MOST >= len(hashes)]
+            total = total[total * hot >= 2 * len(hashes)]  # a context and a bigram for each word
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), 0, np.int32)), pa.array(total.index.to_numpy().view(np.int64)),
-                                              pa.array(total.to_numpy().astype(np.int64)), pa.array(np.full(len(total), len(hashes)))],
-                                             names=["kind", "k", "n", "run"])
+                                              pa.array(total.to_numpy().astype(np.int64))], names=["kind", "k", "n"])
         full = np.flatnonzero(top)
         kind = np.concatenate([np.full(len(full), 1, np.int32), np.full(2, 2, np.int32)])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([full, [0, 1]])), pa.array(np.concatenate([top[full], tokens])),
-                                          pa.array(np.zeros(len(kind), np.int64))], names=["kind", "k", "n", "run"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([full, [0, 1]])), pa.array(np.concatenate([top[full], tokens]))],
+                                         names=["kind", "k", "n"])
 
-    got = session.materialize(texts.mapInArrow(run, "kind int, k bigint, n bigint, run bigint"), "survey")
+    got = session.materialize(texts.mapInArrow(run, "kind int, k bigint, n bigint"), "survey")
     tokens = {r["k"]: r["n"] for r in got.where("kind = 2").groupBy("k").agg(F.sum("n").alias("n")).collect()}
     m = 1 << SKETCH_BITS
     registers = got.where("kind = 1").groupBy("k").agg(F.max("n").alias("n")).agg(
@@ -133,18 +134,17 @@ def _survey(texts: DataFrame) -> tuple[int, int, float, DataFrame]:
     distinct = 0.7213 / (1 + 1.079 / m) * m * m / ((registers["s"] or 0.0) + empty)
     if empty and distinct < 2.5 * m:
         distinct = m * np.log(m / empty)
-    return tokens.get(0, 0), tokens.get(1, 0), float(distinct), got.where("kind = 0").select(F.col("k").alias("gram"), "n", "run")
+    return tokens.get(0, 0), tokens.get(1, 0), float(distinct), got.where("kind = 0").select(F.col("k").alias("gram"), "n")
 
 
-def _frequent(texts: DataFrame, candidates: DataFrame, tokens: int, parts: int) -> Frequent:
-    """Exact counts of all grams that make up 2 / limit of the tokens or more, and of `limit` grams at most.
+def _frequent(texts: DataFrame, candidates: DataFrame, grams: int) -> Frequent:
+    """Exact counts of all grams that make up 2 / HOT of all or more, and of HOT grams at most.
 
-    A gram is taken if the runs in which it makes up 1 / limit hold so many of it that this is 1 / limit of all tokens.
+    A gram is taken if the runs in which it makes up 1 / HOT hold so many of it that this is 1 / HOT of all; one that
+    isn't has fewer than that in those runs and fewer in all the others together.
     """
-    limit = int(np.clip(4 * parts, HOT_LEAST, HOT_MOST))
-    hot = candidates.where(F.col("n") * limit >= F.col("run")).groupBy("gram").agg(F.sum("n").alias("n")).where(
-        F.col("n") * limit >= tokens).select("gram")
-    keys = np.sort(np.array([r["gram"] for r in hot.collect()], np.int64).view(np.uint64))  # 2 * limit rows at most
+    hot = candidates.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") * HOT >= grams).select("gram")
+    keys = np.sort(np.array([r["gram"] for r in hot.collect()], np.int64).view(np.uint64))  # HOT rows at most
     empty = Frequent(keys, np.zeros(len(keys)), np.zeros(len(keys)))
     sent = texts.sparkSession.sparkContext.broadcast(empty)
 
@@ -183,7 +183,7 @@ def lm_scores(docs: DataFrame, target: DataFrame, prior: float = 10.0, id_col: s
     texts = _texts(docs, target, id_col, text, target_text)
     n_target, n_background, vocabulary, candidates = _survey(texts)
     parts = max(1, -(-(n_target + n_background) * 3 // (2 * PART_ROWS)))
-    frequent = spark.sparkContext.broadcast(_frequent(texts, candidates, 2 * (n_target + n_background), parts))
+    frequent = spark.sparkContext.broadcast(_frequent(texts, candidates, 2 * (n_target + n_background)))
     smooth = Smoothing(prior, max(vocabulary, 1.0), n_target / n_background if n_target and n_background else 1.0)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -111,10 +111,9 @@ def brute_losses(rows, target, prior, vocabulary):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 5])
+@pytest.mark.parametrize("hot", [20_000, 30])
 def test_losses_equal_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(lm, "HOT_LEAST", hot)
-    monkeypatch.setattr(lm, "HOT_MOST", max(hot, 50))
+    monkeypatch.setattr(lm, "HOT", hot)
     monkeypatch.setattr(lm, "PART_ROWS", 500)
     monkeypatch.setattr(lm, "FLUSH_ROWS", 300)
     rng = random.Random(3)
