@@ -239,6 +239,15 @@ def single_date_book(spark, sf):
     return b.selectExpr("as_of", "symbol", "n_ranked", "round(weight, 6) AS weight", "round(price, 9) AS price")
 
 
+@query("b06_flat_reasons", f"""WITH {SQL_PANEL} SELECT ts AS as_of, count(pred) AS n_ranked,
+  printf('cross-section of %d names is below min_names=80', count(pred)) AS reason FROM panel1 GROUP BY ts HAVING count(pred) < 80""")
+def flat_reasons(spark, sf):
+    """Why dates have no book."""
+    cfg = xsec.BookConfig(0.2, 1, min_names=80, use_beta=False)
+    scores = panel(spark, sf).selectExpr("ts AS as_of", "symbol", "pred AS score")
+    return bk.flat_reasons(scores, bk.build_book(scores, cfg), cfg)
+
+
 @query("b07_exposures", f"""WITH {SQL_PANEL}, {weights_sql(0.2)}, e AS (SELECT ts AS as_of, count(*) AS n_held, sum(abs(w)) AS gross_exposure,
   sum(w) AS net_exposure, count(beta)::DOUBLE / count(*) AS beta_coverage,
   CASE WHEN count(beta) = count(*) THEN sum(w * beta) END AS ex_ante_beta, abs(sum(w)) > 0.5 AS net_exposure_warning FROM w GROUP BY ts)

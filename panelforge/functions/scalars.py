@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panelforge.schema import CLASS_NAMES, EPS
+from panelforge.schema import CLASS_NAMES
 
 
 def col(c: str | Column) -> Column:
@@ -20,21 +20,6 @@ def finite(c: str | Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
 
 
-def ratio(num: str | Column, den: str | Column) -> Column:
-    """Unguarded division: NULL rather than an error or infinity on a zero divisor."""
-    return F.try_divide(col(num), col(den))
-
-
-def eps_ratio(num: str | Column, den: str | Column) -> Column:
-    return col(num) / (col(den) + F.lit(EPS))
-
-
-def rounded(c: str | Column, digits: int = 6) -> Column:
-    """Round for output, with negative zero folded into zero."""
-    r = F.round(col(c), digits)
-    return F.when(r == 0, F.lit(0.0)).otherwise(r)
-
-
 def clip(c: str | Column, low: float, high: float) -> Column:
     """Clamp, keeping NULL as NULL (`least`/`greatest` alone would turn it into a bound)."""
     c = col(c)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import argmax, class_decision, col, q_gate, signal_name, signal_number
 from panelforge.operators.scans import holding_filter
-from panelforge.operators.timeaxis import CHUNK_ROWS, CURRENT, chunk_window, chunked, over_rows, own_rows, roll_quantile
+from panelforge.operators.timeaxis import CHUNK_ROWS, CURRENT, chunk_window, chunked, own_rows, roll_quantile
 from panelforge.schema import FALLBACK_QUANTILE, FALLBACK_WINDOW
 
 CONVICTION_FULL_SIZE = 2.0
@@ -115,12 +115,3 @@ def live_classifier(df: DataFrame, proba: str = "proba", threshold: str | float
         "error": F.when(bad, F.lit("probabilities missing or malformed")),
         "signal": F.when(~bad, class_decision(p, thr)),
         "confidence": F.when(~bad, F.array_max(p))})
-
-
-def trailing_quantiles(df: DataFrame, pred: str, quantiles: Sequence[float], window: int, out: str,
-                       keys: Sequence[str] = ("symbol",), size: int = CHUNK_ROWS) -> DataFrame:
-    """Thresholds for several quantiles of one window in a single pass (array column)."""
-    x = F.abs(pred)
-    agg = F.percentile(x, F.array(*[F.lit(float(q)) for q in quantiles]))
-    thr = over_rows(agg, x, chunk_window(keys), window, MIN_THRESHOLD_OBS, end=-1)
-    return own_rows(chunked(df, halo=window, size=size).withColumn(out, thr))
