@@ -16,9 +16,9 @@ from panelforge.llm.registry import query, table
 from panelforge.llm.words import WordHasher, kept_in_worker, mix64
 
 #: (gram, document) rows that one task counts together; the number of parts follows the number of tokens.
-PART_ROWS = 3_000_000
+PART_ROWS = 1_500_000
 #: Rows a task holds before it sends them on.
-FLUSH_ROWS = 1_000_000
+FLUSH_ROWS = 500_000
 #: Grams that make up 1 / HOT of all are so frequent that their counts are sent to all tasks; there are HOT at most.
 HOT = 20_000
 SKETCH_BITS = 14
@@ -254,10 +254,26 @@ def lm_scores(docs: DataFrame, target: DataFrame, prior: float = 10.0, id_col: s
         x, y = smooth.terms(gram[mine], of_target[at[mine]], of_background[at[mine]] - c[mine])
         t, b = (np.bincount(place[mine], v * c[mine], len(row)) for v in (x, y))
         touched = (np.bincount(place[mine], minlength=len(row)) > 0) & (row >= 0)
-        return pd.DataFrame({"row": row[touched], "t": t[touched], "b": b[touched]})
+        return packed(row[touched], t[touched], b[touched])
+
+    def packed(row: np.ndarray, t: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        """Documents' sums as one row for each bucket of documents: a document meets most parts, so rows of its own would
+        be as many as documents times parts."""
+        bucket = (mix64(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        which, starts = np.unique(bucket[order], return_index=True)
+        cut = lambda x: [p.tobytes() for p in np.split(x[order], starts[1:])] if len(which) else []
+        return pd.DataFrame({"bucket": which, "row": cut(row), "t": cut(t), "b": cut(b)})
+
+    def summed_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, at = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["row"]]), return_inverse=True)
+        t, b = (np.bincount(at, np.concatenate([np.frombuffer(x) for x in pdf[c]]), len(row)) for c in "tb")
+        return pd.DataFrame({"row": row, "t": t, "b": b})
 
     blocks = texts.mapInArrow(dealt, "part bigint, ids binary, place binary, gram binary, count binary")
-    cold = blocks.repartition(min(parts, 100_000), "part").groupBy("part").applyInPandas(counted, "row bigint, t double, b double")
+    cold = blocks.repartition(min(parts, 100_000), "part").groupBy("part").applyInPandas(
+        counted, "bucket bigint, row binary, t binary, b binary")
+    cold = cold.repartition(min(parts, 100_000), "bucket").groupBy("bucket").applyInPandas(summed_up, "row bigint, t double, b double")
     hot = texts.mapInArrow(known, "row bigint, doc_id bigint, tokens bigint, t double, b double")
     both = hot.union(cold.select("row", F.lit(None).cast("long"), F.lit(None).cast("long"), "t", "b"))
     summed = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
