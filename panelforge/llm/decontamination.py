@@ -18,12 +18,13 @@ from panelforge.llm.words import SPACES, WordHasher, kept_in_worker, mix64
 
 #: White space and ASCII punctuation part words.
 GAPS = bytes(i for i in range(128) if i in SPACES or not chr(i).isalnum())
-#: Window sizes in words; an item is searched with the largest that is not longer than itself.
+#: Window sizes in words; an item has windows of the largest that is at most three quarters of it (four at least).
 WIDTHS = (4, 8, 16)
-#: Independent embeddings.  Tests hold the recall on items with the greatest number of edits against 0.95.
-REPEATS = 8
-#: Every second word of a document starts a window; items have one at every word.
-STRIDE = 2
+#: Independent embeddings by width; the shortest items have few windows.  Tests hold the recall on items of each length
+#: with the greatest number of edits, at even and odd places, against 0.95.
+REPEATS = {4: 16, 8: 8, 16: 8}
+#: Every word of a document starts a window, as every word of an item does.
+STRIDE = 1
 SAMPLES = 4
 #: Items sent to the executors at once; more of them are searched in further passes over the documents.
 MAX_ITEMS = 20_000
@@ -32,6 +33,11 @@ _LEAK = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()),
                             ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("edits", pa.int32())]))
 
 
+def width_of(words: int) -> int:
+    """The width of the windows of an item of so many words; every item has at least two windows."""
+    return max(x for x in WIDTHS if x == WIDTHS[0] or 4 * x <= 3 * words)
+
+
 def sampled_steps(width: int, repeat: int) -> np.ndarray:
     """The steps of the walk whose symbols one repetition samples: one from each quarter of the 2 * width steps."""
     rng = np.random.default_rng(1000 * width + repeat)
@@ -106,13 +112,13 @@ class Items:
         tables = []
         by_width: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, w in enumerate(self.words):
-            width = max(x for x in WIDTHS if x <= len(w))
+            width = width_of(len(w))
             by_width[width] += [(i, o) for o in range(len(w) - width + 1)]
         padded = np.concatenate([x for w in self.words for x in (w, np.zeros(2 * max(WIDTHS), np.uint64))]) if self.words else None
         first = np.cumsum([0] + [len(w) + 2 * max(WIDTHS) for w in self.words])
         for width, places in sorted(by_width.items()):
             item, offset = (np.array(x) for x in zip(*places, strict=True))
-            for r in range(REPEATS):
+            for r in range(REPEATS[width]):
                 _, half, key = cgk_keys(padded, first[item] + offset, width, r)
                 order = np.argsort(key, kind="stable")
                 size = 1 << int(np.clip(len(key) * 64, 1 << 16, 1 << 24)).bit_length()

@@ -53,6 +53,23 @@ def test_leaks_of_edited_passages(spark):
         assert not any(got[n] for n, _ in clean + part)
 
 
+@pytest.mark.parametrize("start", [30, 31])
+def test_leaks_of_each_length_at_even_and_odd_places(spark, start):
+    rng = random.Random(start)
+    words = [f"w{i}" for i in range(2000)]
+    items = [(1000 * n + i, rng.choices(words, k=n)) for n in (5, 6, 8, 9, 10, 11, 15, 16, 17, 18, 20, 22, 32, 40) for i in range(120)]
+    docs = []
+    for i, item in items:
+        for name, k in ((2 * i, 0), (2 * i + 1, len(item) // 5)):
+            docs.append((name, " ".join([*rng.choices(words, k=start), *edited(rng, item, k, words), *rng.choices(words, k=20)])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {r.doc_id: {x.item_id for x in r.leaks} for r in with_leaks(frame(spark, docs), bench).collect()}
+    for n in sorted({len(w) for _, w in items}):
+        mine = [i for i, w in items if len(w) == n]
+        assert all(i in got[2 * i] for i in mine), n
+        assert sum(i in got[2 * i + 1] for i in mine) >= 0.95 * len(mine), n
+
+
 def test_leaks_of_odd_rows(spark):
     item = "One two, three FOUR five six"
     rows = [(1, "x " + item.lower() + "!"), (1, "x " + item.lower() + "!"), (None, item), (2, None), (3, ""), (4, "é " * 20_000 + item + " z" * 5)]
