@@ -21,6 +21,8 @@ BUCKETS = 1 << 17
 WIDTHS = (1, 2, 3)
 #: Labelled rows fetched to fit on, of either label; the documented bound of the sample.
 MAX_PER_LABEL = 2000
+#: Bins of logits, in 1, and the greatest logit that has one.
+BINS, MOST = 64, 32
 
 
 @dataclass
@@ -170,25 +172,52 @@ class ToxicityModel:
     constant: float = 0.0
 
 
-def best_threshold(score: np.ndarray, label: np.ndarray, least: int = 15) -> float:
-    """The threshold of highest F1, in the middle between two scores; 0.5 where either label has few rows."""
-    if label.sum() < least or (1 - label).sum() < least:
+def best_threshold(score: np.ndarray, label: np.ndarray, least: int = 15, weight: np.ndarray | None = None,
+                   rows: np.ndarray | None = None) -> float:
+    """The threshold of highest F1, in the middle between two scores; 0.5 where either label has few rows.
+
+    An entry may stand for several `rows` (one by default) and weigh more or less than they do.
+    """
+    rows = np.ones(len(score)) if rows is None else rows
+    weight = rows if weight is None else weight
+    if (rows * label).sum() < least or (rows * (1 - label)).sum() < least:
         return 0.5
     order = np.argsort(-score, kind="stable")
-    s, hit = score[order], np.cumsum(label[order])
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + label.sum())
+    s, hit = score[order], np.cumsum((weight * label)[order])
+    f1 = 2 * hit / (np.cumsum(weight[order]) + (weight * label).sum())
     f1[:-1][s[:-1] == s[1:]] = -1
     i = int(f1.argmax())
     return float((s[i] + s[i + 1]) / 2) if i + 1 < len(s) else float(s[i])
 
 
+def platt(z: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic curve over logits, by Newton steps on the weighted loss with Platt's targets."""
+    ones, zeros = (weight * label).sum(), (weight * (1 - label)).sum()
+    target = np.where(label == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    w, x = weight / weight.sum(), np.stack([z, np.ones(len(z))], axis=1)
+    loss = lambda t: (w * (np.logaddexp(0, x @ t) - target * (x @ t))).sum() + 5e-4 * (t[0] - 1) ** 2
+    t = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-(x @ t)))
+        slope = x.T @ (w * (p - target)) + np.array([1e-3 * (t[0] - 1), 0])
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-9]), slope)
+        while loss(t - step) > loss(t) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        t = t - step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(max(t[0], 0.05)), float(t[1])
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PER_LABEL, id_col: str = "doc_id",
                  text: str = "text", lang: str = "lang") -> ToxicityModel:
     """Fit on labelled rows whose crc32(id as text) mod 5 is not 0.
 
-    Of each label the `max_per_label` rows with the lowest hash of their id are used; a fifth of them is kept from the
-    fit and calibrates the scores and, by language, the thresholds.  Null labels and rows without a document take no
-    part; a null text is an empty one.  Without rows of both labels the score is a constant (1 if all are toxic, else 0).
+    Of each label the `max_per_label` rows with the lowest hash of their id are drawn; a fifth of them is kept from the
+    fit.  All labelled rows outside the fit, drawn or not, calibrate the scores and, by language, the thresholds; they
+    weigh as much as all labelled rows of their label (and language), so the draw does not change the labels' shares.
+    Null labels and rows without a document take no part; a null text is an empty one.  Without rows of both labels the
+    score is a constant (1 if all are toxic, else 0).
     """
     usable = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where(
         "id is not null and toxic in (0, 1) and crc32(cast(cast(id as string) as binary)) % 5 <> 0")
@@ -201,12 +230,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PE
             ids = []
             for _, h, bounds in hasher.batches(b.column("text").to_pylist()):
                 ids += [buckets(h[x:y]).tobytes() for x, y in zip(bounds, bounds[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("lang"), b.column("place"), pa.array(ids, pa.binary())],
-                                             names=["toxic", "lang", "place", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("place"), pa.array(ids, pa.binary())],
+                                             names=["toxic", "place", "ids"])
 
-    got = (docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-           .join(sample, "id").select("toxic", "lang", F.xxhash64("id").alias("place"), "text")
-           .mapInArrow(run, "toxic int, lang string, place bigint, ids binary").toPandas()
+    got = (docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+           .join(sample, "id").select("toxic", F.xxhash64("id").alias("place"), "text")
+           .mapInArrow(run, "toxic int, place bigint, ids binary").toPandas()
            .sort_values(["place", "ids"], kind="stable"))
     label = got["toxic"].to_numpy(np.int64)
     if len(set(label)) < 2:
@@ -215,21 +244,55 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PE
     aside = (got["place"].to_numpy() % 5 == 0) if len(got) >= 200 else np.zeros(len(got), bool)
     net = TextCnn()
     net.fit([t for t, a in zip(ids, aside, strict=True) if not a], label[~aside])
-    if not aside.any() or len(set(label[aside])) < 2:
+    if not aside.any():
         return ToxicityModel(net, {})
-    # Platt scaling: the classes weighed the same in the fit, so scores are brought back to the drawn rows' shares.
-    z = net.logits(*join_texts([t for t, a in zip(ids, aside, strict=True) if a]))
-    y = label[aside]
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    a, c = 1.0, 0.0
-    for _ in range(300):
-        p = 1 / (1 + np.exp(-(a * z + c)))
-        a -= 0.05 * (((p - target) * z).mean() + 1e-3 * (a - 1))
-        c -= 0.05 * (p - target).mean()
-    net.scale = (float(max(a, 0.05)), float(c))
+    bins = _labelled_logits(docs, usable, net, got["place"].to_numpy()[~aside].tolist(), id_col, text, lang)
+    z, y, out, rows = bins["bin"].to_numpy() / BINS, bins["toxic"].to_numpy(np.int64), bins["outside"].to_numpy(float), bins["n"].to_numpy(float)
+    if len(set(y[out > 0])) < 2:
+        return ToxicityModel(net, {})
+
+    def weights(chosen: np.ndarray) -> np.ndarray:
+        """Weights of the chosen bins' rows outside the fit, with the sum over each label that all its rows have."""
+        w = out * chosen
+        for v in (0, 1):
+            w[y == v] *= (rows * chosen)[y == v].sum() / max(1.0, w[y == v].sum())
+        return w
+
+    # The classes weighed the same in the fit; scores are brought back to the shares of all labelled rows.
+    net.scale = platt(z, y, weights(np.ones(len(z), bool)))
     score = 1 / (1 + np.exp(-(net.scale[0] * z + net.scale[1])))
-    spoken = got["lang"].to_numpy()[aside]
-    return ToxicityModel(net, {s: best_threshold(score[spoken == s], y[spoken == s]) for s in sorted({x for x in spoken if x is not None})})
+    spoken = bins["lang"].to_numpy()
+    thresholds = {}
+    for name in sorted({x for x in spoken if x is not None}):
+        mine = (spoken == name) & (out > 0)
+        thresholds[name] = best_threshold(score[mine], y[mine], weight=weights(spoken == name)[mine], rows=out[mine])
+    return ToxicityModel(net, thresholds)
+
+
+def _labelled_logits(docs: DataFrame, usable: DataFrame, net: TextCnn, fitted: list[int], id_col: str, text: str, lang: str):
+    """All labelled rows, counted by language, label and bin of their logit: `n`, and `outside`, those not fitted on.
+
+    Logits are found before the join, so that no text is shuffled.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = kept_in_worker("toxicity hasher", lambda: WordHasher(GAPS, PREFIXES, SUFFIXES))
+        for b in batches:
+            z = []
+            for _, h, bounds in hasher.batches(b.column("text").to_pylist()):
+                found = buckets(h)
+                z.append(sent.value.logits(*join_texts([found[x:y] for x, y in zip(bounds, bounds[1:], strict=False)])))
+            binned = np.clip(np.rint(np.concatenate(z) * BINS), -MOST * BINS, MOST * BINS) if z else np.empty(0)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(binned.astype(np.int32))], names=["id", "lang", "bin"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where(
+        "id is not null and crc32(cast(cast(id as string) as binary)) % 5 <> 0")
+    binned = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang string, bin int")
+    mine = docs.sparkSession.createDataFrame([(x,) for x in sorted(set(fitted))], "place long")  # a draw's rows at most
+    return (binned.join(usable, "id").withColumn("place", F.xxhash64("id")).join(F.broadcast(mine.withColumn("fit", F.lit(1))), "place", "left")
+            .groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n"), F.count(F.when(F.col("fit").isNull(), 1)).alias("outside"))
+            .orderBy("lang", "toxic", "bin").toPandas())  # bins of each label and language
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text: str = "text", lang: str = "lang"

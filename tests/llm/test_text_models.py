@@ -183,6 +183,23 @@ def test_toxicity_finds_held_out_documents(spark):
     assert score_toxicity(frame(spark, []), model).count() == 0
 
 
+def test_toxicity_scores_keep_the_labels_shares_when_the_draw_is_full(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    rows, labels = [], []
+    for i in range(6000):  # the marked words stand in 0.7 of toxic rows and 0.1 of clean ones, so scores are no certainty
+        bad = rng.random() < 0.1
+        w = rng.choices(words, k=20) + (["vilex"] if rng.random() < (0.7 if bad else 0.1) else [])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    share = sum(y for _, y in labels) / 6000
+    label = spark.createDataFrame(labels, "doc_id long, toxic int")
+    for limit in (300, 6000):
+        model = fit_toxicity(frame(spark, rows), label, max_per_label=limit)
+        scores = [r.toxic_score for r in score_toxicity(frame(spark, rows), model).collect()]
+        assert abs(sum(scores) / 6000 - share) < 0.03
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
