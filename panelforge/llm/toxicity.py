@@ -23,6 +23,7 @@ WIDTHS = (1, 2, 3)
 MAX_PER_LABEL = 2000
 #: Bins of logits, in 1, and the greatest logit that has one.
 BINS, MOST = 64, 32
+_DRAWN = pa.schema([("toxic", pa.int32()), ("place", pa.int64()), ("hash", pa.int64()), ("text", pa.string())])
 
 
 @dataclass
@@ -216,11 +217,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PE
     Of each label the `max_per_label` rows with the lowest hash of their id are drawn; a fifth of them is kept from the
     fit.  All labelled rows outside the fit, drawn or not, calibrate the scores and, by language, the thresholds; they
     weigh as much as all labelled rows of their label (and language), so the draw does not change the labels' shares.
-    Null labels and rows without a document take no part; a null text is an empty one.  Without rows of both labels the
-    score is a constant (1 if all are toxic, else 0).
+    An id counts once: it is toxic if any of its labels says so, and its document is the one of the least hash.  Null
+    labels and rows without a document take no part; a null text is an empty one.  Without rows of both labels the score
+    is a constant (1 if all are toxic, else 0).
     """
     usable = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where(
-        "id is not null and toxic in (0, 1) and crc32(cast(cast(id as string) as binary)) % 5 <> 0")
+        "id is not null and toxic in (0, 1) and crc32(cast(cast(id as string) as binary)) % 5 <> 0").groupBy("id").agg(
+        F.max("toxic").alias("toxic"))
     drawn = [usable.where(F.col("toxic") == v).orderBy(F.xxhash64("id"), "id").limit(max_per_label) for v in (0, 1)]
     sample = F.broadcast(drawn[0].union(drawn[1]))  # two times max_per_label rows at most
 
@@ -233,9 +236,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PE
             yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("place"), pa.array(ids, pa.binary())],
                                              names=["toxic", "place", "ids"])
 
-    got = (docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
-           .join(sample, "id").select("toxic", F.xxhash64("id").alias("place"), "text")
-           .mapInArrow(run, "toxic int, place bigint, ids binary").toPandas()
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The row of the least hash of each drawn id in a partition, so that rows of one id don't gather."""
+        kept: dict[int, dict] = {}
+        for b in batches:
+            places, hashes = b.column("place").to_pylist(), b.column("hash").to_pylist()
+            for i, (place, h) in enumerate(zip(places, hashes, strict=True)):
+                if place not in kept or h < kept[place]["hash"]:
+                    kept[place] = b.slice(i, 1).to_pylist()[0]
+        rows = list(kept.values())
+        for at in range(0, len(rows), 100):
+            yield pa.RecordBatch.from_pylist(rows[at:at + 100], schema=_DRAWN)
+
+    one = (_documents(docs, id_col, text, lang).join(sample, "id").select("toxic", F.xxhash64("id").alias("place"), "hash", "text")
+           .mapInArrow(least, "toxic int, place bigint, hash bigint, text string")
+           .groupBy("place").agg(F.min(F.struct("hash", "toxic", "text")).alias("m")).select("m.toxic", "place", "m.text"))
+    got = (one.mapInArrow(run, "toxic int, place bigint, ids binary").toPandas()
            .sort_values(["place", "ids"], kind="stable"))
     label = got["toxic"].to_numpy(np.int64)
     if len(set(label)) < 2:
@@ -269,6 +285,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PE
     return ToxicityModel(net, thresholds)
 
 
+def _documents(docs: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
+    """id, lang and text of the rows that a label may be for, and the hash that chooses among rows of one id."""
+    return (docs.select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+            .where("id is not null and crc32(cast(cast(id as string) as binary)) % 5 <> 0").withColumn("hash", F.xxhash64("text", "lang")))
+
+
 def _labelled_logits(docs: DataFrame, usable: DataFrame, net: TextCnn, fitted: list[int], id_col: str, text: str, lang: str):
     """All labelled rows, counted by language, label and bin of their logit: `n`, and `outside`, those not fitted on.
 
@@ -284,11 +306,13 @@ def _labelled_logits(docs: DataFrame, usable: DataFrame, net: TextCnn, fitted: l
                 found = buckets(h)
                 z.append(sent.value.logits(*join_texts([found[x:y] for x, y in zip(bounds, bounds[1:], strict=False)])))
             binned = np.clip(np.rint(np.concatenate(z) * BINS), -MOST * BINS, MOST * BINS) if z else np.empty(0)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(binned.astype(np.int32))], names=["id", "lang", "bin"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), b.column("lang"), pa.array(binned.astype(np.int32))],
+                                             names=["id", "hash", "lang", "bin"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where(
-        "id is not null and crc32(cast(cast(id as string) as binary)) % 5 <> 0")
-    binned = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang string, bin int")
+    rows = _documents(docs, id_col, text, lang)
+    # Rows of one id meet as one row of each partition, before the join.
+    binned = (rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, lang string, bin int")
+              .groupBy("id").agg(F.min(F.struct("hash", "lang", "bin")).alias("m")).select("id", "m.lang", "m.bin"))
     mine = docs.sparkSession.createDataFrame([(x,) for x in sorted(set(fitted))], "place long")  # a draw's rows at most
     return (binned.join(usable, "id").withColumn("place", F.xxhash64("id")).join(F.broadcast(mine.withColumn("fit", F.lit(1))), "place", "left")
             .groupBy("lang", "toxic", "bin").agg(F.count("*").alias("n"), F.count(F.when(F.col("fit").isNull(), 1)).alias("outside"))

@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from panelforge.llm import lm_scoring as lm
 from panelforge.llm.decontamination import edit_match, with_leaks
 from panelforge.llm.html_extraction import extract, main_text
-from panelforge.llm.toxicity import best_threshold, fit_toxicity, score_toxicity
+from panelforge.llm.toxicity import TextCnn, best_threshold, fit_toxicity, score_toxicity
 from panelforge.llm.words import split_words
 
 DOCS = "doc_id long, text string, lang string, leaks int, score double"
@@ -200,6 +201,21 @@ def test_toxicity_scores_keep_the_labels_shares_when_the_draw_is_full(spark):
         assert abs(sum(scores) / 6000 - share) < 0.03
 
 
+def test_toxicity_takes_one_row_of_an_id(spark, monkeypatch):
+    rng = random.Random(2)
+    rows, labels = toxic_world(rng, 400, ["vilex"])
+    rows, labels = [(i + 1, t) for i, t in rows], [(i + 1, y) for i, y, _ in labels]
+    hot = next(i for i, _ in rows if zlib.crc32(str(i).encode()) % 5)
+    seen = []
+    fit = TextCnn.fit
+    monkeypatch.setattr(TextCnn, "fit", lambda self, texts, y: (seen.append(len(texts)), fit(self, texts, y))[1])
+    label = spark.createDataFrame(labels + [labels[hot - 1]] * 500, "doc_id long, toxic int")
+    for docs in (frame(spark, rows), frame(spark, rows + [rows[hot - 1]] * 500).repartition(3)):
+        model = fit_toxicity(docs, label, max_per_label=300)
+        assert model.net is not None
+    assert seen[0] == seen[1] > 200
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
