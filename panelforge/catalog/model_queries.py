@@ -287,7 +287,7 @@ def elastic_net(spark, sf):
 @query("l10_boosted_trees")
 def boosted(spark, sf):
     s = _split(spark, sf)
-    m = models.fit_boosted(s.where("role = 'train'"), FEATURE_COLS, LABEL, max_iter=60)
+    m = models.fit_boosted(s.where("role = 'train'"), FEATURE_COLS, LABEL)
     return metrics.forecast_metrics(models.score_regressor(m, s.where("role = 'test'")), "pred", LABEL)
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge import schema
+from panelforge.catalog import model_queries
 from panelforge.operators import models, monitor, quality, splits
 from panelforge.operators.splits import FoldConfig
 from panelforge.sources import logs, tables
@@ -114,3 +115,19 @@ def test_feature_contract():
     assert len(schema.FEATURE_COLS) == 30 and len(schema.model_inputs("augment")) == 60
     with pytest.raises(schema.ContractError):
         schema.check_feature_contract(schema.FEATURE_COLS[::-1])
+
+
+def test_boosted_query_has_all_rounds(spark, monkeypatch):
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def estimator(**params):
+        seen.update(params)
+        raise Stop
+
+    monkeypatch.setattr(models, "GBTRegressor", estimator)
+    with pytest.raises(Stop):
+        model_queries.boosted(spark, "/root/testdata/sf0.001")
+    assert seen["maxIter"] == 300
