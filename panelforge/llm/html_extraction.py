@@ -37,6 +37,10 @@ ASIDE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advert
                "footer", "header", "masthead", "topbar", "breadcrumb", "breadcrumbs", "share", "sharing", "social", "related",
                "recommended", "newsletter", "subscribe", "subscription", "signup", "popup", "modal", "overlay", "widget", "toolbar", "pagination",
                "pager", "login", "search", "skip", "copyright", "disclaimer"}
+# Marks of a page's layout, which may also stand on what holds the whole page, and words before a mark that make it none.
+LAYOUT_WORDS = {"sidebar", "nav", "navbar", "navigation", "menu", "topnav", "footer", "header", "masthead", "topbar", "banner", "toolbar",
+                "overlay", "modal", "search", "login", "widget"}
+NO_MARK = {"no", "has", "with", "without"}
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
@@ -45,11 +49,19 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 class Element:
     tag: str
     label: str
-    aside: bool
+    mark: bool
+    wrapper: bool
     parent: Element | None
     path: str
     chars: float = 0.0
 
+    @property
+    def aside(self) -> bool:
+        e = self
+        while e is not None and not e.mark:
+            e = e.parent
+        return e is not None
+
 
 @dataclass
 class Block:
@@ -65,8 +77,45 @@ def _is_aside(tag: str, attributes: dict[str, str], within_article: bool) -> boo
         return not within_article
     if tag in ("html", "body", "main", "article"):
         return False
-    words = {w.lower() for name in ("class", "id") for w in _CAMEL.findall(attributes.get(name, ""))}
-    return bool(words & ASIDE_WORDS) and not (words & {"header"} and not words & (ASIDE_WORDS - {"header"}) and within_article)
+    words = _mark_words(attributes)
+    return bool(words) and not (words == {"header"} and within_article)
+
+
+def _mark_words(attributes: dict[str, str]) -> set[str]:
+    """Words of class and id that mark an aside; `no-sidebar` or `has-header` marks none."""
+    found = set()
+    for name in ("class", "id"):
+        for one in attributes.get(name, "").split():
+            words = [w.lower() for w in _CAMEL.findall(one)]
+            found |= {w for before, w in zip(["", *words], words) if w in ASIDE_WORDS and before not in NO_MARK}
+    return found
+
+
+def _is_wrapper(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether an aside may turn out to hold the page: a form, or an element marked by words of layout only."""
+    by_role = attributes.get("role", "").lower() in ASIDE_ROLES - {"form"} or "hidden" in attributes
+    return not by_role and (tag == "form" or tag not in ASIDE_TAGS | {"header"}) and _mark_words(attributes) <= LAYOUT_WORDS
+
+
+def _release(blocks: list[Block], holders: set[int]) -> None:
+    """Forms and layout elements that hold an article, or three quarters of the text outside other asides, are no asides."""
+    total, inside, seen = 0, {}, {}
+    for b in blocks:
+        chain, e = [], b.element
+        while e is not None:
+            chain.append(e)
+            e = e.parent
+        marked = [e for e in chain if e.mark]
+        if any(not e.wrapper for e in marked):
+            continue
+        size = max(0, len(b.text) - b.linked)
+        total += size
+        for e in marked:
+            seen[id(e)] = e
+            inside[id(e)] = inside.get(id(e), 0) + size
+    for i, e in seen.items():
+        if i in holders or inside[i] >= 0.75 * total > 0:
+            e.mark = False
 
 
 def parse(page: str) -> list[Block]:
@@ -75,7 +124,8 @@ def parse(page: str) -> list[Block]:
     A block ends where an element that isn't inline begins or ends; a line break is white space.  Paths are made of
     elements that aren't inline, with their first class.
     """
-    root = Element("", "", False, None, "")
+    root = Element("", "", False, False, None, "")
+    holders: set[int] = set()
     stack, blocks, parts = [root], [], []
     links = linked = 0
     at = 0
@@ -138,10 +188,13 @@ def parse(page: str) -> list[Block]:
         inside = any(e.tag in ("article", "main") for e in stack)
         kind = attributes.get("class", "").split()
         label = tag + ("." + kind[0] if kind else "")
-        stack.append(Element(tag, label, parent.aside or _is_aside(tag, attributes, inside), parent, parent.path + "/" + label))
+        stack.append(Element(tag, label, _is_aside(tag, attributes, inside), _is_wrapper(tag, attributes), parent, parent.path + "/" + label))
+        if tag in ("article", "main"):
+            holders.update(id(e) for e in stack if e.mark)
         if m[3].rstrip().endswith("/") and tag not in ("p", "div", "li"):
             stack.pop()
     end_block()
+    _release(blocks, holders)
     return blocks
 
 
@@ -157,8 +210,9 @@ def main_text(page: str | None) -> str:
 
     Every tag path has a text ratio (characters per block, links not counted) and a punctuation ratio.  Both are given
     to the path's blocks, smoothed over neighbours and fused by their product; blocks at or above the mean are content.
-    The article is the deepest element that holds three quarters of their text; it is returned whole, but for asides and paths that are
-    little but links.  Navigation, footers, asides, forms, adverts, notices and comments are known by element, role,
+    The article is the deepest element that holds three quarters of their text; it is returned whole, but for asides and,
+    outside <article> and <main>, paths that are little but links.  On pages without either, containers of other content
+    are returned as well.  Navigation, footers, asides, forms, adverts, notices and comments are known by element, role,
     class and id and take no part.
     """
     if not page:
@@ -207,6 +261,14 @@ def main_text(page: str | None) -> str:
                 break
         e = e.parent
 
+    def container(x: Element) -> Element:
+        while x.parent is not None and x.tag not in ("section", "div", "td", "body", "blockquote"):
+            x = x.parent
+        return x
+
+    marked = deepest.tag in ("article", "main")
+    others = set() if marked else {id(container(b.element)) for b, is_content in zip(blocks, content, strict=True) if is_content}
+
     def within(x: Element | None) -> bool:
         while x is not None:
             if x is deepest:
@@ -216,9 +278,9 @@ def main_text(page: str | None) -> str:
 
     def is_menu(b: Block) -> bool:
         _, plain, marks, linked = paths[b.element.path]
-        return b.element.tag == "li" and linked > 4 * plain and marks < 1 + linked / 80
+        return not marked and b.element.tag == "li" and linked > 4 * plain and marks < 1 + linked / 80
 
-    return "\n".join(b.text for b in blocks if within(b.element) and not is_menu(b))
+    return "\n".join(b.text for b in blocks if (within(b.element) or id(container(b.element)) in others) and not is_menu(b))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -253,6 +253,18 @@ def test_main_text():
     assert main_text("just text.") == "just text." and main_text("<p>one") == "one" and main_text("<p>" + "x " * 100_000).count("x") == 100_000
 
 
+def test_main_text_is_whole():
+    lines = [f"Part {i}, some text; and more of it, in all its length." for i in range(10)]
+    text = ["".join(f"<p>{x}</p>" for x in part) for part in (lines[:8], lines[8:])]
+    assert main_text(f"<body><div class=one>{text[0]}</div><div class=two>{text[1]}</div></body>") == "\n".join(lines)
+    whole = text[0] + text[1]
+    for start, end in (("<div class='content no-sidebar'>", "</div>"), ("<div class=has-header>", "</div>"), ("<div id=with-menu>", "</div>"), ("<form>", "</form>"), ("<div class=menu>", "</div>")):
+        for inner in (whole, f"<article>{whole}</article>"):
+            assert main_text(f"<body>{start}{inner}{end}</body>") == "\n".join(lines)
+    assert "Some paper" in main_text(f"<body><article>{whole}<ul><li><a href=x>Some paper</a><li><a href=y>Another</a></ul></article></body>")
+    assert main_text(f"<body><div>{text[1]}</div><div class=comments><article>{text[0]}</article></div></body>") == "\n".join(lines[8:])
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, "t", 1), (1, "u", PAGE, "t", 1), (2, None, None, None, None), (None, "u", "", "t", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
