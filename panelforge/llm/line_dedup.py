@@ -51,8 +51,7 @@ def _documents(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def _near_lines(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     """h1, h2 of distinct lines that have a near line before them."""
-    groups = session.materialize(lines.where(F.size("halves") > 0).select(
-        "h1", "h2", "first", F.explode("halves").alias("half")).select("h1", "h2", "first", "half.*"), "line_halves")
+    groups = lines.where(F.size("halves") > 0).select("h1", "h2", "first", F.explode("halves").alias("half")).select("h1", "h2", "first", "half.*")
     # A group matters if it holds a shorter line and another one.
     open_groups = groups.groupBy("g").agg(F.count("*").alias("c"), F.min("long").alias("l")).where("c > 1 and not l").select("g")
     members = session.materialize(groups.join(open_groups, "g", "left_semi"), "open_groups")
@@ -116,23 +115,22 @@ def line_decisions(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = F.size("words")
-    occurrences = _documents(docs, "doc_id", "text").where("text is not null").select(
-        "doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select(
-        "doc_id", "th", "line", _words(F.col("raw")).alias("words")).select(
-        "doc_id", "th", "line", n.alias("n"), F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("line"), "words").alias("h2"),
+    texts = _documents(docs, "doc_id", "text").where("text is not null")
+    occurrences = texts.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select(
+        "doc_id", "th", "line", _words(F.col("raw")).alias("words")).where(n > 0).select(
+        "doc_id", "th", "line", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("line"), "words").alias("h2"),
         _half_keys(F.col("words"), n, min_words).alias("halves"))
-    occurrences = session.materialize(occurrences, "occurrences")
     at = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "th", "line")
-    lines = session.materialize(occurrences.where("n > 0").groupBy("h1", "h2").agg(
-        F.min(at).alias("first"), F.first("halves").alias("halves")), "lines")
+    # Only distinct lines are written; what a document needs besides them is read off its text again.
+    lines = session.materialize(occurrences.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.first("halves").alias("halves")), "lines")
     gone = session.materialize(_near_lines(docs, lines, min_words), "near_lines")
     stay = lines.select("h1", "h2", "first").join(gone, ["h1", "h2"], "left_anti").select(
         F.col("first.id").alias("doc_id"), F.col("first.th").alias("th"), F.col("first.line").alias("line"))
-    blank = occurrences.where("n = 0").select("doc_id", "th", "line")
-    kept = stay.union(blank).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line")).alias("kept"))
-    sizes = occurrences.groupBy("doc_id", "th").agg((F.max("line") + 1).cast("long").alias("n_lines"))
+    kept = stay.groupBy("doc_id", "th").agg(F.collect_set("line").alias("kept"))
+    blank = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.when(~x.rlike("[^ \t\x0B\f\r]"), i)), lambda i: i.isNotNull())
+    sizes = texts.select("doc_id", "th", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), blank.alias("blank")).dropDuplicates(["doc_id", "th"])
     return sizes.join(kept, sizes["doc_id"].eqNullSafe(kept["doc_id"]) & (sizes["th"] == kept["th"]), "left").select(
-        sizes["doc_id"], sizes["th"], "n_lines", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
+        sizes["doc_id"], sizes["th"], "n_lines", F.sort_array(F.concat("blank", F.coalesce("kept", F.array().cast("array<int>")))).alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
