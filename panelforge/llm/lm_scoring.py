@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from panelforge.llm.words import WordHasher, kept_in_worker, mix64
 #: (gram, document) rows that one task counts together; the number of parts follows the number of tokens.
 PART_ROWS = 1_500_000
 #: Rows a task holds before it sends them on.
-FLUSH_ROWS = 500_000
+FLUSH_ROWS = 1_000_000
 #: Grams that make up 1 / HOT of all are so frequent that their counts are sent to all tasks; there are HOT at most.
 HOT = 20_000
 SKETCH_BITS = 14
@@ -47,6 +49,17 @@ def grams_of(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return text[at], both[at], np.diff([*at, len(both)])
 
 
+def short_grams(gram: np.ndarray) -> bytes:
+    """Grams cut to their low 48 bits: within a part, two are taken for one with probability 2^-48."""
+    return np.ascontiguousarray(gram.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def whole_grams(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 @dataclass
 class Frequent:
     """Counts of the frequent grams, sorted by gram."""
@@ -83,8 +96,9 @@ class Smoothing:
 
 
 def _texts(docs: DataFrame, target: DataFrame, id_col: str, text: str, target_text: str) -> DataFrame:
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
-                      F.col(text).cast("string").alias("text"))
+    """Texts with `row`: a hash of id and text (63 bits) for documents, whatever order they come in, -1 for the target."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = own.select(F.xxhash64(F.coalesce("doc_id", F.lit(-1).cast("long")), F.col("doc_id").isNull(), "text").bitwiseAND(F.lit((1 << 63) - 1)).alias("row"), "doc_id", "text")
     return own.union(target.select(F.lit(-1).cast("long"), F.lit(None).cast("long"), F.col(target_text).cast("string")))
 
 
@@ -173,7 +187,7 @@ def lm_scores(docs: DataFrame, target: DataFrame, prior: float = 10.0, id_col: s
     background model those of all of `docs` but the one that is scored.  Both are bigram models with the same
     vocabulary, order and prior, and background counts are scaled to the target's number of tokens.  Losses are mean
     negative logarithms per token, score is their difference.  Null and texts without words have 0 tokens and null losses.
-    Repeated rows are scored one by one.  Other columns are not used.
+    Repeated rows are scored one by one, and a result doesn't hang on the order in which rows come.  Other columns are not used.
 
     (gram, document, count) rows are dealt by the gram's hash, packed into arrays; each part counts its grams and
     hands every document what they add to its losses.  Grams so frequent that they would fill a part are counted
@@ -201,86 +215,100 @@ def lm_scores(docs: DataFrame, target: DataFrame, prior: float = 10.0, id_col: s
                 names=["row", "doc_id", "tokens", "t", "b"])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of rows for each part: documents, and which document, gram and count each row has."""
-        hot: Frequent = frequent.value
-        held: list[tuple] = []
-        rows: list[np.ndarray] = []
-        size = docs_held = 0
+        """Blocks of rows for each part: which of the block's documents, gram and count each row has.
 
-        def flush() -> pa.RecordBatch:
-            text, gram, count = (np.concatenate(x) for x in zip(*held, strict=True))
-            ids = np.concatenate(rows)
+        A row of its own, for a part below 0, says which documents a block holds.  Blocks are numbered within their task; `check`
+        tells blocks apart that a task would make anew from rows in another order.
+        """
+        hot: Frequent = frequent.value
+        first = TaskContext.get().partitionId() << 32
+        held: dict[bool, list] = {False: [], True: []}  # of the target, of documents
+        made = 0
+
+        def flush(own: bool) -> pa.RecordBatch:
+            nonlocal made
+            rows, text, gram, count = zip(*held[own], strict=True)
+            starts = np.cumsum([0, *map(len, rows)])
+            text = np.concatenate([t + s for t, s in zip(text, starts)])
+            gram, count, ids = np.concatenate(gram), np.concatenate(count), np.concatenate(rows)
+            block, check = first + made, zlib.crc32(ids.tobytes())
             part = (mix64(gram) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            out: list[tuple] = []
+            out: list[tuple] = [(-1 - block % parts, block, check, own, ids.tobytes(), b"", b"")] if own else []
             for p in np.flatnonzero(np.diff(cuts)):
                 mine = order[cuts[p]:cuts[p + 1]]
-                which, place = np.unique(text[mine], return_inverse=True)
-                out.append((int(p), ids[which].tobytes(), place.astype(np.uint32).tobytes(), gram[mine].tobytes(),
+                out.append((int(p), block, check, own, text[mine].astype(np.uint32).tobytes(), short_grams(gram[mine]),
                             np.minimum(count[mine], 2**32 - 1).astype(np.uint32).tobytes()))
-            cols = [[*c] for c in zip(*out, strict=True)] or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
-                                              names=["part", "ids", "place", "gram", "count"])
+            made, held[own] = made + 1, []
+            cols = [[*c] for c in zip(*out, strict=True)] or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                                              names=["part", "block", "check", "own", "place", "gram", "count"])
 
+        size = {False: 0, True: 0}
         for row, _, hashes, bounds in _runs(batches):
             t, g, c = grams_of(hashes, bounds)
             cold = ~hot.find(g)[0]
-            held.append((t[cold] + docs_held, g[cold], c[cold]))
-            rows.append(row)
-            docs_held += len(row)
-            size += int(cold.sum())
-            if size >= FLUSH_ROWS:
-                yield flush()
-                held, rows, size, docs_held = [], [], 0, 0
-        if held:
-            yield flush()
+            own = bool(row[0] >= 0)
+            if not ((row >= 0) == own).all():
+                raise RuntimeError("a task reads documents or the target, not both")
+            held[own].append((row, t[cold], g[cold], c[cold]))
+            size[own] += int(cold.sum())
+            if size[own] >= FLUSH_ROWS:
+                yield flush(own)
+                size[own] = 0
+        for own, some in held.items():
+            if some:
+                yield flush(own)
 
     def counted(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, place, base = [], [], 0
-        for i, x in zip(pdf["ids"], pdf["place"], strict=True):
-            ids.append(np.frombuffer(i, np.int64))
-            place.append(np.frombuffer(x, np.uint32).astype(np.int64) + base)
-            base += len(ids[-1])
-        gram, count = (np.concatenate([np.frombuffer(x, k) for x in pdf[c]]) for c, k in (("gram", np.uint64), ("count", np.uint32)))
-        row = np.concatenate(ids)
-        place = np.concatenate(place)
+        """What each block's documents get from one part; the lists of documents pass through."""
+        none: list = [None] * len(pdf)
+        if pdf["part"].iat[0] < 0:
+            return pd.DataFrame({"block": pdf["block"], "check": pdf["check"], "ids": pdf["place"], "place": none, "t": none, "b": none})
+        place = [np.frombuffer(x, np.uint32) for x in pdf["place"]]
+        cuts = np.cumsum([0, *map(len, place)])
+        gram = np.concatenate([whole_grams(x) for x in pdf["gram"]])
+        count = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["count"]])
         distinct, at = np.unique(gram, return_inverse=True)
-        target_row = row[place] < 0
-        c = count.astype(float)
-        of_target = np.bincount(at[target_row], c[target_row], len(distinct))
-        of_background = np.bincount(at[~target_row], c[~target_row], len(distinct))
-        mine = ~target_row
-        x, y = smooth.terms(gram[mine], of_target[at[mine]], of_background[at[mine]] - c[mine])
-        t, b = (np.bincount(place[mine], v * c[mine], len(row)) for v in (x, y))
-        touched = (np.bincount(place[mine], minlength=len(row)) > 0) & (row >= 0)
-        return packed(row[touched], t[touched], b[touched])
-
-    def packed(row: np.ndarray, t: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-        """Documents' sums as one row for each bucket of documents: a document meets most parts, so rows of its own would
-        be as many as documents times parts."""
-        bucket = (mix64(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        which, starts = np.unique(bucket[order], return_index=True)
-        cut = lambda x: [p.tobytes() for p in np.split(x[order], starts[1:])] if len(which) else []
-        return pd.DataFrame({"bucket": which, "row": cut(row), "t": cut(t), "b": cut(b)})
+        sums = np.zeros((2, len(distinct)))
+        for own, a, b in zip(pdf["own"], cuts, cuts[1:]):
+            sums[int(own)] += np.bincount(at[a:b], count[a:b], len(distinct))
+        out = []
+        for own, block, check, where, a, b in zip(pdf["own"], pdf["block"], pdf["check"], place, cuts, cuts[1:]):
+            if own:
+                c, mine = count[a:b], at[a:b]
+                x, y = smooth.terms(gram[a:b], sums[0][mine], sums[1][mine] - c)
+                which, place_of = np.unique(where, return_inverse=True)
+                out.append((block, check, None, which.tobytes(), *(np.bincount(place_of, v * c, len(which)).tobytes() for v in (x, y))))
+        return pd.DataFrame(out, columns=["block", "check", "ids", "place", "t", "b"])
 
     def summed_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        row, at = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["row"]]), return_inverse=True)
-        t, b = (np.bincount(at, np.concatenate([np.frombuffer(x) for x in pdf[c]]), len(row)) for c in "tb")
+        if pdf["check"].nunique() > 1 or pdf["ids"].count() != 1:
+            raise RuntimeError("a block was made twice from rows in different orders; read the documents from a written table")
+        row = np.frombuffer(pdf["ids"].dropna().iat[0], np.int64)
+        t, b = np.zeros(len(row)), np.zeros(len(row))
+        for place, x, y in zip(pdf["place"], pdf["t"], pdf["b"], strict=True):
+            if place is not None:
+                which = np.frombuffer(place, np.uint32)
+                t[which] += np.frombuffer(x)
+                b[which] += np.frombuffer(y)
         return pd.DataFrame({"row": row, "t": t, "b": b})
 
-    blocks = texts.mapInArrow(dealt, "part bigint, ids binary, place binary, gram binary, count binary")
+    blocks = texts.mapInArrow(dealt, "part bigint, block bigint, check bigint, own boolean, place binary, gram binary, count binary")
     cold = blocks.repartition(min(parts, 100_000), "part").groupBy("part").applyInPandas(
-        counted, "bucket bigint, row binary, t binary, b binary")
-    cold = cold.repartition(min(parts, 100_000), "bucket").groupBy("bucket").applyInPandas(summed_up, "row bigint, t double, b double")
+        counted, "block bigint, check bigint, ids binary, place binary, t binary, b binary")
+    cold = cold.groupBy("block").applyInPandas(summed_up, "row bigint, t double, b double")
     hot = texts.mapInArrow(known, "row bigint, doc_id bigint, tokens bigint, t double, b double")
     both = hot.union(cold.select("row", F.lit(None).cast("long"), F.lit(None).cast("long"), "t", "b"))
-    summed = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
-    some = F.col("n_tokens") > 0
-    return summed.select("doc_id", "n_tokens", F.when(some, F.col("t") / F.col("n_tokens")).alias("target_loss"),
-                         F.when(some, F.col("b") / F.col("n_tokens")).alias("background_loss"),
-                         F.when(some, (F.col("t") - F.col("b")) / F.col("n_tokens")).alias("score"))
+    # Rows with equal id and text share a key and, each for itself, the same sums.
+    summed = both.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"),
+                                     F.count("tokens").alias("times"))
+    summed = summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    n = F.col("n_tokens") * F.col("times")
+    return summed.select("doc_id", "n_tokens", F.when(n > 0, F.col("t") / n).alias("target_loss"), F.when(n > 0, F.col("b") / n).alias("background_loss"),
+                         F.when(n > 0, (F.col("t") - F.col("b")) / n).alias("score"))
 
 
 @query("op3_lm_scoring")

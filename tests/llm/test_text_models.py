@@ -149,6 +149,27 @@ def test_losses_equal_brute_force(spark, monkeypatch, hot):
             assert abs(a[2] - b[2]) < 1e-9 and abs(a[3] - b[3]) < 1e-9 and abs(a[4] - (b[2] - b[3])) < 1e-9
 
 
+def test_losses_follow_documents_whatever_order_they_come_in(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i % 40, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(60)]
+    rows += rows[:3] * 4 + [(None, "w1 w2"), (None, "w1 w2"), (7, None)]
+    target = [" ".join(rng.choices(words[:20], k=30)) for _ in range(10)]
+
+    def shuffled(frames):
+        for f in frames:
+            yield f.sample(frac=1)  # another order each time
+
+    docs = frame(spark, rows).coalesce(1).mapInPandas(shuffled, frame(spark, rows).schema)
+    got = lm.lm_scores(docs, spark.createDataFrame([(t,) for t in target], "text string")).collect()
+    vocabulary = lm._survey(lm._texts(frame(spark, rows), spark.createDataFrame([(t,) for t in target], "text string"), "doc_id", "text", "text"))[2]
+    key = lambda x: (str(x[0]), x[1], x[2] or 0)
+    want = sorted(brute_losses(rows, target, 10.0, vocabulary), key=key)
+    for a, b in zip(sorted(map(tuple, got), key=key), want, strict=True):
+        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None)
+        assert a[2] is None or abs(a[2] - b[2]) < 1e-9 and abs(a[3] - b[3]) < 1e-9
+
+
 def test_losses_of_nothing(spark):
     target = spark.createDataFrame([("a b",)], "text string")
     assert lm.lm_scores(frame(spark, []), target).count() == 0
