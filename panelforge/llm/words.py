@@ -124,9 +124,11 @@ def split_words(text: str | None) -> list[bytes]:
 def kept_in_worker(key, make):
     """An object that a Python worker keeps from task to task, such as a vocabulary and what is remembered about it.
 
-    Spark reuses its Python workers; functions reach them anew with each task, so the object hangs on the interpreter.
+    Spark reuses its Python workers; functions reach them anew with each task, so the object hangs on the interpreter.  A
+    worker keeps one: that of the stage before goes when another stage asks for its own.
     """
-    kept = sys.modules.setdefault("_panelforge_kept", types.ModuleType("_panelforge_kept")).__dict__
+    kept = sys.modules.setdefault("_panelforge_kept", types.ModuleType("_panelforge_kept")).__dict__.setdefault("kept", {})
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
