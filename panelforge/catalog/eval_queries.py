@@ -286,6 +286,26 @@ def event_ticks(spark, sf):
     return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), F.lit(1.0).alias("volume"), "event_id")
 
 
+LOG_KEYS = ["symbol", "model", "bar_date"]
+
+
+def event_batches(spark, sf, batches: int = 4):
+    """The events as a stream of several batches in the order of time: their file cut by days and read one part at a time."""
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    span = e.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.min("event_id").isNull().alias("none")).first()
+    path = session.new_path(spark, "event_files")
+    part = F.lit(0) if span["none"] or span["lo"] == span["hi"] else F.least(F.lit(batches - 1), F.floor(
+        (F.unix_micros("ts") - F.unix_micros(F.lit(span["lo"]))) / ((F.unix_micros(F.lit(span["hi"])) - F.unix_micros(F.lit(span["lo"]))) / batches)))
+    for i in range(batches):  # one after the other, as the stream takes files by age
+        e.where(part == i).coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
+    return jobs.file_stream(spark, path, "events", 1)
+
+
+def event_records(spark, sf):
+    return event_batches(spark, sf).select(F.col("user_id").cast("string").alias("symbol"), F.col("event_type").alias("model"),
+                                           F.to_date("ts").alias("bar_date"), "ts", "event_id")
+
+
 @query("z01_stream_bars", f"""WITH e AS (SELECT *, date_trunc('hour', ts) AS h, max(ts) OVER () AS m FROM events), b AS (SELECT event_type AS symbol, h, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
   arg_max(value, ts) AS close, count(*) AS n_ticks FROM e WHERE h + INTERVAL 1 HOUR <= date_trunc('milliseconds', m) - INTERVAL 10 MINUTE GROUP BY 1, 2)
   SELECT symbol, CAST(h AS VARCHAR) AS ts, n_ticks, {cols_sql(['open', 'high', 'low', 'close'])} FROM b""")
@@ -297,29 +317,51 @@ def stream_bars(spark, sf):
 
 @query("z02_stream_dedupe", "SELECT CAST(user_id AS VARCHAR) AS symbol, event_type AS model, CAST(ts AS DATE) AS bar_date, CAST(1 AS BIGINT) AS n FROM events GROUP BY ALL")
 def stream_dedupe(spark, sf):
-    """First record per (symbol, model, bar date) of the stream."""
-    e = jobs.file_stream(spark, sf, "events").select(F.col("user_id").cast("string").alias("symbol"), F.col("event_type").alias("model"),
-                                                     F.to_date("ts").alias("bar_date"), F.col("ts").cast("timestamp").alias("ts"))
-    d = jobs.run_to_table(jobs.first_records(e, ["symbol", "model", "bar_date"], "ts", "31 days"), spark, "stream_log")
+    """First record per (symbol, model, bar date) of the stream, in several batches, by state within the watermark."""
+    d = jobs.run_to_table(jobs.first_records(event_records(spark, sf), LOG_KEYS, "ts", "31 days"), spark, "stream_log")
     return d.groupBy("symbol", "model", "bar_date").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("z03_stream_book", """WITH p AS (SELECT event_type AS symbol, arg_max(value, ts) AS last FROM events GROUP BY 1)
-  SELECT symbol, round(0.2::DOUBLE * (last / 50), 6) AS weight, round(last, 6) AS price FROM p""")
-def stream_book(spark, sf):
-    """A held book drifted by price batches."""
-    held = table(spark, sf, "events").select(F.col("event_type").alias("symbol")).distinct().select("symbol", F.lit(0.2).alias("weight"), F.lit(50.0).alias("price"))
-    state = jobs.BookState(spark, held)
-    jobs.run_batches(event_ticks(spark, sf), spark, "stream_book", state.apply)
-    return out(state.current, ["symbol"], ["weight", "price"])
+@query("s15_stream_log", """SELECT CAST(user_id AS VARCHAR) AS symbol, event_type AS model, CAST(CAST(ts AS DATE) AS VARCHAR) AS bar_date, min(event_id) AS event_id, CAST(1 AS BIGINT) AS n
+  FROM events GROUP BY 1, 2, 3""")
+def stream_log(spark, sf):
+    """The same log kept by its sink: every batch runs twice, and a key is logged once whatever batch it comes in."""
+    log = jobs.KeyedLog(spark, session.new_path(spark, "keyed_log"), "events", "symbol string, model string, bar_date date, ts timestamp, event_id bigint", LOG_KEYS, "event_id")
+
+    def twice(batch, number):
+        log(batch, number)
+        log(batch, number)
 
+    jobs.run_batches(event_records(spark, sf), spark, "keyed_log", twice)
+    d = log.read().groupBy("symbol", "model", F.col("bar_date").cast("string").alias("bar_date"))
+    return d.agg(F.min("event_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
 
-@query("z04_stream_gap_alarms", f"""WITH e AS (SELECT event_type AS symbol, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS p FROM events)
-  SELECT symbol, CAST(p AS VARCHAR) AS from_ts, CAST(ts AS VARCHAR) AS to_ts FROM e WHERE ts - p > INTERVAL 7200 SECOND""")
+
+@query("z03_stream_book", """WITH e AS (SELECT event_type AS symbol, ts, event_id, value, CASE WHEN event_id % 997 = 0 THEN 0.1::DOUBLE + (event_id % 7) / 100.0::DOUBLE END AS target FROM events),
+  s AS (SELECT symbol, arg_max(value, (ts, event_id)) AS last, arg_max(target, (ts, event_id)) FILTER (target IS NOT NULL) AS target,
+  arg_max(value, (ts, event_id)) FILTER (target IS NOT NULL) AS at_target FROM e GROUP BY 1)
+  SELECT symbol, round(coalesce(target, 0.2::DOUBLE) * (last / coalesce(at_target, 50)), 6) AS weight, round(last, 6) AS price FROM s""")
+def stream_book(spark, sf):
+    """A held book as state: carried by price batches, set anew by rows with a target."""
+    held = table(spark, sf, "events").select(F.col("event_type").alias("symbol")).distinct().select("symbol", F.lit(0.2).alias("weight"), F.lit(50.0).alias("price"))
+    e = event_batches(spark, sf)
+    target = F.when(F.col("event_id") % 997 == 0, 0.1 + (F.col("event_id") % 7) / 100.0)
+    rows = e.select(F.col("event_type").alias("symbol"), "ts", F.col("event_id").alias("seq"), F.col("value").alias("price"), target.alias("target"))
+    changes = jobs.BatchFolders(spark, session.new_path(spark, "book_changes"), "book", jobs.BOOK)
+    jobs.run_batches(jobs.held_book(rows, held), spark, "stream_book", changes, mode="update")
+    return out(jobs.current_book(changes.read(), held), ["symbol"], ["weight", "price"])
+
+
+@query("z04_stream_gap_alarms", """WITH e AS (SELECT event_type || CAST(user_id % 40 AS VARCHAR) AS symbol, ts, max(ts) OVER () AS top FROM events),
+  g AS (SELECT symbol, ts AS p, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS n, date_trunc('milliseconds', top) - INTERVAL 10 MINUTE AS mark FROM e)
+  SELECT symbol, CAST(p AS VARCHAR) AS from_ts, CAST(n AS VARCHAR) AS to_ts FROM g
+  WHERE n - p > INTERVAL 7200 SECOND OR n IS NULL AND date_trunc('milliseconds', p) + INTERVAL 7200 SECOND < mark""")
 def stream_gaps(spark, sf):
-    state = jobs.GapState(spark, 7200)
-    jobs.run_batches(event_ticks(spark, sf), spark, "stream_gaps", state.apply)
-    return state.alarms().select("symbol", F.col("from_ts").cast("string").alias("from_ts"), F.col("to_ts").cast("string").alias("to_ts"))
+    """Silences of more than two hours; those that last until the end are open alarms."""
+    ticks = event_batches(spark, sf).select(F.concat("event_type", (F.col("user_id") % 40).cast("string")).alias("symbol"), "ts")
+    alarms = jobs.BatchFolders(spark, session.new_path(spark, "alarms"), "gaps", jobs.ALARMS)
+    jobs.run_batches(jobs.silence_alarms(ticks, 7200, "10 minutes"), spark, "stream_gaps", alarms, mode="update")
+    return jobs.settled_alarms(alarms.read()).select("symbol", F.col("from_ts").cast("string").alias("from_ts"), F.col("to_ts").cast("string").alias("to_ts"))
 
 
 @query("z05_stream_restatement", f"""SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS ts, {r_sql('arg_max(value, ts)', 'close')} FROM events GROUP BY 1, 2""")

@@ -67,6 +67,32 @@ SQL_RESTATED = """restated AS (SELECT symbol, ts, close, 0 AS gen FROM bars0 UNI
   SELECT symbol, CAST(ts + INTERVAL 3000 DAY AS DATE), close, 1 FROM bars0 WHERE volume > 90)"""
 
 
+def clustered_bars(spark, sf):
+    """The bars as a bucketed table of this application."""
+    name = f"bars_{abs(hash((spark.sparkContext.applicationId, sf)))}"
+    if not spark.catalog.tableExists(name):
+        src.save_clustered(raw_bars(spark, sf), name, 16, session.new_path(spark, "clustered_bars"))
+    return spark.table(name)
+
+
+@query("s04_clustered_scan", f"""WITH {SQL_BARS0} SELECT symbol, ts, {r_sql('close', digits=9)} FROM bars0
+  WHERE symbol IN ('1', '7') AND ts BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'""")
+def clustered_scan(spark, sf):
+    """The range scan of the bucketed store: two buckets, and in them the row groups that hold the symbols."""
+    r = src.scan_range(clustered_bars(spark, sf), ["1", "7"], None, "1997-01-01", "1998-12-31")
+    return out(r.orderBy("symbol", "ts"), ["symbol", "ts"], ["close"], 9)
+
+
+@query("s04_clustered_join", f"""WITH {SQL_BARS0}, s AS (SELECT symbol, avg(volume) AS mean_volume FROM bars0 GROUP BY symbol)
+  SELECT b.symbol, count(*) AS n_above, {r_sql('max(b.close)', 'top')} FROM bars0 b JOIN s ON s.symbol = b.symbol AND b.volume > s.mean_volume GROUP BY b.symbol""")
+def clustered_join(spark, sf):
+    """Bars against their symbol's mean volume: a grouping, a join and a grouping again, all on the buckets."""
+    bars = clustered_bars(spark, sf)
+    means = bars.groupBy("symbol").agg(F.avg("volume").alias("mean_volume"))
+    above = bars.join(means.hint("merge"), "symbol").where(F.col("volume") > F.col("mean_volume"))
+    return out(above.groupBy("symbol").agg(F.count("*").alias("n_above"), F.max("close").alias("top")), ["symbol", "n_above"], ["top"])
+
+
 @query("s05_bar_upsert", f"""WITH {SQL_BARS0}, {SQL_RESTATED} SELECT symbol, ts, '1wk' AS interval, {r_sql('arg_max(close, gen)', 'close', 9)}
   FROM restated GROUP BY symbol, ts""")
 def bar_upsert(spark, sf):

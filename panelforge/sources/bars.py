@@ -92,6 +92,21 @@ def scan_range(bars: DataFrame, symbols: Sequence[str] | None = None, interval:
     ]))
 
 
+def save_clustered(bars: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """Store bars as a catalog table that is bucketed by symbol, sorted by (symbol, ts), with a Bloom filter on symbol.
+
+    Joins and groupings by symbol read the buckets as they lie, without an exchange.  A scan of one symbol opens one bucket, and
+    skips row groups by the range of symbols they hold or by the filter.  Each bucket is one file, or several if its rows
+    are many: a hot symbol doesn't end up in one task.
+    """
+    bucket = F.pmod(F.hash("symbol"), F.lit(buckets))  # as the writer computes it
+    dealt = bars.withColumn("_b", bucket).hint("rebalance", F.col("_b")).sortWithinPartitions("_b", "symbol", "ts").drop("_b")
+    writer = (dealt.write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", "ts")
+              .option("parquet.bloom.filter.enabled#symbol", "true").option("parquet.bloom.filter.adaptive.enabled", "true"))
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+    return bars.sparkSession.table(table)
+
+
 def merge_chunks(*parts: DataFrame) -> DataFrame:
     """Concatenate fetched chunks; where they overlap the earliest chunk wins."""
     tagged = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
