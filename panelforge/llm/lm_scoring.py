@@ -18,9 +18,9 @@ from panelforge.llm.registry import query, table
 from panelforge.llm.words import WordHasher, kept_in_worker, mix64
 
 #: (gram, document) rows that one task counts together; the number of parts follows the number of tokens.
-PART_ROWS = 1_500_000
+PART_ROWS = 2_000_000
 #: Rows a task holds before it sends them on.
-FLUSH_ROWS = 1_000_000
+FLUSH_ROWS = 750_000
 #: Grams that make up 1 / HOT of all are so frequent that their counts are sent to all tasks; there are HOT at most.
 HOT = 20_000
 SKETCH_BITS = 14
