@@ -25,12 +25,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _LEFT: dict[str, list[str]] = {}
+#: Rows in an Arrow batch: stages carry whole rows, and a batch is held by the executor and by its Python worker.
+BATCH_ROWS = 1000
 
 
 def _stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     """A stage that first removes the intermediate tables of the one before it, whose result has been written by now."""
     @wraps(work)
     def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         app = spark.sparkContext.applicationId
         session.remove(spark, _LEFT.pop(app, []))
         with session.scratch() as paths:
