@@ -25,7 +25,7 @@ END_ID = 2
 #: Short pieces that one task packs together; the number of such groups follows the number of pieces.
 GROUP_PIECES = 8192
 #: Distinct text units whose ids a Python worker remembers; beyond it, it starts anew.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 300_000
 
 
 class Encoder:

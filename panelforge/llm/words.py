@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 # ASCII white space: space, tab, line feed, vertical tab, form feed, return.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -129,6 +132,17 @@ def kept_in_worker(key, make):
     """
     kept = sys.modules.setdefault("_panelforge_kept", types.ModuleType("_panelforge_kept")).__dict__.setdefault("kept", {})
     if key not in kept:
-        kept.clear()
+        if kept:
+            kept.clear()
+            _give_back()
         kept[key] = make()
     return kept[key]
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system; allocators keep it otherwise, and the worker's next stage adds its own."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
