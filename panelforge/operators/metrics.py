@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.stats import annual_sharpe, ols_beta, per_period_sharpe, sortino
-from panelforge.operators.ranks import average_rank, group_ranks
+from panelforge.operators.ranks import average_rank, group_ranks, largest_group
 from panelforge.operators.timeaxis import CHUNK_ROWS, chunk_window, chunked, number_rows, own_rows, running
 from panelforge.schema import EPS, IC_HORIZONS, TRADING_DAYS
 
@@ -111,8 +111,9 @@ def rank_ic(df: DataFrame, x: str, y: str, by: Sequence[str], spread: Sequence[s
     """(by, n, ic): Spearman correlation per group; NULL when thin or constant."""
     pairs = df.select(*by, *spread, F.col(x).alias("_x"), F.col(y).alias("_y")).where(
         "_x is not null and _y is not null")
-    rx = group_ranks(pairs, by, "_x", spread).withColumn("_rx", average_rank()).drop("n", "less", "eq")
-    ry = group_ranks(rx, by, "_y", spread).withColumn("_ry", average_rank())
+    largest = largest_group(pairs, by)
+    rx = group_ranks(pairs, by, "_x", spread, largest=largest).withColumn("_rx", average_rank()).drop("n", "less", "eq")
+    ry = group_ranks(rx, by, "_y", spread, largest=largest).withColumn("_ry", average_rank())
     flat = (F.stddev_pop("_x") < 1e-12) | (F.stddev_pop("_y") < 1e-12)
     ic = F.when((F.count(F.lit(1)) >= min_names) & ~flat, F.corr("_rx", "_ry"))
     return ry.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), ic.alias("ic"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators.metrics import class_weights
-from panelforge.operators.ranks import exact_quantiles
+from panelforge.operators.ranks import column_quantiles, exact_quantiles
 from panelforge.operators.signals import threshold_signal
 from panelforge.operators.splits import FoldConfig
 from panelforge.operators.timeaxis import number_rows
@@ -30,12 +30,10 @@ ENET_L1_RATIOS = [0.1, 0.5, 0.9]
 def robust_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(feature, center, scale): median and interquartile range, exact and interpolated.
 
-    Columns are ranked as groups of one long table; NULLs count as 0, as in the
-    model matrix.  A zero range scales by 1.
+    All columns share the passes of one wide table; NULLs count as 0, as in the model matrix.  A zero range scales by 1.
     """
-    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("x"))
-                        for c in cols])
-    q = exact_quantiles(df.select(F.inline(entries)), "x", [0.25, 0.5, 0.75], ["feature"])
+    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    q = column_quantiles(filled, cols, [0.25, 0.5, 0.75])
     wide = q.groupBy("feature").agg(*[F.max(F.when(F.col("q") == v, F.col("value"))).alias(n)
                                       for v, n in ((0.25, "lo"), (0.5, "center"), (0.75, "hi"))])
     spread = F.col("hi") - F.col("lo")
@@ -367,8 +365,8 @@ def in_session_fit(df: DataFrame, cols: Sequence[str], y: str, alpha: float = 10
     n = df.groupBy("symbol").agg((F.max("bar_no") + 1).alias("_n"))
     d = df.join(n, "symbol").withColumn("_split", F.floor(F.col("_n") * 0.8))
     train = d.where((F.col("bar_no") < F.col("_split")) & F.col(y).isNotNull())
-    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(c), F.lit(0.0)).alias("x")) for c in cols])
-    q = exact_quantiles(train.select("symbol", F.inline(entries)), "x", [0.25, 0.5, 0.75], ["symbol", "feature"])
+    filled = train.select("symbol", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    q = column_quantiles(filled, cols, [0.25, 0.5, 0.75], ["symbol"])
     params = q.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct(
         F.concat_ws("@", "feature", F.col("q").cast("string")), "value"))).alias("_p"))
 

@@ -1,11 +1,13 @@
 """Exact ranks and quantiles of groups of any size.
 
-A group (one date's cross-section, or the whole table) is ranked without putting
-it in one task: approximate quantiles of the group become cut points, rows are
-sorted inside the range between two cuts, and exact range counts give each range
-its offset.  A value frequent enough to fill a range of its own is itself a cut
-point; its rows are all tied, need no sorting, and are spread over salts.  Groups
-up to `limit` rows get no cuts.
+Groups that one sort can hold are ranked by a window each.  Larger ones are cut: quantiles of a range become the ends of
+up to CUTS + 1 smaller ranges, and any of those that is still too large is cut again, so there are as many as the group
+needs.  A value frequent enough to fill a range is a range of its own; its rows are all tied and need neither sort nor
+window.  Where ties are broken by another column, such a range is cut again by that column.  Exact counts of the ranges before
+it give each range its offset.
+
+Quantiles need no ranks: a sketch brackets each wanted place, exact counts check the bracket, and only the rows inside it are
+sorted.
 """
 
 from __future__ import annotations
@@ -14,66 +16,110 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelforge.session import materialize
 
-ROWS_PER_SORT = 2_000_000
+ROWS_PER_SORT = 1_000_000
+#: Of a table that is one group; so that it is sorted by more than one task.
+ROWS_OF_ALL = 100_000
 CUTS = 255
-SALTS = 64
-
-
-def _ranges(df: DataFrame, keys: Sequence[str], x: str, limit: int) -> DataFrame:
-    """Add `_n` (non-null count of the group) and `_rng` (range number, odd for a tied cut value)."""
-    points = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
-    cuts = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(
-        F.count(x).alias("_n"), F.percentile_approx(x, points, 2000).alias("_pts")
-    )
-    # No more ranges than the group needs: every (CUTS / needed)-th point.
-    needed = F.least(F.ceil(F.col("_n") / limit), F.lit(CUTS + 1)).cast("int")
-    step = F.greatest(F.floor(F.lit(CUTS + 1) / needed), F.lit(1)).cast("int")
-    picked = F.filter("_pts", lambda _, i: (i + 1) % step == 0)
-    cuts = cuts.select(*keys, "_n", F.when(F.col("_n") > limit, F.array_distinct(picked))
-                       .otherwise(F.array().cast("array<double>")).alias("_cuts"))
-    if keys:
-        joined = df.join(cuts, list(keys), "left")
+#: Rounds of cutting; each divides a range by a hundred or more, or moves its ties to the next part of their key.
+ROUNDS = 6
+_BITS = 10
+#: Bytes of a text that are compared as one number.
+_BYTES = 6
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    if not keys:
+        return df.count()
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _part(x: str, tie: Sequence[str], kind: T.DataType | None) -> Column:
+    """What a range is cut by: its values, and then, part by part, the column that breaks their ties."""
+    if not tie:
+        return F.col(x)
+    t = F.col(tie[0])
+    if isinstance(kind, T.StringType):
+        raw = F.substring(t.cast("binary"), F.lit(1) + (F.col("_part") - 1) * _BYTES, F.lit(_BYTES))
+        number = F.conv(F.rpad(F.hex(raw), 2 * _BYTES, "0"), 16, 10).cast("double")
     else:
-        joined = df.join(F.broadcast(cuts))  # a single row
-    below = F.size(F.filter("_cuts", lambda c: c < F.col(x)))
-    rng = F.when(F.col(x).isNull(), -1).otherwise(
-        2 * below + F.array_contains("_cuts", F.col(x)).cast("int"))
-    return joined.withColumn("_rng", rng).drop("_cuts")
+        number = F.when(F.col("_part") == 1, t.cast("double")).otherwise(F.lit(0.0))
+    return F.when(F.col("_part") == 0, F.col(x)).otherwise(F.coalesce(number, F.lit(-1.0)))
+
+
+def _ranges(df: DataFrame, keys: Sequence[str], x: str, tie: Sequence[str], limit: int) -> DataFrame:
+    """Add `_rng`, which rises with the order, and `_tied`: all rows of the range have one value.  NULLs have -1."""
+    by = [*keys, "_rng"]
+    kind = df.schema[tie[0]].dataType if tie else None
+    zero = F.when(F.col(x).isNull(), -1).otherwise(0).cast("long")
+    r = df.withColumns({"_rng": zero, "_tied": F.lit(False), "_part": F.lit(0)})
+    for _ in range(ROUNDS):
+        sizes = r.where("_rng >= 0 and not _tied").groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+        big = materialize(sizes.where(F.col("_size") > limit).drop("_size"), "large_ranges")
+        if big.isEmpty():
+            break
+        r = r.withColumn("_v", _part(x, tie, kind))
+        points = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
+        cuts = r.join(big, by, "left_semi").groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", points, 10_000)).alias("_cuts"))
+        r = r.join(materialize(cuts, "range_cuts"), by, "left")
+        below = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0))
+        is_cut = F.coalesce(F.array_contains("_cuts", F.col("_v")), F.lit(False))
+        below = F.when(F.col("_cuts").isNull(), 0).otherwise(below)
+        number = F.when(F.col("_rng") < 0, F.col("_rng")).otherwise(F.col("_rng") * (1 << _BITS) + 2 * below + is_cut.cast("long"))
+        ties = {"_part": F.col("_part") + is_cut.cast("int")} if tie else {"_tied": F.col("_tied") | is_cut}
+        r = r.withColumns({"_rng": number, **ties}).drop("_v", "_cuts")
+    return r.drop("_part")
 
 
-def group_ranks(df: DataFrame, keys: Sequence[str], x: str, spread: Sequence[str],
-                tie: Sequence[str] = (), limit: int = ROWS_PER_SORT) -> DataFrame:
+def group_ranks(df: DataFrame, keys: Sequence[str], x: str, spread: Sequence[str] = (), tie: Sequence[str] = (),
+                limit: int | None = None, largest: int | None = None) -> DataFrame:
     """Rank column x inside each group.
 
-    Adds `n` (group size) and either `less` and `eq` (rows strictly below, rows
-    equal) or, with `tie`, `pos`: the 0-based place in the order (x, *tie).
-    NULLs take no part and get NULLs.  `spread` names columns that tell rows apart.
+    Adds `n` (values of the group) and either `less` and `eq` (rows strictly below, rows equal) or, with `tie`, `pos`: the
+    0-based place in the order (x, *tie).  NULLs take no part and get NULLs.  largest: rows of the largest group, where
+    the caller knows it.  spread: columns that tell rows apart; not needed any more.
     """
-    r = _ranges(df.withColumn(x, F.col(x).cast("double")), keys, x, limit)
+    keys = list(keys)
+    df = df.withColumn(x, F.col(x).cast("double"))
+    valid = F.col(x).isNotNull()
+    limit = limit or (ROWS_PER_SORT if keys else ROWS_OF_ALL)
+    if (largest_group(df, keys) if largest is None else largest) <= limit:
+        order = Window.partitionBy(*keys).orderBy(F.col(x).asc_nulls_last(), *tie)
+        n = F.count(x).over(Window.partitionBy(*keys))
+        if tie:
+            return df.withColumns({"pos": F.when(valid, F.row_number().over(order) - 1), "n": n})
+        same = order.rangeBetween(Window.currentRow, Window.currentRow)
+        return df.withColumns({"less": F.when(valid, F.rank().over(order) - 1), "eq": F.when(valid, F.count(F.lit(1)).over(same)), "n": n})
+    df = materialize(df, "ranked_rows")  # several passes follow
+    r = materialize(_ranges(df, keys, x, tie, limit), "ranges")
     by = [*keys, "_rng"]
     sizes = r.where("_rng >= 0").groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    # One row for each range of a group.
     before = Window.partitionBy(*keys).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
-    tied = F.col("_rng") % 2 != 0
-    spread_rows = F.col("_rng") < 0 if tie else tied
-    salt = F.when(spread_rows, F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0))
-    r = r.withColumn("_salt", salt)
-    sorted_range = Window.partitionBy(*by, "_salt").orderBy(x, *tie)
-    valid = F.col(x).isNotNull()
+    offsets = sizes.select(*by, "_size", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"),
+                           F.sum("_size").over(Window.partitionBy(*keys)).alias("n"))
+    within = Window.partitionBy(*by).orderBy(x, *tie)
+    apart = r.where("_rng >= 0 and not _tied")
     if tie:
-        placed = r.withColumn("_place", F.row_number().over(sorted_range) - 1)
-        cols: dict[str, Column] = {"pos": F.when(valid, F.col("_off") + F.col("_place"))}
+        apart = apart.withColumn("pos", F.row_number().over(within) - 1).join(offsets, by).withColumn("pos", F.col("pos") + F.col("_off"))
+        new = ["pos"]
     else:
-        same = sorted_range.rangeBetween(Window.currentRow, Window.currentRow)
-        placed = r.withColumn("_lt", F.rank().over(sorted_range) - 1).withColumn("_eq", F.count(F.lit(1)).over(same))
-        cols = {
-            "less": F.when(valid, F.col("_off") + F.when(tied, 0).otherwise(F.col("_lt"))),
-            "eq": F.when(valid, F.when(tied, F.col("_size")).otherwise(F.col("_eq"))),
-        }
-    cols["n"] = F.coalesce(F.col("_n"), F.lit(0))
-    out = placed.join(offsets if keys else F.broadcast(offsets), by, "left")
-    return out.withColumns(cols).drop("_n", "_rng", "_salt", "_lt", "_eq", "_place", "_size", "_off")
+        same = within.rangeBetween(Window.currentRow, Window.currentRow)
+        apart = apart.withColumns({"less": F.rank().over(within) - 1, "eq": F.count(F.lit(1)).over(same)}).join(offsets, by).withColumn(
+            "less", F.col("less") + F.col("_off"))
+        new = ["less", "eq"]
+    columns = [*df.columns, *new, "n"]
+    out = apart.select(*columns)
+    if not tie:
+        tied = r.where("_rng >= 0 and _tied").join(offsets, by)
+        out = out.union(tied.withColumns({"less": F.col("_off"), "eq": F.col("_size")}).select(*columns))
+    totals = sizes.groupBy(*keys).agg(F.sum("_size").alias("n"))
+    none = r.where("_rng < 0")
+    none = none.join(totals, keys, "left") if keys else none.join(F.broadcast(totals))  # one row
+    return out.union(none.withColumns({c: F.lit(None).cast(out.schema[c].dataType) for c in new} | {"n": F.coalesce("n", F.lit(0))}).select(*columns))
 
 
 def average_rank() -> Column:
@@ -81,32 +127,110 @@ def average_rank() -> Column:
     return F.col("less") + (F.col("eq") + 1) / 2.0
 
 
-def exact_quantiles(df: DataFrame, x: str, qs: Sequence[float], keys: Sequence[str] = (),
-                    limit: int = 10_000) -> DataFrame:
-    """Linear-interpolated quantiles per group: rows (*keys, q, value).
+def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str] = (), limit: int = 20_000) -> DataFrame:
+    """Linear-interpolated quantiles of several columns in each group: rows (*keys, feature, q, value).
 
-    Only the ranges that hold a wanted order statistic are sorted, so the ranges are
-    kept narrower than for full ranks.
+    NULLs take no part; a column without values has no row.  A group of up to `limit` rows is one exact aggregate.  In larger
+    ones all columns share three passes over the rows, none of which moves a row that no quantile needs: a sketch for the
+    bracket of each place, counts, and the values inside the brackets.
     """
-    valid = df.select(*keys, F.col(x).cast("double").alias("x")).where("x is not null")
-    r = _ranges(valid, keys, "x", limit)
-    by = [*keys, "_rng"]
-    before = Window.partitionBy(*keys).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = r.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"), F.max("_n").alias("_n"),
-                               F.min("x").alias("_lo"))
-    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    keys, rows = list(keys), df.select(*keys, *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+
+    def exact(some: DataFrame) -> DataFrame:
+        every = some.groupBy(*keys).agg(*[F.percentile(f"_v{i}", F.array(*map(F.lit, qs))).alias(f"_p{i}") for i in range(len(cols))])
+        return every.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(float(q)).alias("q"), F.col(f"_p{i}")[k].alias("value"))
+                                                      for i, c in enumerate(cols) for k, q in enumerate(qs)]))).where("value is not null")
+
+    largest = largest_group(rows, keys)
+    if largest <= limit:
+        return exact(rows)
+    if not keys:
+        return _bracketed(rows, cols, qs, keys, limit)
+    large = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys), "large_groups")
+    return exact(rows.join(large, keys, "left_anti")).union(_bracketed(rows.join(large, keys, "left_semi"), cols, qs, keys, limit))
+
+
+def _bracketed(rows: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: list[str], limit: int) -> DataFrame:
+    """column_quantiles of groups of more than `limit` rows, of which a column may still have fewer values.
+
+    A bracket of more than `limit` values is narrowed by a sketch of its own.  `near` is at least two places of such a
+    group, so a bracket holds the places on both sides of a quantile.
+    """
+    limit = max(limit, 64)  # a narrowed bracket still holds a few values around its place
+    near = 2 / min(limit, 10_000)
+    wanted = [(i, k) for i in range(len(cols)) for k in range(len(qs))]
+
+    def beside(some: DataFrame) -> DataFrame:
+        return rows.join(some, keys) if keys else rows.join(F.broadcast(some))  # one row
+
+    def at(i: int, k: int, field: str) -> Column:
+        return F.col("_b")[f"w{i}_{k}"][field]
+
+    def inside(i: int, k: int) -> Column:
+        x = F.col(f"_v{i}")
+        return (x > at(i, k, "lo")) & (x < at(i, k, "hi"))  # the ends themselves may hold any number of ties
+
+    def bracket(points: Column, place: int, q_lo: Column, q_hi: Column) -> Column:
+        """Ends of a bracket; infinite where the places reach beyond the values."""
+        lo = F.when(q_lo <= 0, F.lit(float("-inf"))).otherwise(points[place])
+        hi = F.when(q_hi >= 1, F.lit(float("inf"))).otherwise(points[place + 1])
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    ends = [min(1.0, max(0.0, q + d)) for q in qs for d in (-near, near)]
+    sketch = rows.groupBy(*keys).agg(*[f(f"_v{i}") for i in range(len(cols)) for f in (
+        lambda c: F.percentile_approx(c, ends, 10_000).alias(f"_s{c[2:]}"), lambda c: F.count(c).alias(f"_n{c[2:]}"))])
+
+    def first_bracket(i: int, k: int) -> Column:
+        few = F.col(f"_n{i}") <= limit  # all of them
+        return bracket(F.col(f"_s{i}"), 2 * k, F.when(few, 0.0).otherwise(qs[k] - near), F.when(few, 1.0).otherwise(qs[k] + near)).alias(f"w{i}_{k}")
+
+    first = sketch.select(*keys, F.struct(*[first_bracket(i, k) for i, k in wanted]).alias("_b"))
+    brackets = materialize(first, "brackets")
+    while True:
+        counts = [F.count(f"_v{i}").alias(f"n{i}") for i in range(len(cols))]
+        for i, k in wanted:
+            # Values up to the lower end, and those between the ends.
+            x = F.col(f"_v{i}")
+            counts += [F.count_if(x <= at(i, k, "lo")).alias(f"l{i}_{k}"), F.count_if(inside(i, k)).alias(f"c{i}_{k}")]
+        counted = materialize(beside(brackets).groupBy(*keys).agg(*counts, F.first("_b").alias("_b")), "bracket_counts")
+        wide = [F.col(f"c{i}_{k}") for i, k in wanted]
+        widest = counted.agg(F.max(F.greatest(*wide) if len(wide) > 1 else wide[0])).first()[0]
+        if (widest or 0) <= limit:
+            break
+        # Places within each bracket; one that was narrow enough stays as it is.
+        sketch = beside(counted).groupBy(*keys).agg(
+            F.first(F.struct(*[c for c in counted.columns if c not in keys])).alias("_c"),
+            *[F.percentile_approx(F.when(inside(i, k), F.col(f"_v{i}")), [j / 2_000 for j in range(2_001)], 10_000).alias(f"_s{i}_{k}") for i, k in wanted])
+        sketch = sketch.select(*keys, "_c.*", *[f"_s{i}_{k}" for i, k in wanted])
+
+        def narrowed(i: int, k: int) -> Column:
+            spot = F.floor(qs[k] * (F.col(f"n{i}") - 1)) - F.col(f"l{i}_{k}")
+            share = spot / F.col(f"c{i}_{k}") * 2_000
+            s = F.col(f"_s{i}_{k}")
+            margin = 1 + 3 * 2_000 / F.col(f"c{i}_{k}")  # three places, and the sketch's error
+            lo, hi = F.floor(share - margin).cast("int"), F.ceil(share + margin).cast("int")
+            new = F.struct(F.when(lo < 0, at(i, k, "lo")).otherwise(F.get(s, F.least(lo, F.lit(2_000)))).alias("lo"),
+                           F.when(hi > 2_000, at(i, k, "hi")).otherwise(F.get(s, F.greatest(hi, F.lit(0)))).alias("hi"))
+            return F.when((F.col(f"c{i}_{k}") <= limit) | s.isNull(), F.col("_b")[f"w{i}_{k}"]).otherwise(new)
+
+        brackets = materialize(sketch.select(*keys, F.struct(*[narrowed(i, k).alias(f"w{i}_{k}") for i, k in wanted]).alias("_b")), "brackets")
+    held = F.array(*[F.when(inside(i, k), F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.col(f"_v{i}").alias("x"))) for i, k in wanted])
+    values = beside(counted.select(*keys, "_b")).select(*keys, F.inline(F.filter(held, lambda s: s.isNotNull())))
+    values = values.groupBy(*keys, "i", "k").agg(F.sort_array(F.collect_list("x")).alias("_xs"))  # `limit` values at most
+    spots = counted.select(*keys, F.inline(F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(cols[i]).alias("feature"), F.lit(float(qs[k])).alias("q"), F.col(f"n{i}").alias("_n"),
+        F.col(f"l{i}_{k}").alias("_up_to"), F.col(f"c{i}_{k}").alias("_inside"), at(i, k, "lo").alias("_lo"), at(i, k, "hi").alias("_hi")) for i, k in wanted]))).where("_n > 0")
     spot = F.col("q") * (F.col("_n") - 1)
-    wanted = (
-        sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-        .withColumn("_at", F.explode(F.array_distinct(F.array(F.floor(spot), F.ceil(spot)))))
-        .where("_at >= _off and _at < _off + _size")
-    )
-    tied = wanted.where("_rng % 2 = 1").select(*keys, "q", "_n", "_at", F.col("_lo").alias("x"))
-    targets = wanted.where("_rng % 2 = 0").select(*by, "q", "_at", "_off")
-    rows = r.where("_rng % 2 = 0").join(targets.select(*by).distinct(), by, "left_semi")
-    placed = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy("x")) - 1)
-    found = placed.join(targets, by).where("_off + _rn = _at").select(*keys, "q", "_n", "_at", "x")
-    both = found.unionByName(tied)
-    frac = F.first("q") * (F.first("_n") - 1) - F.min("_at")
-    return both.groupBy(*keys, "q").agg(
-        (F.min("x") + (F.max("x") - F.min("x")) * frac).alias("value"))
+
+    def statistic(place: Column) -> Column:
+        i = place - F.col("_up_to")
+        return F.when(i < 0, F.col("_lo")).when(i >= F.col("_inside"), F.col("_hi")).otherwise(F.get("_xs", i.cast("int")))
+
+    lower, upper = statistic(F.floor(spot)), statistic(F.ceil(spot))
+    found = spots.join(values, [*keys, "i", "k"], "left")
+    return found.select(*keys, "feature", "q", (lower + (upper - lower) * (spot - F.floor(spot))).alias("value"))
+
+
+def exact_quantiles(df: DataFrame, x: str, qs: Sequence[float], keys: Sequence[str] = (), limit: int = 20_000) -> DataFrame:
+    """Linear-interpolated quantiles of one column per group: rows (*keys, q, value)."""
+    return column_quantiles(df, [x], qs, keys, limit).select(*keys, "q", "value")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalars import finite
-from panelforge.operators.ranks import average_rank, group_ranks
+from panelforge.operators.ranks import ROWS_PER_SORT, average_rank, group_ranks, largest_group
 from panelforge.schema import CONFIG_GRID, CS_MODES, CS_SUFFIX, FEATURE_COLS, MIN_CS_NAMES
 
 # Fixed thresholds of the book construction.
@@ -20,19 +20,36 @@ CONVICTION_CAP = 2.0
 
 
 def cross_sectional_normalize(panel: DataFrame, cols: Sequence[str] = FEATURE_COLS, date: str = "ts",
-                              min_names: int = MIN_CS_NAMES, mode: str = "replace", name: str = "symbol") -> DataFrame:
+                              min_names: int = MIN_CS_NAMES, mode: str = "replace", name: str = "symbol", limit: int = ROWS_PER_SORT) -> DataFrame:
     """Each column's rank across its date, in [-1, 1]; NULL on dates with too few names.
 
-    Columns are ranked in long form, so one date and column is one group and the
-    ranks of all columns come out of a single exchange.
+    Dates that one sort can hold are exchanged once, wide, and ranked by a window for each column.  If there are larger ones,
+    columns are ranked in long form, one date and column a group, which is cut as its size asks for.
     """
     if mode not in CS_MODES:
         raise ValueError(f"mode {mode!r} is not one of {CS_MODES}")
     if mode == "off":
         return panel
+    if largest_group(panel, [date]) <= limit:
+        w = Window.partitionBy(date)
+        wide_enough = F.count(F.lit(1)).over(w) >= min_names
+
+        def rank(c: str) -> Column:
+            x = F.col(c).cast("double")
+            order = w.orderBy(x.asc_nulls_last())
+            same = order.rangeBetween(Window.currentRow, Window.currentRow)
+            place = F.rank().over(order) - 1 + (F.count(F.lit(1)).over(same) + 1) / 2.0
+            return F.when(wide_enough & x.isNotNull(), 2.0 * place / F.count(x).over(w) - 1.0)
+
+        suffix = "" if mode == "replace" else CS_SUFFIX
+        ranks = {f"_r_{c}": rank(c) for c in cols}
+        raw = {c: F.when(wide_enough, F.col(c)) for c in cols} if mode == "augment" else {}
+        out = panel.withColumns(ranks).withColumns({f"_raw_{c}": x for c, x in raw.items()})
+        target = {c + suffix: F.col(f"_r_{c}") for c in cols} | {c: F.col(f"_raw_{c}") for c in raw}
+        return out.withColumns(target).drop(*ranks, *[f"_raw_{c}" for c in raw])
     entries = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in cols])
     long = panel.select(date, name, F.inline(entries)).where("_x is not null")
-    ranked = group_ranks(long, [date, "_col"], "_x", spread=[name])
+    ranked = group_ranks(long, [date, "_col"], "_x", spread=[name], limit=limit)
     ranked = ranked.withColumn("_r", 2.0 * average_rank() / F.col("n") - 1.0)
     wide = ranked.groupBy(date, name).agg(*[F.max(F.when(F.col("_col") == c, F.col("_r"))).alias(f"_r_{c}")
                                             for c in cols])

@@ -3,8 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from panelforge.operators.ranks import average_rank, exact_quantiles, group_ranks
+from panelforge.operators.ranks import _ranges, average_rank, column_quantiles, exact_quantiles, group_ranks
+from panelforge.operators.xsec import cross_sectional_normalize
 
 
 def sample(seed=0, n=3000):
@@ -46,3 +48,51 @@ def test_exact_quantiles(spark, limit):
     for r in got.itertuples():
         assert np.isclose(r.value, np.quantile(pdf.x[pdf.g == r.g], r.q)), r
     assert len(got) == 10
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 57, 300])
+def test_quantiles_at_every_place(spark, n):
+    x = np.random.default_rng(n).normal(size=n)
+    qs = [0.0, 0.1, 0.5, 0.7, 0.95, 1.0]
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "x": x, "none": [None] * n, "few": [float(i) if i < 3 else None for i in range(n)]}),
+                               "g string, x double, none double, few double")
+    for limit in (1, 20_000):
+        got = column_quantiles(df, ["x", "none", "few"], qs, ["g"], limit).toPandas()
+        assert set(got.feature) == {"x", "few"}
+        for r in got.itertuples():
+            assert np.isclose(r.value, np.quantile(x if r.feature == "x" else np.arange(min(n, 3)), r.q)), (n, limit, r)
+    assert column_quantiles(df.limit(0), ["x"], qs).count() == 0
+
+
+def test_a_value_with_most_rows_and_groups_of_many_limits(spark):
+    """90 % of one group share a value, another holds hundreds of limits: no sort exceeds its limit by much."""
+    rng = np.random.default_rng(5)
+    n = 6_000
+    x = np.where(rng.random(n) < 0.9, 7.0, rng.normal(7, 3, n))
+    pdf = pd.concat([pd.DataFrame({"g": "tied", "id": [f"s{i:06d}" for i in range(n)], "x": x}),
+                     pd.DataFrame({"g": "wide", "id": [f"s{i:06d}" for i in range(n)], "x": rng.lognormal(size=n)})])
+    df = spark.createDataFrame(pdf)
+    ranges = _ranges(df.withColumn("x", F.col("x")), ["g"], "x", (), 20)
+    sizes = ranges.groupBy("g", "_rng", "_tied").count().toPandas()
+    assert sizes[~sizes._tied]["count"].max() <= 20 and len(sizes[sizes.g == "wide"]) > 255
+    assert sizes[sizes._tied & (sizes.g == "tied")]["count"].max() > 4_000
+    got = group_ranks(df, ["g"], "x", limit=20).withColumn("r", average_rank()).toPandas().sort_values(["g", "id"])
+    want = pdf.assign(r=pdf.groupby("g")["x"].rank()).sort_values(["g", "id"])
+    np.testing.assert_allclose(got["r"], want["r"])
+    # The tied rows, in order of a text that breaks their ties, are cut by it.
+    by_name = _ranges(df, ["g"], "x", ("id",), 600).groupBy("g", "_rng").count().toPandas()
+    assert by_name["count"].max() <= 600
+    placed = group_ranks(df, ["g"], "x", tie=["id"], limit=600).toPandas().set_index(["g", "id"]).sort_index()
+    place = pdf.sort_values(["g", "x", "id"]).assign(p=lambda d: d.groupby("g").cumcount()).set_index(["g", "id"]).sort_index()
+    np.testing.assert_array_equal(placed["pos"], place["p"])
+
+
+@pytest.mark.parametrize("mode", ["replace", "augment"])
+def test_wide_and_long_cross_sections_agree(spark, mode):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"ts": rng.integers(0, 6, 300), "symbol": [f"s{i}" for i in range(300)], "a": np.round(rng.normal(size=300), 1), "b": rng.normal(size=300)})
+    pdf.loc[pdf.index % 7 == 0, "a"] = None
+    df = spark.createDataFrame(pdf)
+    one, many = (cross_sectional_normalize(df, ["a", "b"], min_names=50, mode=mode, limit=k).toPandas().set_index("symbol").sort_index() for k in (10**6, 10))
+    pd.testing.assert_frame_equal(one[sorted(one)], many[sorted(one)])
+    assert one.filter(like="a").notna().any().all() and one["b"].isna().any()
