@@ -11,6 +11,7 @@ from panelforge.catalog.base import (
 )
 from panelforge.catalog.feature_queries import SQL_FEATURES
 from panelforge.functions import scalars as sc
+from panelforge.operators.calendar import elapsed_sessions, rebalance_due_on, session_as_of, shift_sessions, trading_calendar
 from panelforge.operators import monitor, quality
 from panelforge.operators.timeaxis import forward_fill, number_rows
 from panelforge.sources import bars as src
@@ -487,6 +488,52 @@ def business_days(spark, sf):
     return o.select("o_orderkey", sc.business_days("a", "b").alias("elapsed"))
 
 
+# A calendar with fixed holidays: the first of January, the fourth of July and the twenty-fifth of December.
+SQL_CALENDAR = """cal0 AS (SELECT CAST(d AS DATE) AS day, isodow(d) < 6 AND strftime(d, '%m-%d') NOT IN ('01-01', '07-04', '12-25') AS open
+  FROM range(DATE '1990-01-01', DATE '2010-01-01', INTERVAL 1 DAY) t(d)),
+cal AS (SELECT day, open, count(*) FILTER (open) OVER (ORDER BY day) - CAST(open AS INT) AS before FROM cal0)"""
+
+
+def holiday_calendar(spark):
+    days = spark.range(1).select(F.explode(F.sequence(F.lit("1990-01-01").cast("date"), F.lit("2009-12-31").cast("date"))).alias("day"))
+    return trading_calendar(spark, "1990-01-01", "2009-12-31", days.where(F.date_format("day", "MM-dd").isin("01-01", "07-04", "12-25")))
+
+
+@query("d04_sessions", f"""WITH {SQL_CALENDAR}, o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(l AS DATE) AS b
+    FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS l FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+  s AS (SELECT before AS no, day FROM cal WHERE open)
+  SELECT o_orderkey, CAST(CASE WHEN b >= a THEN y.before - x.before ELSE -((x.before + CAST(x.open AS INT)) - (y.before + CAST(y.open AS INT))) END AS INT) AS elapsed,
+  CAST(p.day AS VARCHAR) AS in_ten, CAST(m.day AS VARCHAR) AS ten_ago, CAST(z.day AS VARCHAR) AS as_of
+  FROM o JOIN cal x ON x.day = a JOIN cal y ON y.day = b LEFT JOIN s p ON p.no = x.before + CAST(x.open AS INT) + 9 LEFT JOIN s m ON m.no = x.before - 10
+  LEFT JOIN s z ON z.no = x.before + CAST(x.open AS INT) - 1""")
+def sessions(spark, sf):
+    """Sessions from order to last shipment, ten sessions on and back, and the session as of the order."""
+    cal = holiday_calendar(spark)
+    ship = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_date(F.max("l_shipdate")).alias("b"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("a")).join(ship, "o_orderkey")
+    d = session_as_of(shift_sessions(shift_sessions(elapsed_sessions(o, cal, "a", "b"), cal, "a", 10, "in_ten"), cal, "a", -10, "ten_ago"), cal, "a", "as_of")
+    return d.select("o_orderkey", "elapsed", *[F.col(c).cast("string").alias(c) for c in ("in_ten", "ten_ago", "as_of")])
+
+
+@query("b08_session_rebalance", f"""WITH {SQL_CALENDAR}, o AS (SELECT o_custkey, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY 1)
+  SELECT o_custkey, y.before - x.before >= 500 AS due FROM o JOIN cal x ON x.day = a JOIN cal y ON y.day = b""")
+def session_rebalance(spark, sf):
+    """Whether 500 sessions lie between a customer's first and last order."""
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.to_date(F.min("o_orderdate")).cast("string").alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
+    return rebalance_due_on(o, holiday_calendar(spark), "a", "b", 500).select("o_custkey", "due")
+
+
+@query("i10_session_cache", f"""WITH {SQL_BARS0}, {SQL_CALENDAR}, s AS (SELECT before AS no, day FROM cal WHERE open),
+  lim AS (SELECT (SELECT s.day FROM cal JOIN s ON s.no = before - 5 WHERE cal.day = DATE '2001-07-08') AS oldest,
+    (SELECT s.day FROM cal JOIN s ON s.no = before + CAST(open AS INT) + 4 WHERE cal.day = DATE '1995-01-01') AS latest)
+  SELECT symbol, count(*) AS n_rows, max(ts) >= any_value(oldest) AS fresh, min(ts) <= any_value(latest) AS covers,
+  count(*) >= 50 AND max(ts) >= any_value(oldest) AND min(ts) <= any_value(latest) AS serve FROM bars0, lim GROUP BY symbol""")
+def session_cache(spark, sf):
+    """Freshness and coverage in sessions: the fourth of July moves the one, New Year's Day the other."""
+    r = quality.cache_report(raw_bars(spark, sf), "1995-01-01", "2001-07-08", stale=5, coverage=5, calendar=holiday_calendar(spark))
+    return r.select("symbol", "n_rows", "fresh", "covers", "serve")
+
+
 @query("c01_csv_list", "SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda x: upper(trim(x)))[1] AS first_word, CAST(len(string_split(p_name, ' ')) AS INT) AS n FROM part")
 def csv_list(spark, sf):
     w = sc.csv_list(F.replace(F.col("p_name"), F.lit(" "), F.lit(" , ")))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.calendar import Calendar, shifted_day
 from panelforge.functions.scalars import add_business_days, finite, us_session
 from panelforge.operators.timeaxis import FIRST, forward_fill
 from panelforge.schema import BAR_VALUE_COLS, FEATURE_COLS, HORIZON, PRICE_COLS, require_columns
@@ -115,13 +116,20 @@ def gap_report(bars: DataFrame, max_gap: int = MAX_GAP_DAYS) -> DataFrame:
 
 
 def cache_report(bars: DataFrame, start: str, end: str, stale: int = STALE_TOLERANCE,
-                 coverage: int = COVERAGE_TOLERANCE, min_rows: int = MIN_CACHED_ROWS) -> DataFrame:
-    """Per symbol: rows held, freshness against `end`, coverage of `start`, and whether it can be served."""
+                 coverage: int = COVERAGE_TOLERANCE, min_rows: int = MIN_CACHED_ROWS, calendar: Calendar | None = None) -> DataFrame:
+    """Per symbol: rows held, freshness against `end`, coverage of `start`, and whether it can be served.
+
+    Tolerances are weekdays, or sessions of a calendar.
+    """
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+    if calendar is None:
+        oldest, latest = add_business_days(hi, -stale), add_business_days(lo, coverage)
+    else:
+        oldest, latest = (F.lit(shifted_day(calendar, d, n)) for d, n in ((end, -stale), (start, coverage)))
     r = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ts").alias("first_ts"),
                                    F.max("ts").alias("last_ts"))
-    fresh = F.to_date("last_ts") >= add_business_days(hi, -stale)
-    covers = F.to_date("first_ts") <= add_business_days(lo, coverage)
+    fresh = F.to_date("last_ts") >= oldest
+    covers = F.to_date("first_ts") <= latest
     return r.withColumns({"fresh": fresh, "covers": covers}).withColumn(
         "serve", F.col("fresh") & F.col("covers") & (F.col("n_rows") >= min_rows))
 
