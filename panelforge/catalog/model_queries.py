@@ -299,6 +299,19 @@ def forest(spark, sf):
     return metrics.classifier_metrics(scored.withColumn("p", sc.argmax("proba")), "label", "p")
 
 
+@query("l10_boosted_classes", f"""WITH {SQL_FEATURES}, d0 AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM feats)),
+  r AS (SELECT ts FROM d0 WHERE i >= floor(n * 0.8::DOUBLE) + 3)
+  SELECT CASE WHEN fwd_ret_1d > 0.01 THEN 2 WHEN fwd_ret_1d < -0.01 THEN 0 ELSE 1 END AS label, count(*) AS n, CAST(0 AS BIGINT) AS n_out_of_bounds
+  FROM feats JOIN r USING (ts) WHERE fwd_ret_1d IS NOT NULL GROUP BY 1""")
+def boosted_classes(spark, sf):
+    """Three-class scores of the test rows: how many there are of each class, and that each row's are bounded and sum to 1."""
+    s = _split(spark, sf).drop("label").withColumn("label", F.when(F.col(LABEL) > 0.01, 2).when(F.col(LABEL) < -0.01, 0).otherwise(1))
+    m = models.fit_boosted_classes(s.where("role = 'train'"), FEATURE_COLS, "label", "sqrt")
+    p = m.score(s.where("role = 'test'"))
+    bad = F.exists("proba", lambda x: x.isNull() | (x < 0) | (x > 1)) | (F.abs(F.aggregate("proba", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-9) | (F.size("proba") != 3)
+    return p.groupBy("label").agg(F.count("*").alias("n"), F.count_if(bad).alias("n_out_of_bounds"))
+
+
 @query("l11_multinomial_logistic")
 def logistic(spark, sf):
     s = _split(spark, sf)

@@ -7,9 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from panelforge.operators.signals import threshold_signal
 from panelforge.operators.splits import FoldConfig
 from panelforge.operators.timeaxis import number_rows
 from panelforge.schema import FALLBACK_QUANTILE, FALLBACK_WINDOW, SWEEP_QUANTILES, SWEEP_WINDOWS
+from panelforge.session import materialize
 
 CLIP = 5.0
 ENET_L1_RATIOS = [0.1, 0.5, 0.9]
@@ -243,6 +244,53 @@ def fit_forest(train: DataFrame, cols: Sequence[str], label: str, weighting: str
     return _fitted(class_weights(train, label, weighting), cols, lambda d: est.fit(d.select("_x", label, "weight")))
 
 
+@dataclass
+class OneAgainstRest:
+    """A boosted binary model for each class; a class's score is its model's probability over the sum of all."""
+
+    models: list[object]
+    scaled: ScaledModel
+
+    def score(self, df: DataFrame, out: str = "proba") -> DataFrame:
+        """Add `out`: scores by class, which sum to 1.  Classes that training never saw score 0."""
+        d = self.scaled.vectors(df)
+        raw = []
+        for k, m in enumerate(self.models):
+            if m is None:
+                raw.append(F.lit(0.0))
+                continue
+            own = {"rawPredictionCol": f"_raw{k}", "probabilityCol": f"_p{k}", "predictionCol": f"_y{k}"}
+            d = m.transform(d, {m.getParam(name): c for name, c in own.items()}).withColumn(f"_p{k}", vector_to_array(f"_p{k}")[1]).drop(f"_raw{k}", f"_y{k}")
+            raw.append(F.col(f"_p{k}"))
+        total = raw[0]
+        for x in raw[1:]:
+            total = total + x
+        proba = F.array(*[F.when(total > 0, x / total).otherwise(1.0 / len(raw)) for x in raw])
+        return d.withColumn(out, proba).drop("_x", *[f"_p{k}" for k in range(len(raw))])
+
+
+def fit_boosted_classes(train: DataFrame, cols: Sequence[str], label: str, weighting: str = "none", classes: int = 3, rounds: int = 200,
+                        depth: int = 4, rate: float = 0.03) -> OneAgainstRest:
+    """Boosted trees for several classes, each against the rest, on the scaled features and with the class weights of all classes.
+
+    Rows with a NULL label take no part.  The scaled rows are written once for all fits.
+    """
+    base = ScaledModel(None, list(cols), scale_params(robust_fit(train.where(F.col(label).isNotNull()), list(cols))))
+    weighted = class_weights(train.where(F.col(label).isNotNull()), label, weighting)
+    data = base.vectors(weighted).select(F.col(label).cast("int").alias("_label"), "weight", vector_to_array("_x").alias("_a"))
+    data = materialize(data, "class_rows")
+    seen = {r["_label"] for r in data.select("_label").distinct().limit(classes + 1).collect()}
+
+    def one(k: int):
+        if k not in seen:
+            return None
+        est = GBTClassifier(featuresCol="_x", labelCol="_is", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate,
+                            subsamplingRate=0.85, featureSubsetStrategy="0.85", minInstancesPerNode=2, seed=42)
+        return est.fit(data.select(array_to_vector("_a").alias("_x"), "weight", (F.col("_label") == k).cast("double").alias("_is")))
+
+    return OneAgainstRest([one(k) for k in range(classes)], base)
+
+
 def score_regressor(model: ScaledModel, df: DataFrame, out: str = "pred") -> DataFrame:
     return model.transform(df).withColumnRenamed("prediction", out).drop("_x")
 

@@ -131,3 +131,24 @@ def test_boosted_query_has_all_rounds(spark, monkeypatch):
     with pytest.raises(Stop):
         model_queries.boosted(spark, "/root/testdata/sf0.001")
     assert seen["maxIter"] == 300
+
+
+def test_boosted_classes(spark):
+    rng = np.random.default_rng(2)
+    n = 600
+    x = rng.normal(size=(n, 3))
+    label = np.where(x[:, 0] > 0.5, 2, np.where(x[:, 1] > 0, 0, 1))
+    rows = [(i, *map(float, v), int(k)) for i, (v, k) in enumerate(zip(x, label))] + [(9000, 9.0, 9.0, 9.0, None), (9001, None, 1.0, None, 0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, label int")
+    model = models.fit_boosted_classes(df.where("id < 400 or id >= 9000"), ["a", "b", "c"], "label", "sqrt", rounds=15, rate=0.3)
+    got = {r.id: (r.proba, r.label) for r in model.score(df).collect()}
+    assert len(got) == len(rows) and all(abs(sum(p) - 1) < 1e-9 and min(p) >= 0 for p, _ in got.values())
+    held = [int(np.argmax(p)) == k for i, (p, k) in got.items() if 400 <= i < 9000]
+    assert np.mean(held) > 0.9
+    # Scores are the binary models' probabilities over their sum.
+    vec = model.scaled.vectors(df.where("id = 1"))
+    raw = [m.transform(vec).first().probability[1] for m in model.models]
+    np.testing.assert_allclose(got[1][0], np.array(raw) / sum(raw))
+    # A class that training never saw scores 0.
+    two = models.fit_boosted_classes(df.where("label <> 1"), ["a", "b", "c"], "label", rounds=3)
+    assert two.models[1] is None and all(r.proba[1] == 0 and abs(sum(r.proba) - 1) < 1e-9 for r in two.score(df).collect())
