@@ -14,9 +14,9 @@ from panelforge.operators import features as feats
 from panelforge.operators import metrics, monitor, xsec
 from panelforge.operators.scans import realized_pnl
 from panelforge.operators.timeaxis import number_rows
-from panelforge.schema import CONFIG_GRID, CS_SUFFIX
+from panelforge.schema import CONFIG_GRID, CS_SUFFIX, FEATURE_COLS
 
-_CS = ["ret_1d", "rsi_14", "macd"]
+_CS = FEATURE_COLS
 
 SQL_SECTORS = """sectors AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol, n_name AS sector FROM supplier
   JOIN nation ON s_nationkey = n_nationkey)"""
@@ -394,6 +394,21 @@ def triple_barrier(spark, sf):
     return out(bk.barrier_exits(p, 5, F.lit(0.2), F.lit(0.3)), ["symbol", "ts", "exit_reason", "exit_bars"], ["exit_gain"])
 
 
+@query("b14_long_exits", f"""WITH {SQL_PANEL}, e AS (SELECT symbol, bar_no, ts, close, CASE WHEN pred > 0 THEN 1 ELSE -1 END AS side FROM panel1 WHERE abs(pred) > 0.8),
+  m AS (SELECT e.*, f.bar_no - e.bar_no AS n, (f.close - e.close) / e.close * e.side AS g FROM e JOIN panel1 f ON f.symbol = e.symbol
+    AND f.bar_no > e.bar_no AND f.bar_no <= e.bar_no + 250),
+  h AS (SELECT symbol, ts, min(n) FILTER (g > 1.5 OR g < -0.9) AS hit, count(*) AS have FROM m GROUP BY ALL),
+  x AS (SELECT e.symbol, e.ts, coalesce(h.hit, CASE WHEN h.have = 250 THEN 250 END) AS n, h.hit FROM e LEFT JOIN h USING (symbol, ts))
+  SELECT x.symbol, x.ts, CASE WHEN x.hit IS NOT NULL THEN CASE WHEN m.g > 1.5 THEN 'take_profit' ELSE 'stop_loss' END
+    WHEN x.n IS NOT NULL THEN 'max_holding' END AS exit_reason, CAST(x.n AS INT) AS exit_bars, {r_sql('m.g', 'exit_gain')}
+  FROM x LEFT JOIN m ON m.symbol = x.symbol AND m.ts = x.ts AND m.n = x.n""")
+def long_exits(spark, sf):
+    """Exits of strong forecasts within 250 bars, by a join of bar buckets."""
+    p = panel(spark, sf).select("symbol", "bar_no", "ts", "close", "pred")
+    e = p.where(F.abs("pred") > 0.8).withColumn("side", F.when(F.col("pred") > 0, 1).otherwise(-1))
+    return out(bk.entry_exits(e, p, 250, F.lit(0.9), F.lit(1.5)), ["symbol", "ts", "exit_reason", "exit_bars"], ["exit_gain"])
+
+
 @query("b15_position_size", f"""WITH {SQL_PANEL} SELECT symbol, ts, CAST(trunc(greatest(least(pred * 5, 1), -1)
   * least(CAST(trunc(1000000 * 0.05::DOUBLE / close) AS BIGINT), 40)) AS BIGINT) AS shares FROM panel1""")
 def position_size(spark, sf):

@@ -291,3 +291,39 @@ def barrier_exits(df: DataFrame, horizon: int, stop: str | Column, target: str |
     bars = F.when(F.col("_at") > 0, F.col("_at")).when(full, horizon)
     return d.withColumns({"exit_reason": reason, "exit_bars": bars, "exit_gain": F.when(reason.isNotNull(), gain)}
                          ).drop("_path", "_gain", "_at", "_up", "_dn")
+
+
+def bars_ahead(entries: DataFrame, bars: DataFrame, horizon: int, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Each entry with each of the `horizon` bars after it, as `ahead` (1 to horizon) and `close_ahead`.
+
+    A range join by equal keys: bars lie in buckets as wide as the horizon, an entry looks into two of them at most.  The plan
+    doesn't grow with the horizon, and a symbol's rows are dealt by its buckets.  Requires bar_no on both sides.
+    """
+    at = F.col("bar_no")
+    own = [F.col(k) for k in keys]
+    looks = entries.withColumn("_b", F.explode(F.sequence(F.floor((at + 1) / horizon), F.floor((at + horizon) / horizon))))
+    later = bars.select(*own, F.col("bar_no").alias("_n"), F.col("close").alias("close_ahead"), F.floor(at / horizon).alias("_b"))
+    pairs = looks.join(later, [*keys, "_b"]).withColumn("ahead", (F.col("_n") - at).cast("int"))
+    return pairs.where(F.col("ahead").between(1, horizon)).drop("_b", "_n")
+
+
+def entry_exits(entries: DataFrame, bars: DataFrame, horizon: int, stop: str | Column, target: str | Column,
+                keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Triple-barrier exits of given entries, for horizons too long to carry a row's whole path.
+
+    entries: keys, bar_no (one row each), close, side, and any other columns, which stay; the rules are those of `barrier_exits`.
+    """
+    gain = (F.col("close_ahead") - F.col("close")) / F.col("close") * F.col("side")
+    up, dn = (F.col(x) if isinstance(x, str) else x for x in (target, stop))
+    pairs = bars_ahead(entries.withColumns({"_up": up, "_dn": dn}), bars, horizon, keys).withColumn("_gain", gain)
+    hit = (F.col("_gain") > F.col("_up")) | (F.col("_gain") < -F.col("_dn"))
+    here = F.struct("ahead", "_gain", (F.col("_gain") > F.col("_up")).alias("up"))
+    found = pairs.groupBy(*keys, "bar_no").agg(F.min(F.when(hit, here)).alias("_hit"), F.count(F.lit(1)).alias("_have"),
+                                               F.max(F.when(F.col("ahead") == horizon, F.col("_gain"))).alias("_end"))
+    d = entries.join(found, [*keys, "bar_no"], "left")
+    full = F.col("_have") == horizon
+    was_hit = F.col("_hit").isNotNull()
+    return d.withColumns({
+        "exit_reason": F.when(was_hit, F.when(F.col("_hit.up"), "take_profit").otherwise("stop_loss")).when(full, "max_holding"),
+        "exit_bars": F.when(was_hit, F.col("_hit.ahead")).when(full, horizon),
+        "exit_gain": F.when(was_hit, F.col("_hit._gain")).when(full, F.col("_end"))}).drop("_hit", "_have", "_end")

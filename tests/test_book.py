@@ -136,3 +136,28 @@ def test_business_day_arithmetic(spark):
     for n in (-6, -4, -1, 1, 5, 7):
         for r in df.select("a", sc.add_business_days("a", n).alias("s")).distinct().collect():
             assert r.s == (pd.Timestamp(r.a) + pd.tseries.offsets.BDay(n)).date(), (r, n)
+
+
+@pytest.mark.parametrize("horizon", [5, 250])
+def test_entry_exits_follow_the_bars(spark, horizon):
+    rng = np.random.default_rng(horizon)
+    rows = [(s, i, 100.0 * float(np.exp(x))) for s, n in (("hot", 900), ("b", 40), ("c", 1)) for i, x in enumerate(np.cumsum(rng.normal(0, 0.02, n)))]
+    bars = spark.createDataFrame(rows, "symbol string, bar_no long, close double")
+    entries = bars.where("bar_no % 7 = 0").withColumn("side", F.when(F.col("bar_no") % 2 == 0, 1).otherwise(-1))
+    by = {}
+    for s, i, c in rows:
+        by.setdefault(s, []).append(c)
+    got = book.entry_exits(entries, bars, horizon, F.lit(0.15), F.lit(0.2)).collect()
+    assert len(got) == entries.count()
+    for r in got:
+        path = [(c - r.close) / r.close * r.side for c in by[r.symbol][r.bar_no + 1:r.bar_no + 1 + horizon]]
+        first = next((k for k, g in enumerate(path) if g > 0.2 or g < -0.15), None)
+        want = (("take_profit" if path[first] > 0.2 else "stop_loss", first + 1, path[first]) if first is not None
+                else ("max_holding", horizon, path[-1]) if len(path) == horizon else (None, None, None))
+        assert (r.exit_reason, r.exit_bars) == want[:2] and (want[2] is None or abs(r.exit_gain - want[2]) < 1e-12)
+
+
+def test_the_plan_of_exits_does_not_grow_with_the_horizon(spark):
+    bars = spark.range(100).selectExpr("'a' AS symbol", "id AS bar_no", "id + 1.0D AS close", "1 AS side")
+    size = lambda h: len(book.entry_exits(bars, bars, h, F.lit(0.1), F.lit(0.1))._jdf.queryExecution().executedPlan().toString().splitlines())
+    assert size(5) == size(250)
