@@ -303,6 +303,23 @@ def daily_documents(spark, sf):
     return out(rows, ["date", "symbol", "n_models"], ["conf"])
 
 
+@query("s18_portfolio_documents", f"""WITH {SQL_PREDS}, b AS (SELECT prediction_date AS date, symbol, sum(CASE signal WHEN 'BUY' THEN confidence WHEN 'SELL' THEN -confidence ELSE 0 END) AS w
+    FROM preds GROUP BY 1, 2), g AS (SELECT date, count(*) FILTER (w > 0) AS n_long, count(*) FILTER (w < 0) AS n_short, sum(abs(w)) AS gross, sum(w) AS net FROM b GROUP BY 1)
+  SELECT CAST(date AS VARCHAR) AS date, symbol, date = '2024-01-08' AS rebalanced, n_long, n_short, {r_sql('w', 'weight')}, {r_sql('gross')}, {r_sql('net')} FROM b JOIN g USING (date)""")
+def portfolio_documents(spark, sf):
+    """The portfolio of every document, read back: the symbol's weight and its date's diagnostics."""
+    p = prediction_log(spark, sf)
+    last = quality.keep_one(p.select("date", "symbol", "model", "signal", "confidence", "price", "event_id"), ["date", "symbol", "model"], "event_id")
+    w = F.when(F.col("signal") == "BUY", F.col("confidence")).when(F.col("signal") == "SELL", -F.col("confidence")).otherwise(0.0)
+    day = F.lit("2024-01-08").cast("date")
+    books = last.groupBy("date", "symbol").agg(F.sum(w).alias("weight")).withColumns({"as_of": F.least("date", day), "rebalanced": F.col("date") == day})
+    docs = logs.daily_documents(last, books)
+    kind = "date string, symbol string, portfolio struct<as_of: string, rebalanced: boolean, weight: double, diagnostics: struct<n_long: long, n_short: long, gross_exposure: double, net_exposure: double>>"
+    r = docs.select(F.from_json("document", kind).alias("r")).select("r.date", "r.symbol", "r.portfolio.rebalanced", "r.portfolio.weight", "r.portfolio.diagnostics.*")
+    r = r.withColumnsRenamed({"gross_exposure": "gross", "net_exposure": "net"})
+    return out(r, ["date", "symbol", "rebalanced", "n_long", "n_short"], ["weight", "gross", "net"])
+
+
 @query("s19_sector_dimension", "SELECT CAST(s_suppkey AS VARCHAR) AS symbol, n_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def sector_dimension(spark, sf):
     """Sector map of lists flattened; a symbol listed twice would be rejected."""

@@ -317,6 +317,23 @@ def live_book(spark, sf):
     return out(live, ["symbol", "rebalanced"], ["weight"])
 
 
+@query("b10_live_book_hold", f"""WITH {SQL_PANEL}, d AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () - 1 AS m FROM (SELECT DISTINCT ts FROM panel1)),
+  o AS (SELECT p.* FROM panel1 p JOIN d USING (ts) WHERE i = m - 10), now AS (SELECT p.symbol, p.close AS c1 FROM panel1 p JOIN d USING (ts) WHERE i = m),
+  {weights_sql(0.2, source='o')} SELECT symbol, {r_sql('CASE WHEN c1 <> 0 AND w.close <> 0 THEN w * (c1 / w.close) ELSE w END', 'weight')}, false AS rebalanced
+  FROM w LEFT JOIN now USING (symbol)""")
+def live_book_hold(spark, sf):
+    """The same book while no rebalance is due: the one from ten bars before, carried by the prices since."""
+    p = panel(spark, sf)
+    dates = bk.date_index(p)
+    tail = dates.join(F.broadcast(dates.agg(F.max("i").alias("m")))).where("i = m or i = m - 10")  # one-row bound
+    rows = p.join(tail, "ts")
+    old = bk.build_book(rows.where("i < m").selectExpr("ts AS as_of", "symbol", "pred AS score", "beta", "close AS price"), xsec.BookConfig(0.2))
+    now = rows.where("i = m").selectExpr("symbol", "pred AS score", "beta", "close AS price", "ts")
+    today = table(spark, sf, "lineitem").agg(F.max("l_shipdate")).first()[0].date().isoformat()
+    live = bk.live_book(old, now, sectors(spark, sf), xsec.BookConfig(0.2, 60), today, sectors(spark, sf))
+    return out(live, ["symbol", "rebalanced"], ["weight"])
+
+
 @query("b11_leg_listing", f"""WITH {SQL_PANEL}, {weights_sql(0.2, conviction=True)} SELECT ts AS as_of, symbol,
   CASE WHEN w > 0 THEN 'LONG' ELSE 'SHORT' END AS leg,
   CAST(row_number() OVER (PARTITION BY ts, w > 0 ORDER BY round(abs(w), 9) DESC, symbol) AS INT) AS place FROM w""")

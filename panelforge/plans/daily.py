@@ -33,7 +33,7 @@ def run_daily(scored: DataFrame, bars: DataFrame, log: DataFrame, last_book: Dat
     scores = live.join(beta, "symbol").select("symbol", F.col("predicted_return").alias("score"), "beta", "price")
     held = book.live_book(last_book, scores, universe, config, today, sectors)
     drift = monitor.signal_drift(monitor.collapse_restatements(log), monitor.today_mean_scores(live), today)
-    weights = held.select(F.lit(today).cast("date").alias("date"), "symbol", "weight")
+    weights = held.select(F.lit(today).cast("date").alias("date"), "as_of", "symbol", "weight", "beta", "rebalanced")
     return DailyOutput(
         quality.stale_models(registry, today, max_age_days), monitor.realized_ic(log, bars, today), live, held, drift,
         logs.unrecorded(live, log), logs.daily_documents(live, weights))

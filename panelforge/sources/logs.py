@@ -57,17 +57,30 @@ def append_book(book: DataFrame, path: str) -> None:
     book.select(*schema.BOOK_LOG.fieldNames()).write.mode("append").json(path)
 
 
+def book_summary(books: DataFrame) -> DataFrame:
+    """One row per date: when the book was ranked, whether that was today, and what it holds."""
+    w = F.col("weight")
+    return books.groupBy("date").agg(F.max("as_of").cast("string").alias("as_of"), F.max("rebalanced").alias("rebalanced"), F.struct(
+        F.count_if(w > 0).alias("n_long"), F.count_if(w < 0).alias("n_short"), F.sum(F.abs(w)).alias("gross_exposure"), F.sum(w).alias("net_exposure"),
+        F.when(F.count("beta") == F.count(F.lit(1)), F.sum(w * F.col("beta"))).alias("ex_ante_beta")).alias("diagnostics"))
+
+
 def daily_documents(predictions: DataFrame, books: DataFrame) -> DataFrame:
-    """One JSON document per symbol and date carrying its model predictions and its book weight.
+    """One JSON document per symbol and date: its model predictions, its weight, and the portfolio of the date.
 
-    predictions: date, symbol, model, signal, confidence, price; books: date, symbol, weight.
-    Documents are per symbol, so no single row holds the whole universe.
+    predictions: date, symbol, model, signal, confidence, price; books: date, symbol, weight[, as_of, rebalanced, beta].
+    Documents are per symbol, so no single row holds the whole universe; what they say of the portfolio is its date's
+    summary, and NULL on dates without a book.
     """
+    for c, kind in (("as_of", "date"), ("rebalanced", "boolean"), ("beta", "double")):
+        if c not in books.columns:
+            books = books.withColumn(c, F.lit(None).cast(kind))
     by_model = F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", F.struct("signal", "confidence")))))
     per_symbol = predictions.groupBy("date", "symbol").agg(F.max("price").alias("price"), by_model.alias("predictions"))
-    j = per_symbol.join(books.select("date", "symbol", "weight"), ["date", "symbol"], "left")
+    j = per_symbol.join(books.select("date", "symbol", "weight"), ["date", "symbol"], "left").join(book_summary(books), "date", "left")
+    portfolio = F.when(F.col("diagnostics").isNotNull(), F.struct("as_of", "rebalanced", "weight", "diagnostics"))
     return j.select("date", "symbol", F.to_json(F.struct(
-        F.col("date").cast("string").alias("date"), "symbol", "price", "predictions", "weight")).alias("document"))
+        F.col("date").cast("string").alias("date"), "symbol", "price", "predictions", "weight", portfolio.alias("portfolio"))).alias("document"))
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet") -> None:
