@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -288,7 +290,9 @@ def fit_boosted_classes(train: DataFrame, cols: Sequence[str], label: str, weigh
                             subsamplingRate=0.85, featureSubsetStrategy="0.85", minInstancesPerNode=2, seed=42)
         return est.fit(data.select(array_to_vector("_a").alias("_x"), "weight", (F.col("_label") == k).cast("double").alias("_is")))
 
-    return OneAgainstRest([one(k) for k in range(classes)], base)
+    # The fits are independent, and most of a round is waiting for its small jobs.
+    with ThreadPool(classes) as pool:
+        return OneAgainstRest(pool.map(inheritable_thread_target(train.sparkSession)(one), range(classes)), base)
 
 
 def score_regressor(model: ScaledModel, df: DataFrame, out: str = "pred") -> DataFrame:
