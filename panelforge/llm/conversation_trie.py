@@ -339,8 +339,8 @@ def conversation_trie(conversations: DataFrame, block: int = BLOCK, run_paths: i
 OP12_SQL = """WITH c AS (SELECT conv_id, list((coalesce(role, ''), coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 h AS (SELECT conv_id, t, conv_id - conv_id % 100 AS base, CAST(xor(list_reduce(list_concat([4294967295::UBIGINT],
-  flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), ch -> [CAST(ascii(ch) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0]))),
-  (a, b) -> xor(xor(a, b) >> 1, (xor(a, b) & 1::UBIGINT) * 3988292384::UBIGINT)), 4294967295::UBIGINT) % 6 AS BIGINT) AS h FROM c),
+  flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [CAST(ascii(ch) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1::UBIGINT) * 3988292384::UBIGINT)), 4294967295::UBIGINT) % 6 AS BIGINT) AS h FROM c),
 r AS (SELECT h.conv_id, list_concat(coalesce(b.t, [])[1:h.h], h.t[h.h + 1:]) AS t FROM h LEFT JOIN c b ON b.conv_id = h.base),
 p AS (SELECT conv_id, d, t[1:d] AS prefix, len(t) = d AS ends FROM r, range(0, len(t) + 1) g(d)),
 g AS (SELECT d, prefix, min(conv_id) AS m, count(*) AS n, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ends
