@@ -299,7 +299,7 @@ def forest(spark, sf):
     return metrics.classifier_metrics(scored.withColumn("p", sc.argmax("proba")), "label", "p")
 
 
-@query("l10_boosted_classes", f"""WITH {SQL_FEATURES}, d0 AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM feats)),
+@query("l10_boosted_classes", f"""WITH {SQL_FEATURES}, d0 AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM feats WHERE fwd_ret_1d IS NOT NULL)),
   r AS (SELECT ts FROM d0 WHERE i >= floor(n * 0.8::DOUBLE) + 3)
   SELECT CASE WHEN fwd_ret_1d > 0.01 THEN 2 WHEN fwd_ret_1d < -0.01 THEN 0 ELSE 1 END AS label, count(*) AS n, CAST(0 AS BIGINT) AS n_out_of_bounds
   FROM feats JOIN r USING (ts) WHERE fwd_ret_1d IS NOT NULL GROUP BY 1""")
