@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,8 +14,10 @@ from pyspark.sql import DataFrame
 
 from panelforge.llm.registry import query, table
 
+# A tag whose quotes don't close ends at its first ">".
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)", re.S)
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+(?=>|$)|[^>]*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][^\s=/>\"']*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # Elements whose content is no markup, those that have no content, and those that stand in a line of text.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template"}
@@ -37,35 +40,37 @@ ASIDE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advert
                "footer", "header", "masthead", "topbar", "breadcrumb", "breadcrumbs", "share", "sharing", "social", "related",
                "recommended", "newsletter", "subscribe", "subscription", "signup", "popup", "modal", "overlay", "widget", "toolbar", "pagination",
                "pager", "login", "search", "skip", "copyright", "disclaimer"}
-# Marks of a page's layout, which may also stand on what holds the whole page, and words before a mark that make it none.
+# Marks of a page's layout, which may also stand on what holds the whole page, words that may as well name its topic, marks that hide
+# a part of a line of text, and words before a mark that make it none.
 LAYOUT_WORDS = {"sidebar", "nav", "navbar", "navigation", "menu", "topnav", "footer", "header", "masthead", "topbar", "banner", "toolbar",
                 "overlay", "modal", "search", "login", "widget"}
+TOPIC_WORDS = LAYOUT_WORDS | {"advertising", "alert", "copyright", "promotion", "recommended", "related", "share", "sharing", "social",
+                              "sponsor", "subscription", "reply", "respond", "notice", "notices", "skip"}
+LINE_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "promo", "sponsor", "sponsored"}
 NO_MARK = {"no", "has", "with", "without"}
+CONTAINERS = ("section", "div", "td", "body", "blockquote")
 _CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
+# Grades of a mark: an aside whatever it holds; one that may turn out to hold the page; one that may turn out to be its topic.
+ASIDE, WRAPPER, TOPIC = 1, 2, 3
+
+
 @dataclass
 class Element:
-    tag: str
-    label: str
-    mark: bool
-    wrapper: bool
-    parent: Element | None
-    path: str
-    chars: float = 0.0
+    """Elements are numbered in page order, so that a parent comes before what it holds; equal paths have equal numbers."""
 
-    @property
-    def aside(self) -> bool:
-        e = self
-        while e is not None and not e.mark:
-            e = e.parent
-        return e is not None
+    tag: str
+    mark: int
+    parent: int
+    path: int
+    in_article: bool
 
 
 @dataclass
 class Block:
-    element: Element
+    element: int
     text: str
     linked: int
 
@@ -91,43 +96,76 @@ def _mark_words(attributes: dict[str, str]) -> set[str]:
     return found
 
 
-def _is_wrapper(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether an aside may turn out to hold the page: a form, or an element marked by words of layout only."""
+def _mark(tag: str, attributes: dict[str, str], within_article: bool) -> int:
+    """Grade of an element's mark, 0 without one."""
+    if not _is_aside(tag, attributes, within_article):
+        return 0
     by_role = attributes.get("role", "").lower() in ASIDE_ROLES - {"form"} or "hidden" in attributes
-    return not by_role and (tag == "form" or tag not in ASIDE_TAGS | {"header"}) and _mark_words(attributes) <= LAYOUT_WORDS
+    if by_role or tag != "form" and tag in ASIDE_TAGS | {"header"}:
+        return ASIDE
+    words = _mark_words(attributes)
+    return WRAPPER if words <= LAYOUT_WORDS else TOPIC if words <= TOPIC_WORDS else ASIDE
 
 
-def _release(blocks: list[Block], holders: set[int]) -> None:
-    """Forms and layout elements that hold an article, or three quarters of the text outside other asides, are no asides."""
-    total, inside, seen = 0, {}, {}
-    for b in blocks:
-        chain, e = [], b.element
-        while e is not None:
-            chain.append(e)
-            e = e.parent
-        marked = [e for e in chain if e.mark]
-        if any(not e.wrapper for e in marked):
-            continue
-        size = max(0, len(b.text) - b.linked)
-        total += size
-        for e in marked:
-            seen[id(e)] = e
-            inside[id(e)] = inside.get(id(e), 0) + size
-    for i, e in seen.items():
-        if i in holders or inside[i] >= 0.75 * total > 0:
-            e.mark = False
+def _summed(elements: list[Element], own: list[float]) -> list[float]:
+    """Sums over everything that an element holds."""
+    total = list(own)
+    for i in range(len(elements) - 1, 0, -1):
+        total[elements[i].parent] += total[i]
+    return total
+
+
+def _inherited(elements: list[Element], own: list[bool]) -> list[bool]:
+    """Whether an element or one that holds it is marked so."""
+    found = list(own)
+    for i in range(1, len(elements)):
+        found[i] = found[i] or found[elements[i].parent]
+    return found
 
 
-def parse(page: str) -> list[Block]:
-    """Blocks of text in page order, each with the element that holds it.
+def _asides(elements: list[Element], blocks: list[Block]) -> list[bool]:
+    """Which elements stand in an aside.
+
+    Forms and layout elements that hold an article, or three quarters of the text outside other asides, are none; neither
+    are elements marked by a word that may name the page's topic, if they hold three quarters of the text.
+    """
+    marks = [e.mark for e in elements]
+    holds = _summed(elements, [float(e.tag in ("article", "main")) for e in elements])
+    for grade in (TOPIC, WRAPPER):
+        other = _inherited(elements, [m not in (0, WRAPPER, grade) for m in marks])
+        sizes = [0.0] * len(elements)
+        for b in blocks:
+            if not other[b.element]:
+                sizes[b.element] += max(0, len(b.text) - b.linked)
+        inside = _summed(elements, sizes)
+        for i, m in enumerate(marks):
+            if m == grade and (grade == WRAPPER and holds[i] or inside[i] >= 0.75 * inside[0] > 0):
+                marks[i] = 0
+    return _inherited(elements, [m > 0 for m in marks])
+
+
+def _attributes(source: str) -> dict[str, str]:
+    return {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(source)} if source.strip() else {}
+
+
+def _hides(attributes: dict[str, str]) -> bool:
+    """Whether an inline element is hidden or an advert."""
+    return "hidden" in attributes or bool(_mark_words(attributes) & LINE_WORDS)
+
+
+def parse(page: str) -> tuple[list[Element], list[Block]]:
+    """Elements and blocks of text in page order, each block with the element that holds it.
 
     A block ends where an element that isn't inline begins or ends; a line break is white space.  Paths are made of
-    elements that aren't inline, with their first class.
+    elements that aren't inline, with their first class.  Adverts and hidden parts within a line are left out.
     """
-    root = Element("", "", False, False, None, "")
-    holders: set[int] = set()
-    stack, blocks, parts = [root], [], []
+    elements = [Element("", 0, 0, 0, False)]
+    paths: dict[tuple[int, str], int] = {}
+    opened: Counter[str] = Counter()
+    stack, blocks, parts = [0], [], []
     links = linked = 0
+    hidden = ""  # the kind of inline element that hides what stands in it, and how many of its kind are open
+    n_hidden = 0
     at = 0
 
     def end_block() -> None:
@@ -138,18 +176,22 @@ def parse(page: str) -> list[Block]:
         parts, linked = [], 0
 
     def close(tag: str, holders: set[str] = frozenset()) -> None:
+        if not opened[tag]:
+            return
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
+            found = elements[stack[i]].tag
+            if found == tag:
+                opened.subtract(elements[k].tag for k in stack[i:])
                 del stack[i:]
                 return
-            if stack[i].tag in holders:
+            if found in holders:
                 return
 
     low = None
     while True:
         m = TOKEN.search(page, at)
         text = page[at:m.start() if m else len(page)]
-        if text:
+        if text and not n_hidden:
             parts.append(text)
             if links:
                 linked += len(text)
@@ -158,10 +200,16 @@ def parse(page: str) -> list[Block]:
         at = max(m.end(), at + 1)
         tag = (m[2] or "").lower()
         if not tag:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and not n_hidden:
                 parts.append(m[0][9:].removesuffix("]]>"))
             continue
         if tag in INLINE:
+            if n_hidden:
+                n_hidden += 0 if tag != hidden else -1 if m[1] else 1
+                continue
+            if not m[1] and tag not in VOID and m[3].strip() and _hides(_attributes(m[3])):
+                hidden, n_hidden = tag, 1
+                continue
             if tag == "a":
                 links = 0 if m[1] else 1
             elif tag == "br":
@@ -170,7 +218,7 @@ def parse(page: str) -> list[Block]:
         end_block()
         if m[1]:
             close(tag)
-            links = 0
+            links = n_hidden = 0
             continue
         if tag in RAW:
             low = low if low is not None else page.lower()
@@ -183,19 +231,19 @@ def parse(page: str) -> list[Block]:
         close("p", {"div", "td", "th", "li", "article", "section", "main", "blockquote", "figure", "aside", "nav", "footer", "header", "form"})
         for other in CLOSES.get(tag, ()):
             close(other, HOLDS[tag])
-        attributes = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in ATTRIBUTE.finditer(m[3])} if m[3].strip() else {}
-        parent = stack[-1]
-        inside = any(e.tag in ("article", "main") for e in stack)
+        attributes = _attributes(m[3])
+        parent = elements[stack[-1]]
         kind = attributes.get("class", "").split()
-        label = tag + ("." + kind[0] if kind else "")
-        stack.append(Element(tag, label, _is_aside(tag, attributes, inside), _is_wrapper(tag, attributes), parent, parent.path + "/" + label))
-        if tag in ("article", "main"):
-            holders.update(id(e) for e in stack if e.mark)
+        path = paths.setdefault((parent.path, tag + ("." + kind[0] if kind else "")), len(paths) + 1)
+        inside = parent.in_article or parent.tag in ("article", "main")
+        elements.append(Element(tag, _mark(tag, attributes, inside), stack[-1], path, inside))
+        stack.append(len(elements) - 1)
+        opened[tag] += 1
         if m[3].rstrip().endswith("/") and tag not in ("p", "div", "li"):
             stack.pop()
+            opened[tag] -= 1
     end_block()
-    _release(blocks, holders)
-    return blocks
+    return elements, blocks
 
 
 def smoothed(x: np.ndarray, radius: int = 1) -> np.ndarray:
@@ -211,76 +259,65 @@ def main_text(page: str | None) -> str:
     Every tag path has a text ratio (characters per block, links not counted) and a punctuation ratio.  Both are given
     to the path's blocks, smoothed over neighbours and fused by their product; blocks at or above the mean are content.
     The article is the deepest element that holds three quarters of their text; it is returned whole, but for asides and,
-    outside <article> and <main>, paths that are little but links.  On pages without either, containers of other content
-    are returned as well.  Navigation, footers, asides, forms, adverts, notices and comments are known by element, role,
+    outside <article> and <main>, paths that are little but links.  Other articles that hold content are returned as well;
+    on pages without <article> and <main>, other containers that do.  Navigation, footers, asides, forms, adverts, notices and comments are known by element, role,
     class and id and take no part.
     """
     if not page:
         return ""
-    blocks = [b for b in parse(page) if not b.element.aside]
+    elements, blocks = parse(page)
+    aside = _asides(elements, blocks)
+    blocks = [b for b in blocks if not aside[b.element]]
     if not blocks:
         return ""
-    paths: dict[str, list[float]] = {}
+    paths: dict[int, list[float]] = {}
     for b in blocks:
-        p = paths.setdefault(b.element.path, [0.0, 0.0, 0.0, 0.0])
+        p = paths.setdefault(elements[b.element].path, [0.0, 0.0, 0.0, 0.0])
         p[0] += 1
         p[1] += max(0, len(b.text) - b.linked)
         p[2] += len(PUNCTUATION.findall(b.text))
         p[3] += min(b.linked, len(b.text))
-    text_ratio = smoothed(np.array([paths[b.element.path][1] / paths[b.element.path][0] for b in blocks]))
-    mark_ratio = smoothed(np.array([paths[b.element.path][2] / paths[b.element.path][0] for b in blocks]))
+    of = [paths[elements[b.element].path] for b in blocks]
+    text_ratio = smoothed(np.array([p[1] / p[0] for p in of]))
+    mark_ratio = smoothed(np.array([p[2] / p[0] for p in of]))
     fused = text_ratio * (mark_ratio + 0.1)
-    content = fused >= fused.mean() * (1 - 1e-9)
-    total = 0.0
-    for b, is_content in zip(blocks, content, strict=True):
-        if is_content:
-            size = max(1, len(b.text) - b.linked)
-            total += size
-            e = b.element
-            while e is not None:
-                e.chars += size
-                e = e.parent
-    deepest = blocks[0].element
-    while deepest.parent is not None:
-        deepest = deepest.parent
-    for b, is_content in zip(blocks, content, strict=True):
-        if is_content:
-            e = b.element
-            while e is not None and e.chars < 0.75 * total:
-                e = e.parent
-            if e is not None and e.path.count("/") > deepest.path.count("/"):
-                deepest = e
-    # A single long paragraph is not the article: what holds it is, up to the nearest container.
-    while deepest.parent is not None and deepest.tag not in ("article", "main", "section", "div", "td", "body", "blockquote"):
-        deepest = deepest.parent
-    e = deepest
-    while e is not None:  # headings of an article stand beside the element that holds its paragraphs
-        if e.tag in ("article", "main"):
-            deepest = e
-            if e.tag == "article":
-                break
-        e = e.parent
-
-    def container(x: Element) -> Element:
-        while x.parent is not None and x.tag not in ("section", "div", "td", "body", "blockquote"):
-            x = x.parent
-        return x
-
-    marked = deepest.tag in ("article", "main")
-    others = set() if marked else {id(container(b.element)) for b, is_content in zip(blocks, content, strict=True) if is_content}
-
-    def within(x: Element | None) -> bool:
-        while x is not None:
-            if x is deepest:
-                return True
-            x = x.parent
-        return False
+    content = [b for b, f in zip(blocks, fused, strict=True) if f >= fused.mean() * (1 - 1e-9)]
+
+    sizes = [0.0] * len(elements)
+    for b in content:
+        sizes[b.element] += max(1, len(b.text) - b.linked)
+    sizes = _summed(elements, sizes)
+    deepest = 0
+    for i, e in enumerate(elements):  # those that hold three quarters lie on one path, in page order
+        if sizes[i] >= 0.75 * sizes[0]:
+            deepest = i
+
+    def nearest(tags: tuple[str, ...]) -> list[int]:
+        """For every element the nearest of these kinds that holds it, or itself; the root without one."""
+        found = [0] * len(elements)
+        for i in range(1, len(elements)):
+            found[i] = i if elements[i].tag in tags else found[elements[i].parent]
+        return found
+
+    # A single long paragraph is not the article: what holds it is, up to the nearest container.  Headings of an article
+    # stand beside the element that holds its paragraphs.
+    deepest = nearest(("article", "main", *CONTAINERS))[deepest]
+    article = nearest(("article",))
+    marked = article[deepest] or nearest(("main",))[deepest]
+    others = article if marked else nearest(CONTAINERS)
+    chosen = [False] * len(elements)
+    chosen[marked or deepest] = True
+    for b in content:
+        if others[b.element] or not marked:
+            chosen[others[b.element]] = True
+    chosen = _inherited(elements, chosen)
 
     def is_menu(b: Block) -> bool:
-        _, plain, marks, linked = paths[b.element.path]
-        return not marked and b.element.tag == "li" and linked > 4 * plain and marks < 1 + linked / 80
+        e = elements[b.element]
+        _, plain, marks, linked = paths[e.path]
+        return not marked and e.tag == "li" and linked > 4 * plain and marks < 1 + linked / 80
 
-    return "\n".join(b.text for b in blocks if (within(b.element) or id(container(b.element)) in others) and not is_menu(b))
+    return "\n".join(b.text for b in blocks if chosen[b.element] and not is_menu(b))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -274,6 +275,32 @@ def test_main_text():
     assert main_text("just text.") == "just text." and main_text("<p>one") == "one" and main_text("<p>" + "x " * 100_000).count("x") == 100_000
 
 
+def test_main_text_of_odd_pages():
+    line = "A sentence, of some length; and it goes on. " * 5
+
+    def lines(n):
+        return "".join(f"<p>{line}{i}</p>" for i in range(n))
+
+    assert main_text(f"<body><article>{lines(4)}</article><article>{lines(1)}</article></body>").count("\n") == 4
+    got = main_text(f"<body><p>short</p><div class='social-policy-article'><h1>Title</h1>{lines(3)}</div></body>")
+    assert got.startswith("Title\n") and got.count("\n") == 3
+    # The same word on a small part of the page, and comments of any size, stay asides.
+    assert main_text(f"<body><div>{lines(4)}</div><div class=social>{lines(1)}</div></body>").count("\n") == 3
+    assert main_text(f"<body><div>{lines(1)}</div><div class=comments>{lines(9)}</div></body>").count("\n") == 0
+    got = main_text(f"<body><article>{lines(2)}<p>Then <span class='ad'>BUY <span>IT</span> NOW</span> <b hidden>no</b>more.</p></article></body>")
+    assert got.endswith("\nThen more.")
+    assert main_text(f"<body><article>{lines(2)}<p>a <span class=ad>unclosed</p><p>next.</p></article></body>").endswith("\na\nnext.")
+    assert main_text(f'<body><article>{lines(2)}<div title="a>End.</div></article></body>').endswith("\nEnd.")
+
+
+def test_deep_pages_take_linear_time():
+    for tag in ("div", "x-any"):
+        before = time.monotonic()
+        assert main_text(f"<{tag}>" * 50_000 + "Deep, deep text." + f"</{tag}>" * 50_000) == "Deep, deep text."
+        assert main_text("".join(f"<{tag}>w {i:05}." for i in range(20_000))).count("w ") == 20_000
+        assert time.monotonic() - before < 20
+
+
 def test_main_text_is_whole():
     lines = [f"Part {i}, some text; and more of it, in all its length." for i in range(10)]
     text = ["".join(f"<p>{x}</p>" for x in part) for part in (lines[:8], lines[8:])]
