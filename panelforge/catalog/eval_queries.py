@@ -18,7 +18,7 @@ from panelforge.catalog.xsec_queries import (
 from panelforge.catalog.base import SQL_TICKS
 from panelforge.functions import stats
 from panelforge.operators import book as bk
-from panelforge.operators import metrics, monitor, overfit, xsec
+from panelforge.operators import extensions, metrics, monitor, overfit, xsec
 from panelforge.operators.scans import realized_pnl
 from panelforge.operators.timeaxis import number_rows
 from panelforge.streaming import jobs
@@ -155,6 +155,17 @@ def overfit_logits(spark, sf):
     return out(_logits(spark, sf), ["mask"], ["logit"])
 
 
+@query("a10_logits_in_sql", f"WITH {SQL_BOOKS}, {SQL_PBO} SELECT CAST(mask AS INT) AS mask, {r_sql('logit')} FROM lg")
+def logits_in_sql(spark, sf):
+    """The same splits, ranked by the table function over a partitioned and ordered table (2.15)."""
+    d = grid_daily(spark, sf)
+    n = d.agg(F.countDistinct("i")).first()[0]
+    means = overfit.split_means(d, "config", "config_no", "i", "book_ret", n).select("mask", "_cfg.*", "is_mean", "oos_mean")
+    extensions.register_functions(spark)
+    return out(spark.sql("SELECT * FROM split_logit(TABLE(SELECT * FROM {means}) PARTITION BY mask ORDER BY (oos_mean, config_no))",
+                         means=means), ["mask"], ["logit"])
+
+
 @query("a11_gate_verdict", f"""WITH {SQL_BOOKS}, {SQL_MOM}, {SQL_DSR}, {SQL_BNEXT}, {SQL_BETA} SELECT config, {r_sql('beta', digits=5)},
   CASE WHEN beta IS NULL THEN 'beta undefined' WHEN abs(beta) >= 0.1 THEN 'beta outside limit' WHEN z < {NormalDist().inv_cdf(0.95)!r} THEN 'no significant edge' ELSE 'significant neutral edge' END AS verdict,
   beta IS NOT NULL AND abs(beta) < 0.1 AND z >= {NormalDist().inv_cdf(0.95)!r} AS passed FROM dsr JOIN betas USING (config)""")

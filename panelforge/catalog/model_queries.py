@@ -5,16 +5,17 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelforge.catalog.base import (
-    SQL_BARS, SQL_PANEL, SQL_TICKS, bars, cols_sql, features, out, panel, query, r_sql, staged, ticks,
+    ORACLES, SQL_BARS, SQL_PANEL, SQL_TICKS, bars, cols_sql, features, out, panel, query, r_sql, staged, ticks,
 )
 from panelforge.catalog.feature_queries import SQL_FEATURES
 from panelforge.functions import scalars as sc
 from panelforge.functions.stats import EULER_GAMMA
 from panelforge.operators import features as feats
-from panelforge.operators import metrics, models, signals, splits, xsec
+from panelforge.operators import extensions, metrics, models, signals, splits, xsec
 from panelforge.operators.timeaxis import number_rows
 from panelforge.plans import eval_report
 from panelforge.schema import FEATURE_COLS, LABEL, SWEEP_QUANTILES, SWEEP_WINDOWS
@@ -96,6 +97,23 @@ def strategy_positions(spark, sf):
     return signals.strategy_positions(numbered_panel(spark, sf)).select("symbol", "ts", "position")
 
 
+# A scorer of a user's own, known by its name: forecasts that grow ever more slowly, as a function over a matrix.
+_DAMPED = extensions.function_scorer(lambda x: x[:, 0] / (1 + abs(x[:, 0])), ["pred"], "pred", missing="null")
+
+
+@query("g05_named_strategy", f"""WITH RECURSIVE {SQL_PANEL.replace("panel1 AS (SELECT * FROM panel", "panel1 AS (SELECT * REPLACE (pred / (1 + abs(pred)) AS pred) FROM panel")}, {_THR.format(m=1, q=0.7, w=63)},
+  s AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, CASE WHEN abs(pred) >= t THEN sign(pred) ELSE 0 END::INT AS sig FROM thr),
+  h AS (SELECT symbol, i, ts, sig::DOUBLE AS pos, CASE WHEN sig <> 0 THEN 0 ELSE 99 END AS age FROM s WHERE i = 1 UNION ALL
+    SELECT s.symbol, s.i, s.ts, CASE WHEN sign(s.sig) <> sign(h.pos) AND (h.pos = 0 OR h.age + 1 >= 3) THEN s.sig::DOUBLE ELSE h.pos END,
+      CASE WHEN sign(s.sig) <> sign(h.pos) AND (h.pos = 0 OR h.age + 1 >= 3) AND s.sig <> 0 THEN 0 ELSE h.age + 1 END
+    FROM h JOIN s ON s.symbol = h.symbol AND s.i = h.i + 1)
+  SELECT symbol, ts, coalesce(lag(pos) OVER (PARTITION BY symbol ORDER BY i), 0) AS position FROM h""")
+def named_strategy(spark, sf):
+    """Score by a registered function, decide by name, hold, lag (2.15)."""
+    extensions.register_scorer("damped", _DAMPED)
+    return extensions.positions(numbered_panel(spark, sf), "damped", "quantile", holding=3).select("symbol", "ts", "position")
+
+
 @query("g07_live_regressor", f"""WITH {SQL_PANEL}, {_THR.format(m=20, q=0.7, w=60)}, c AS (SELECT *, list(abs(pred)) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS w,
   row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM thr)
   SELECT symbol, ts, CASE WHEN abs(pred) > t THEN CASE WHEN pred > 0 THEN 'BUY' ELSE 'SELL' END ELSE 'HOLD' END AS signal,
@@ -265,6 +283,20 @@ def ridge(spark, sf):
     return out(model.score(f), ["symbol", "ts"], ["pred"], 5)
 
 
+def _as_function(m: models.LinearModel):
+    centre, scale = np.array([m.scaler[c] for c in m.cols]).T
+    coef, intercept, clip = np.array(m.coef), m.intercept, models.CLIP
+    return lambda x: np.clip((x - centre) / scale, -clip, clip) @ coef + intercept
+
+
+@query("l13_function_scoring", ORACLES["l08_ridge"])
+def function_scoring(spark, sf):
+    """The ridge model as an opaque function, broadcast and applied to Arrow batches."""
+    f = features(spark, sf)
+    model = models.fit_ridge(f, _X, LABEL, params=models.scale_params(models.robust_fit(f, _X)))
+    return out(extensions.function_scorer(_as_function(model), _X)(f), ["symbol", "ts"], ["pred"], 5)
+
+
 def _split(spark, sf):
     return staged(spark, sf, "split_features", lambda: splits.split_panel(feats.class_labels(features(spark, sf))))
 

@@ -62,9 +62,9 @@ def block_sums(perf: DataFrame, config: str, obs: str, value: str, n_obs: int, b
     return b, splits
 
 
-def overfit_logits(perf: DataFrame, config: str, order: str, obs: str, value: str, n_obs: int,
-                   bucket: str | None = None) -> DataFrame:
-    """One row per symmetric split: the in-sample best config and its out-of-sample logit.
+def split_means(perf: DataFrame, config: str, order: str, obs: str, value: str, n_obs: int,
+                bucket: str | None = None) -> DataFrame:
+    """Mean in and out of sample of every config (`_cfg`: order and config) in every symmetric split.
 
     Combinations are bitmasks exploded from an array literal; each config carries
     its few block sums as arrays, so nothing but the small summary is replicated.
@@ -79,7 +79,13 @@ def overfit_logits(perf: DataFrame, config: str, order: str, obs: str, value: st
         n = F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x["c"])
         return total / n
 
-    scored = combos.select("_cfg", "mask", mean(1).alias("is_mean"), mean(0).alias("oos_mean"))
+    return combos.select("_cfg", "mask", mean(1).alias("is_mean"), mean(0).alias("oos_mean"))
+
+
+def overfit_logits(perf: DataFrame, config: str, order: str, obs: str, value: str, n_obs: int,
+                   bucket: str | None = None) -> DataFrame:
+    """One row per symmetric split: the in-sample best config and its out-of-sample logit."""
+    scored = split_means(perf, config, order, obs, value, n_obs, bucket)
     rank = F.row_number().over(Window.partitionBy("mask").orderBy("oos_mean", "_cfg"))
     best = scored.withColumn("oos_rank", rank).groupBy("mask").agg(
         F.max_by(F.struct("_cfg", "oos_rank"), F.struct("is_mean", -F.col(f"_cfg.{order}"))).alias("b"),
