@@ -132,6 +132,24 @@ def test_holding_filter(spark, size):
     np.testing.assert_array_equal(got, hold_reference(sig, 5))
 
 
+@pytest.mark.parametrize("size", [7, 16, 1000])
+@pytest.mark.parametrize("h", [1, 3, 9])
+def test_holding_filter_of_gaps_and_sizes(spark, size, h):
+    """Signals of any size, missing ones and long silences: the rule row by row gives the same positions in chunks of any size."""
+    rng = np.random.default_rng(h)
+    signals = [None if v == 9 else float(v) for v in rng.choice([-2, -0.5, 0, 0, 0, 1, 3, 9], size=90)] + [0.0] * 40 + [1.0] * 30
+    want, value, age = [], 0.0, h
+    for s in signals:
+        x = np.nan if s is None else s
+        if np.sign(x) != np.sign(value) and (value == 0 or age >= h):
+            value, age = x, 0
+        want.append(value)
+        age += 1
+    df = spark.createDataFrame([("A", i, s) for i, s in enumerate(signals)], "symbol string, bar_no long, s double")
+    got = [r.position for r in holding_filter(df, "s", h, size=size).orderBy("bar_no").collect()]
+    assert np.array_equal([np.nan if v is None else v for v in got], want, equal_nan=True)
+
+
 @pytest.mark.parametrize("size", [4, 100_000])
 def test_affine_scan(spark, size):
     rng = np.random.default_rng(5)
