@@ -9,8 +9,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from panelforge.catalog.base import (
-    ORACLES, SQL_BARS, SQL_PANEL, SQL_TICKS, bars, cols_sql, features, out, panel, query, r_sql, staged, ticks,
+    ORACLES, SQL_BARS, SQL_PANEL, SQL_TICKS, bars, cols_sql, features, out, panel, query, r_sql, staged, table, ticks,
 )
+from panelforge.catalog.eval_queries import SQL_PBO
 from panelforge.catalog.feature_queries import SQL_FEATURES
 from panelforge.functions import scalars as sc
 from panelforge.functions.stats import EULER_GAMMA
@@ -395,12 +396,12 @@ _NT = len(_Q) * len(_W)
 _Z17 = (1 - EULER_GAMMA) * NormalDist().inv_cdf(1 - 1 / _NT) + EULER_GAMMA * NormalDist().inv_cdf(1 - 1 / (_NT * math.e))
 
 
-def _trials_sql() -> str:
+def _trials_sql(rows: str = "panel1") -> str:
     ts = ", ".join(f"CASE WHEN count(pred) OVER f{w} >= 20 THEN quantile_cont(abs(pred), {q}) OVER f{w} END AS t_{round(q * 100)}_{w}" for w in _W for q in _Q)
     wins = ", ".join(f"f{w} AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)" for w in _W)
     opts = ", ".join("{'config_no': %d, 'config': 'q%g_w%d', 't': t_%d_%d}" % (i * len(_W) + j, q, w, round(q * 100), w)
                      for i, q in enumerate(_Q) for j, w in enumerate(_W))
-    return f"""th AS (SELECT *, {ts} FROM panel1 WINDOW {wins}), op AS (SELECT symbol, i, pred, ret, UNNEST([{opts}], recursive := true) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM th)),
+    return f"""th AS (SELECT *, {ts} FROM {rows} WINDOW {wins}), op AS (SELECT symbol, i, pred, ret, UNNEST([{opts}], recursive := true) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM th)),
   sg AS (SELECT symbol, i, ret, config, config_no, CASE WHEN abs(pred) > t THEN sign(pred) ELSE 0 END::DOUBLE AS sig FROM op),
   ho AS (SELECT symbol, config_no, i, sig AS position, CASE WHEN sig <> 0 THEN 0 ELSE 99 END AS age FROM sg WHERE i = 1
     UNION ALL SELECT sg.symbol, sg.config_no, sg.i,
@@ -422,3 +423,31 @@ def deflated_by_symbol(spark, sf):
     """Every (quantile, window) setting per symbol, the best one deflated."""
     d = eval_report.deflated_by_symbol(numbered_panel(spark, sf), min_rows=1, quantiles=_Q, windows=_W)
     return out(d, ["symbol", "config", "t"], ["sr", "sr0", "z"], 5)
+
+
+
+# Where each symbol's model stopped learning: late for some suppliers, early for most, unknown for those in debt.
+_MIN_ROWS = 200
+
+
+@query("l17_out_of_sample", f"""WITH RECURSIVE {SQL_PANEL}, cu AS (SELECT CAST(s_suppkey AS VARCHAR) AS symbol,
+    CASE WHEN s_acctbal > 5000 THEN DATE '1999-01-01' WHEN s_acctbal > 0 THEN DATE '1996-01-01' END AS train_end FROM supplier),
+  pt AS (SELECT panel1.* FROM panel1 LEFT JOIN cu USING (symbol) WHERE train_end IS NULL OR ts > train_end + 3),
+  pk AS (SELECT * FROM pt WHERE symbol IN (SELECT symbol FROM pt GROUP BY symbol HAVING count(*) >= {_MIN_ROWS})), {_trials_sql("pk")}
+  SELECT symbol, config, t, {r_sql('sr', digits=5)}, {r_sql('sr0', digits=5)},
+  {r_sql('CASE WHEN den > 0 AND sd0 > 0 THEN (sr - sr0) * sqrt(t - 1) / sqrt(den) END', 'z', 5)} FROM ds""")
+def deflated_out_of_sample(spark, sf):
+    """As above, after the rows that the symbol's model has seen are gone and short symbols with them."""
+    cut = table(spark, sf, "supplier").selectExpr(
+        "CAST(s_suppkey AS STRING) AS symbol", "CASE WHEN s_acctbal > 5000 THEN DATE'1999-01-01' WHEN s_acctbal > 0 THEN DATE'1996-01-01' END AS train_end")
+    d = eval_report.deflated_by_symbol(numbered_panel(spark, sf), _MIN_ROWS, cut, quantiles=_Q, windows=_W)
+    return out(d, ["symbol", "config", "t"], ["sr", "sr0", "z"], 5)
+
+
+@query("l17_fold_overfit", f"""WITH {SQL_LABELLED}, {_matrix_sql()},
+  daily AS (SELECT CAST(config_no AS VARCHAR) AS config, config_no, ic AS book_ret, dense_rank() OVER (ORDER BY symbol, fold) AS i FROM mx), {SQL_PBO}
+  SELECT CAST(mask AS INT) AS mask, {r_sql('logit')} FROM lg""")
+def fold_overfit(spark, sf):
+    """Splits of the folds: is the setting with the best IC on one half of them above the median on the other?"""
+    m = models.config_ic_matrix(fold_preds(spark, sf), FOLD, _Q, _W)
+    return out(eval_report.fold_overfit(m), ["mask"], ["logit"])
\ No newline at end of file
