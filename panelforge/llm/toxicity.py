@@ -219,7 +219,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_label: int = MAX_PE
     weigh as much as all labelled rows of their label (and language), so the draw does not change the labels' shares.
     An id counts once: it is toxic if any of its labels says so, and its document is the one of the least hash.  Null
     labels and rows without a document take no part; a null text is an empty one.  Without rows of both labels the score
-    is a constant (1 if all are toxic, else 0).
+    is a constant (1 if all are toxic, else 0).  Fewer than 200 drawn rows are all fitted on: scores then stay uncalibrated and every
+    language has the threshold 0.5.
     """
     usable = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where(
         "id is not null and toxic in (0, 1) and crc32(cast(cast(id as string) as binary)) % 5 <> 0").groupBy("id").agg(
