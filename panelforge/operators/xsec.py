@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.functions.scalars import finite
 from panelforge.operators.ranks import ROWS_PER_SORT, average_rank, group_ranks, largest_group
@@ -23,30 +26,16 @@ def cross_sectional_normalize(panel: DataFrame, cols: Sequence[str] = FEATURE_CO
                               min_names: int = MIN_CS_NAMES, mode: str = "replace", name: str = "symbol", limit: int = ROWS_PER_SORT) -> DataFrame:
     """Each column's rank across its date, in [-1, 1]; NULL on dates with too few names.
 
-    Dates that one sort can hold are exchanged once, wide, and ranked by a window for each column.  If there are larger ones,
-    columns are ranked in long form, one date and column a group, which is cut as its size asks for.
+    Dates that one task can hold are exchanged once, wide, and ranked column by column in numpy: a sort for each column would
+    hold a copy of the wide rows each.  If there are larger ones, columns are ranked in long form, one date and column a
+    group, which is cut as its size asks for.
     """
     if mode not in CS_MODES:
         raise ValueError(f"mode {mode!r} is not one of {CS_MODES}")
     if mode == "off":
         return panel
     if largest_group(panel, [date]) <= limit:
-        w = Window.partitionBy(date)
-        wide_enough = F.count(F.lit(1)).over(w) >= min_names
-
-        def rank(c: str) -> Column:
-            x = F.col(c).cast("double")
-            order = w.orderBy(x.asc_nulls_last())
-            same = order.rangeBetween(Window.currentRow, Window.currentRow)
-            place = F.rank().over(order) - 1 + (F.count(F.lit(1)).over(same) + 1) / 2.0
-            return F.when(wide_enough & x.isNotNull(), 2.0 * place / F.count(x).over(w) - 1.0)
-
-        suffix = "" if mode == "replace" else CS_SUFFIX
-        ranks = {f"_r_{c}": rank(c) for c in cols}
-        raw = {c: F.when(wide_enough, F.col(c)) for c in cols} if mode == "augment" else {}
-        out = panel.withColumns(ranks).withColumns({f"_raw_{c}": x for c, x in raw.items()})
-        target = {c + suffix: F.col(f"_r_{c}") for c in cols} | {c: F.col(f"_raw_{c}") for c in raw}
-        return out.withColumns(target).drop(*ranks, *[f"_raw_{c}" for c in raw])
+        return _ranked_dates(panel, list(cols), date, min_names, mode)
     entries = F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in cols])
     long = panel.select(date, name, F.inline(entries)).where("_x is not null")
     ranked = group_ranks(long, [date, "_col"], "_x", spread=[name], limit=limit)
@@ -62,6 +51,29 @@ def cross_sectional_normalize(panel: DataFrame, cols: Sequence[str] = FEATURE_CO
     return out.withColumns(target).drop("_names", *[f"_r_{c}" for c in cols])
 
 
+def _ranked_dates(panel: DataFrame, cols: list[str], date: str, min_names: int, mode: str) -> DataFrame:
+    """Ranks of whole dates; the other columns pass through Arrow as they are."""
+    kinds = {f.name: f.dataType for f in panel.schema.fields}
+    suffix = "" if mode == "replace" else CS_SUFFIX
+    kinds |= {c + suffix: T.DoubleType() for c in cols}
+
+    def ranks(t: pa.Table) -> pa.Table:
+        found = {name: t.column(name) for name in t.column_names}
+        for c in cols:
+            raw, place = found[c], np.full(t.num_rows, np.nan)
+            known = raw.is_valid().to_numpy(zero_copy_only=False)
+            if t.num_rows >= min_names and known.any():
+                _, which, same = np.unique(raw.drop_null().to_numpy().astype(float), return_inverse=True, return_counts=True)
+                place[known] = 2.0 * ((np.cumsum(same) - same)[which] + (same[which] + 1) / 2.0) / known.sum() - 1.0
+            found[c + suffix] = pa.array(place, from_pandas=True)
+            if mode == "augment" and t.num_rows < min_names:
+                found[c] = pa.nulls(t.num_rows, raw.type)
+        return pa.table({name: found[name] for name in kinds})
+
+    schema = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+    return panel.groupBy(date).applyInArrow(ranks, schema)
+
+
 def demean_target(panel: DataFrame, y: str, date: str = "ts", min_names: int = MIN_CS_NAMES) -> DataFrame:
     """Subtract each date's mean; dates with too few names are dropped."""
     means = panel.groupBy(date).agg(F.avg(y).alias("_mean"), F.count(F.lit(1)).alias("_names")).where(
