@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,24 @@ def threshold_signal(pred: str | Column, thr: str | Column, conviction: bool = F
     return F.when(fires, F.signum(p).cast("int")).otherwise(F.lit(0))
 
 
+def trailing_thresholds(x: np.ndarray, window: int, quantiles: Sequence[float], start: int = 0, min_obs: int = MIN_THRESHOLD_OBS) -> np.ndarray:
+    """Quantiles of the `window` values before each place of the last axis from `start` on, NaN below `min_obs` values.
+
+    x: (.., rows), NaN where missing; the result is (.., rows - start, quantiles).  Interpolates as Spark's percentile, to the bit.
+    """
+    before = np.full((*x.shape[:-1], window), np.nan)
+    frames = sliding_window_view(np.concatenate([before, x[..., :-1]], axis=-1), window, axis=-1)[..., start:, :]
+    known = np.sort(frames, axis=-1)  # missing ones last
+    n = window - np.isnan(known).sum(axis=-1)
+    out = np.empty((*n.shape, len(quantiles)))
+    for i, q in enumerate(quantiles):
+        spot = np.maximum(n - 1, 0) * q
+        lower, upper = np.floor(spot), np.ceil(spot)
+        lo, hi = (np.take_along_axis(known, at.astype(int)[..., None], axis=-1)[..., 0] for at in (lower, upper))
+        out[..., i] = np.where((lower == upper) | (lo == hi), lo, (upper - spot) * lo + (spot - lower) * hi)
+    return np.where((n >= min_obs)[..., None], out, np.nan)
+
+
 def quantile_decision(df: DataFrame, score: str = "score", quantile: float = 0.7, window: int = 63,
                       out: str = "signal", keys: Sequence[str] = ("symbol",), size: int = CHUNK_ROWS) -> DataFrame:
     """As `predictor_signal` but inclusive, from the second bar on."""

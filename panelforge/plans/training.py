@@ -51,8 +51,7 @@ def train(dataset: DataFrame, cs_mode: str = "off", kind: str = "ridge", alpha:
 def sweep_parameters(features: DataFrame, cols: list[str], cfg: splits.FoldConfig = splits.FoldConfig()) -> DataFrame:
     """Best decision quantile and window over the walk-forward folds of every symbol."""
     usable = number_rows(features.where(F.col(LABEL).isNotNull()).drop("bar_no"))
-    preds = materialize(models.fold_predictions(usable, cols, LABEL, cfg), "fold_predictions")
-    return models.sweep(models.config_ic_matrix(preds, cfg))
+    return models.sweep(materialize(models.config_ic_matrix(usable, cols, LABEL, cfg), "fold_ics"))
 
 
 def register(registry: DataFrame, rows: DataFrame) -> DataFrame:
