@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.operators import overfit, quality
-from panelforge.operators.scans import holding_filter
-from panelforge.operators.signals import MIN_THRESHOLD_OBS, execution_lag, threshold_signal
-from panelforge.operators.timeaxis import CHUNK_ROWS, chunk_window, chunked, number_rows, over_rows, own_rows
+from panelforge.operators.scans import held_positions
+from panelforge.operators.signals import trailing_thresholds
+from panelforge.operators.timeaxis import CHUNK_ROWS, number_rows
 from panelforge.schema import SWEEP_QUANTILES, SWEEP_WINDOWS
 
 # Fixed value: least number of bars between two changes of position.
@@ -22,21 +24,22 @@ def decision_trials(df: DataFrame, pred: str = "pred", ret: str = "ret", quantil
     """(symbol, bar_no, config, config_no, r): return of every (quantile, window) setting on every bar.
 
     `ret` is the return from a bar to the next.  A decision is held for at least `holding` bars and traded on the bar
-    after it, so a bar earns the position decided one bar before.  All thresholds come from one pass; the settings are
-    an exploded literal.
+    after it, so a bar earns the position decided one bar before.  Thresholds, decisions and holdings of all settings come from
+    one pass over the symbol's rows; the settings become rows only to be summed.
     """
-    w, x = chunk_window(), F.abs(pred)
-    qs = F.array(*[F.lit(float(q)) for q in quantiles])
-    thr = {f"_t{k}": over_rows(F.percentile(x, qs), x, w, k, MIN_THRESHOLD_OBS, end=-1) for k in windows}
-    d = own_rows(chunked(df, halo=max(windows), size=size).withColumns(thr))
     settings = [(q, k) for q in quantiles for k in windows]
-    options = F.array(*[F.struct(
-        F.lit(f"q{q:g}_w{k}").alias("config"), F.lit(i).alias("config_no"),
-        threshold_signal(pred, F.col(f"_t{k}")[list(quantiles).index(q)]).cast("double").alias("position"))
-        for i, (q, k) in enumerate(settings)])
-    rows = holding_filter(d.select("symbol", "bar_no", ret, F.inline(options)), "position", holding, "held", ("symbol", "config"), size)
-    traded = execution_lag(rows, "held", "traded", ("symbol", "config"), size)
-    return traded.where(F.col(ret).isNotNull()).select("symbol", "bar_no", "config", "config_no", (F.col("traded") * F.col(ret)).alias("r"))
+
+    def decisions(pdf: pd.DataFrame) -> np.ndarray:
+        p = pdf[pred].to_numpy(float)
+        thr = {k: trailing_thresholds(np.abs(p), k, quantiles) for k in windows}
+        return np.stack([np.where(np.abs(p) > thr[k][:, list(quantiles).index(q)], np.sign(p), 0.0) for q, k in settings])
+
+    names = [f"_h{i}" for i in range(len(settings))]
+    # Of unit signals every one is held for a bar, so a holding of none is one of 1.
+    traded = held_positions(df.select("symbol", "bar_no", pred, ret), decisions, max(holding, 1), names, ("symbol",), size, max(windows), lag=True)
+    options = F.array(*[F.struct(F.lit(f"q{q:g}_w{k}").alias("config"), F.lit(i).alias("config_no"), (F.coalesce(name, F.lit(0.0)) * F.col(ret)).alias("r"))
+                        for i, ((q, k), name) in enumerate(zip(settings, names))])
+    return traded.where(F.col(ret).isNotNull()).select("symbol", "bar_no", F.inline(options))
 
 
 def deflated_by_symbol(df: DataFrame, min_rows: int = 300, train_end: DataFrame | None = None, **how) -> DataFrame:
