@@ -1,6 +1,7 @@
 import math
 import random
 import time
+import weakref
 import zlib
 from collections import Counter
 
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 
 from panelforge.llm import lm_scoring as lm
+from panelforge.llm import toxicity
 from panelforge.llm.decontamination import edit_match, with_leaks
 from panelforge.llm.html_extraction import extract, main_text
 from panelforge.llm.toxicity import TextCnn, best_threshold, fit_toxicity, score_toxicity
@@ -238,6 +240,22 @@ def test_toxicity_takes_one_row_of_an_id(spark, monkeypatch):
     assert seen[0] == seen[1] > 200
 
 
+def test_toxicity_holds_no_text_after_the_fit(spark, monkeypatch):
+    rng = random.Random(3)
+    rows, labels = toxic_world(rng, 400, ["vilex"])
+    held, alive = [], []
+    fit, logits = TextCnn.fit, toxicity._labelled_logits
+
+    def noted(self, texts, y):
+        held.extend(weakref.ref(t) for t in texts)
+        fit(self, texts, y)
+
+    monkeypatch.setattr(TextCnn, "fit", noted)
+    monkeypatch.setattr(toxicity, "_labelled_logits", lambda *args: (alive.append(sum(r() is not None for r in held)), logits(*args))[1])
+    fit_toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int, lang int"))
+    assert len(held) > 200 and alive == [0]
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")
