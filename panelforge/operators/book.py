@@ -315,15 +315,16 @@ def entry_exits(entries: DataFrame, bars: DataFrame, horizon: int, stop: str | C
     """
     gain = (F.col("close_ahead") - F.col("close")) / F.col("close") * F.col("side")
     up, dn = (F.col(x) if isinstance(x, str) else x for x in (target, stop))
-    pairs = bars_ahead(entries.withColumns({"_up": up, "_dn": dn}), bars, horizon, keys).withColumn("_gain", gain)
-    hit = (F.col("_gain") > F.col("_up")) | (F.col("_gain") < -F.col("_dn"))
-    here = F.struct("ahead", "_gain", (F.col("_gain") > F.col("_up")).alias("up"))
-    found = pairs.groupBy(*keys, "bar_no").agg(F.min(F.when(hit, here)).alias("_hit"), F.count(F.lit(1)).alias("_have"),
-                                               F.max(F.when(F.col("ahead") == horizon, F.col("_gain"))).alias("_end"))
-    d = entries.join(found, [*keys, "bar_no"], "left")
+    own = entries.withColumns({"_up": up, "_dn": dn})
+    hit = (gain > F.col("_up")) | (gain < -F.col("_dn"))
+    # Numbers only: they are summed up in a hash table as pairs come, while a struct would have all pairs sorted first.
+    found = bars_ahead(own, bars, horizon, keys).groupBy(*keys, "bar_no").agg(
+        F.min(F.when(hit, F.col("ahead"))).alias("_hit"), F.count(F.lit(1)).alias("_have"))
     full = F.col("_have") == horizon
     was_hit = F.col("_hit").isNotNull()
-    return d.withColumns({
-        "exit_reason": F.when(was_hit, F.when(F.col("_hit.up"), "take_profit").otherwise("stop_loss")).when(full, "max_holding"),
-        "exit_bars": F.when(was_hit, F.col("_hit.ahead")).when(full, horizon),
-        "exit_gain": F.when(was_hit, F.col("_hit._gain")).when(full, F.col("_end"))}).drop("_hit", "_have", "_end")
+    d = own.join(found, [*keys, "bar_no"], "left").withColumn("exit_bars", F.when(was_hit, F.col("_hit")).when(full, horizon))
+    exits = bars.select(*[F.col(k) for k in keys], F.col("bar_no").alias("_at"), F.col("close").alias("close_ahead"))
+    d = d.withColumn("_at", F.col("bar_no") + F.col("exit_bars")).join(exits, [*keys, "_at"], "left")
+    reason = F.when(was_hit, F.when(gain > F.col("_up"), "take_profit").otherwise("stop_loss")).when(full, "max_holding")
+    return d.withColumns({"exit_reason": reason, "exit_gain": gain}).select(
+        *entries.columns, "exit_reason", "exit_bars", "exit_gain")

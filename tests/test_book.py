@@ -161,3 +161,9 @@ def test_the_plan_of_exits_does_not_grow_with_the_horizon(spark):
     bars = spark.range(100).selectExpr("'a' AS symbol", "id AS bar_no", "id + 1.0D AS close", "1 AS side")
     size = lambda h: len(book.entry_exits(bars, bars, h, F.lit(0.1), F.lit(0.1))._jdf.queryExecution().executedPlan().toString().splitlines())
     assert size(5) == size(250)
+
+
+def test_exits_sort_no_pairs(spark):
+    bars = spark.range(100).selectExpr("'a' AS symbol", "id AS bar_no", "id + 1.0D AS close", "1 AS side")
+    plan = book.entry_exits(bars, bars, 50, F.lit(0.1), F.lit(0.1))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
