@@ -1,6 +1,7 @@
 """Models against closed forms on small fixtures."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -152,3 +153,23 @@ def test_boosted_classes(spark):
     # A class that training never saw scores 0.
     two = models.fit_boosted_classes(df.where("label <> 1"), ["a", "b", "c"], "label", rounds=3)
     assert two.models[1] is None and all(r.proba[1] == 0 and abs(sum(r.proba) - 1) < 1e-9 for r in two.score(df).collect())
+
+
+def test_boosted_fits_run_one_task_a_core(spark, monkeypatch):
+    seen = []
+
+    def estimator(**params):
+        return SimpleNamespace(fit=lambda d: seen.append(d.rdd.getNumPartitions()))
+
+    monkeypatch.setattr(models, "GBTRegressor", estimator)
+    monkeypatch.setattr(models, "GBTClassifier", estimator)
+    df = spark.range(600, numPartitions=40).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS a", "CAST(id % 5 AS DOUBLE) AS y", "CAST(id % 3 AS INT) AS label").repartition(40, "id")
+    cores = spark.sparkContext.defaultParallelism
+    with monkeypatch.context() as m:
+        m.setattr(models, "materialize", lambda d, name: d)
+        models.fit_boosted(df, ["a"], "y")
+        models.fit_boosted_classes(df, ["a"], "label")
+    assert seen == [cores] * 4
+    monkeypatch.setattr(models, "BOOST_ROWS", 50)
+    models.fit_boosted(df, ["a"], "y")
+    assert seen[-1] == 2 * cores
