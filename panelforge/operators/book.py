@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,8 @@ from panelforge.schema import TRADING_DAYS
 NET_EXPOSURE_WARN = 0.5
 ATR_BOUNDS = (0.005, 0.10)
 VOL_SCALE_BOUNDS = (0.25, 3.0)
+#: Held rows of a task.  They are exchanged at a tenth of the size they are sorted at, so tasks are not sized by what is exchanged.
+HELD_ROWS = 250_000
 
 
 # ---- the book over a panel ----------------------------------------------------
@@ -39,7 +42,11 @@ def held_positions(panel: DataFrame, grid: Sequence[BookConfig], dates: DataFram
     target = target_weights(rank_panel(panel), grid, dates).select(
         "config", "rebalance", "symbol", F.col("i").alias("i0"), F.col("w").alias("w0"))
     days = target.withColumn("i", F.explode(F.sequence(F.col("i0"), F.col("i0") + F.col("rebalance") - 1)))
-    rows = days.join(dates, "i").join(panel.select("ts", "symbol", "ret", "beta"), ["ts", "symbol"], "left")
+    # A variant holds two legs on every date at most.
+    tasks = max(math.ceil(panel.count() * sum(min(2 * c.decile, 1.0) for c in grid) / HELD_ROWS), 1)
+    place = ["ts", "symbol"]
+    rows = days.join(F.broadcast(dates), "i").repartition(tasks, *place).join(
+        panel.select("ts", "symbol", "ret", "beta").repartition(tasks, *place), place, "left").repartition(tasks, "config", "symbol", "i0")
     # At most `rebalance` rows per group.
     life = Window.partitionBy("config", "symbol", "i0").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     grown = F.product(1.0 + F.coalesce(F.col("ret"), F.lit(0.0))).over(life)

@@ -142,7 +142,7 @@ def legs(ranked: DataFrame, grid: Sequence[BookConfig], dates: DataFrame | None
     reach = F.least(F.floor(F.col("n") * F.lit(widest)), half)
     edge = ranked.where(F.col("pos").isNotNull() & ((F.col("pos") < reach) | (F.col("pos") >= F.col("n") - reach)))
     if dates is not None:
-        edge = edge.join(dates, date)
+        edge = edge.join(F.broadcast(dates), date)  # one row per date
     m = edge.select("*", F.inline(grid_column(grid))).withColumn(
         "k", F.least(F.floor(F.col("n") * F.col("decile")), half))
     side = F.when(F.col("pos") < F.col("k"), -1).when(F.col("pos") >= F.col("n") - F.col("k"), 1)
@@ -179,7 +179,7 @@ def target_weights(ranked: DataFrame, grid: Sequence[BookConfig], dates: DataFra
         F.avg(F.when(up, has)).alias("_cl"), F.avg(F.when(down, has)).alias("_cs"),
         F.avg(F.when(up, F.col("beta"))).alias("_bl"), F.avg(F.when(down, F.col("beta"))).alias("_bs"),
         F.avg(F.when(up & mid, F.col(pred))).alias("_ml"), F.avg(F.when(down & mid, F.col(pred))).alias("_ms"))
-    m = m.join(stats, by)
+    m = m.join(F.broadcast(stats), by)  # one row per date and variant; the legs' rows stay where they are
 
     def thin(c: str) -> Column:
         return (F.col(c) > 0) & (F.col(c) < MIN_BETA_COVERAGE)

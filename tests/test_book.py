@@ -167,3 +167,15 @@ def test_exits_sort_no_pairs(spark):
     bars = spark.range(100).selectExpr("'a' AS symbol", "id AS bar_no", "id + 1.0D AS close", "1 AS side")
     plan = book.entry_exits(bars, bars, 50, F.lit(0.1), F.lit(0.1))._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_held_rows_are_dealt_by_their_number(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(days=i), f"s{k}", float(rng.normal()), 0.01) for i in range(30) for k in range(40)]
+    panel = spark.createDataFrame(rows, "ts timestamp, symbol string, pred double, ret double")
+    grid = [xsec.BookConfig(0.2, 3, min_names=5, use_beta=False)]
+    whole = book.run_book(panel, grid).select("i", "gross_ret", "n_held").orderBy("i").collect()
+    monkeypatch.setattr(book, "HELD_ROWS", 40, raising=False)
+    assert book.held_positions(panel, grid).rdd.getNumPartitions() == 12
+    for r, w in zip(book.run_book(panel, grid).select("i", "gross_ret", "n_held").orderBy("i").collect(), whole, strict=True):
+        assert r.n_held == w.n_held and abs(r.gross_ret - w.gross_ret) < 1e-12
