@@ -174,6 +174,18 @@ def test_ledger_by_hand(spark, size):
     np.testing.assert_allclose(got["pnl"].astype(float), want, equal_nan=True)
 
 
+@pytest.mark.parametrize("size", [2, 100_000])
+def test_ledgers_of_symbols_stand_alone(spark, size):
+    rows = [("A", 0, "BUY", 10, 10.0), ("B", 0, "SELL", 5, 20.0), ("A", 1, "SELL", 4, 11.0), ("B", 1, "BUY", 5, 18.0),
+            ("A", 2, "SELL", 6, 9.0), ("B", 2, "BUY", 1, 17.0)]
+    df = spark.createDataFrame(rows, "symbol string, bar_no bigint, side string, shares bigint, fill_price double")
+    got = realized_pnl(df, size=size)
+    assert sorted(got.columns) == sorted([*df.columns, "commission", "pnl", "position"])
+    found = {(r["symbol"], r["bar_no"]): (r["position"], r["pnl"]) for r in got.collect()}
+    assert found == {("A", 0): (10, None), ("A", 1): (6, 4.0), ("A", 2): (0, -6.0),
+                     ("B", 0): (-5, None), ("B", 1): (0, 10.0), ("B", 2): (1, None)}
+
+
 def test_collapse_restatements(spark):
     d = dt.date(2024, 1, 1)
     rows = [(d + dt.timedelta(days=i), b, "m", "A", p) for i, (b, p) in enumerate([
