@@ -20,8 +20,19 @@ STEP = 16
 _BLOCK = "dim int, n int, ids binary, columns binary"
 
 
+def _packed(m: np.ndarray) -> bytes:
+    """Whole numbers in the narrowest of 2, 4 and 8 bytes that holds them all; the width follows from the length."""
+    most = np.abs(m).max(initial=0)
+    return np.ascontiguousarray(m, np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.float64).tobytes()
+
+
+def _unpacked(data: bytes, dim: int, n: int) -> np.ndarray:
+    kind = {2: np.int16, 4: np.int32, 8: np.float64}[len(data) // (dim * n)] if dim else np.float64
+    return np.frombuffer(data, kind).reshape(dim, n).astype(np.float64)
+
+
 def _vertical(df: DataFrame, rows: int) -> DataFrame:
-    """Blocks of up to `rows` vectors of one length: ids, and the vectors column by column as doubles."""
+    """Blocks of up to `rows` vectors of one length: ids, and the vectors column by column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple]] = {}
@@ -32,7 +43,7 @@ def _vertical(df: DataFrame, rows: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()),
                  pa.array([np.asarray(ids, np.int64).tobytes()], pa.binary()),
-                 pa.array([np.ascontiguousarray(m).tobytes()], pa.binary())], names=["dim", "n", "ids", "columns"])
+                 pa.array([_packed(m)], pa.binary())], names=["dim", "n", "ids", "columns"])
 
         for b in batches:
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -114,7 +125,9 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
             other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
     renamed = asked.select("part", *[F.col(c).alias("q_" + c) for c in ("dim", "n", "ids", "columns")])
-    pairs = classed(cands, "block", n_blocks, "row", "line", n_parts).join(
+    # Both sides are exchanged: by the size of its file one could be broadcast, but its copies, one for each class of the other
+    # side, would have to pass through the driver.
+    pairs = classed(cands, "block", n_blocks, "row", "line", n_parts).hint("merge").join(
         classed(renamed, "part", n_parts, "line", "row", n_blocks), ["row", "line"]).where("dim = q_dim")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +136,7 @@ def topk_search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
                 got = {c: b.column(c)[r].as_py() for c in b.schema.names}
                 dim, n, m = got["dim"], got["n"], got["q_n"]
                 ids, own = np.frombuffer(got["ids"], np.int64), np.frombuffer(got["q_ids"], np.int64)
-                columns = np.frombuffer(got["columns"]).reshape(dim, n)
-                q = np.frombuffer(got["q_columns"]).reshape(dim, m)
+                columns, q = _unpacked(got["columns"], dim, n), _unpacked(got["q_columns"], dim, m)
                 safe = dim * np.abs(columns).max(initial=1) * np.abs(q).max(initial=1) < 2.0**53
                 squares = columns * columns
                 tails = [np.sqrt(squares[at:].sum(axis=0)) for at in range(STEP, dim, STEP)] if safe else []

@@ -37,6 +37,21 @@ def test_topk_equals_brute_force(spark, monkeypatch):
         rows, {i for i, _ in rows if i is not None and i % 5 == 0}, 4)
 
 
+def test_topk_broadcasts_no_blocks(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], 1, "s") for i in range(50)], VECTORS)
+    got = topk_search(df, df.where("vec_id % 5 = 0"), 2)
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
+    assert got.count() == 20 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most,width", [(2**15 - 1, 2), (2**15, 4), (2**31 - 1, 4), (2**31, 8), (2.0**60, 8)])
+def test_blocks_are_narrow_and_exact(most, width):
+    m = np.array([[0.0, -most, 3.0], [most, 1.0, -7.0]])
+    data = search._packed(m)
+    assert len(data) == width * m.size and (search._unpacked(data, 2, 3) == m).all()
+    assert search._unpacked(search._packed(np.zeros((0, 4))), 0, 4).shape == (0, 4)
+
+
 def test_topk_of_nothing(spark):
     empty = spark.createDataFrame([], VECTORS)
     one = spark.createDataFrame([(5, [1.0], 1, "s")], VECTORS)
